@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,10 +71,28 @@ def ascii_lower(text):
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a context, so that their Python workers can import it
+    wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_stratum_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="stratum-"), "stratum-package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(full := os.path.join(folder, name), os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    context._stratum_shipped = True
+
+
 def arrow_map(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     """mapInArrow over bounded batches: `make()` is called once a task and returns a function from a
     RecordBatch to a RecordBatch (or None)."""
     spark = df.sparkSession
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
