@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -65,12 +65,18 @@ def forget(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
-def ascii_lower(text):
+def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else.  lower() is the same on pure ASCII and much faster."""
     plain = F.length(text) == F.octet_length(text)
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
+def row_key(key: str, text: str) -> Column:
+    """Names a row by its id and text, null-safe; rows that agree in both are one document."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null"))
+    return F.concat_ws(":", name, F.hex(F.xxhash64(F.col(text))), F.octet_length(F.col(text)))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a context, so that their Python workers can import it
     wherever the driver found it."""
@@ -94,7 +100,7 @@ def arrow_map(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
     def run(batches):
         apply = make()

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import ascii_lower, materialize, table
+from stratum.llm.common import ascii_lower, materialize, row_key, table
 
 WINDOW, K, BROADCAST_ROWS = 10, 6, 100_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,10 +61,6 @@ def contexts(benchmark: DataFrame, item: str = "item_id", text: str = "text", wi
     return found, members, lengths
 
 
-def _row_key(key: str, text: str) -> Column:
-    return F.concat_ws(":", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")), F.hex(F.xxhash64(F.col(text))), F.octet_length(F.col(text)))
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(found, members).  found: one row with a null ctx for every row of docs (rk, id, n_words), and one for each
     match (rk, ctx, start, end: the words start <= i < end are hit)."""
@@ -75,7 +71,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     prints = _winnowed(F.col("grams"), w)
     for n in lengths:
         prints = F.concat(prints, F.array_distinct(_grams(F.col("words"), n)))
-    read = docs.select(_row_key(key, text).alias("rk"), F.col(key).alias("id"), words_of(F.col(text)).alias("words"))
+    read = docs.select(row_key(key, text).alias("rk"), F.col(key).alias("id"), words_of(F.col(text)).alias("words"))
     seen = read.withColumn("n_words", F.size("words").cast("long")).withColumn("grams", _grams(F.col("words"), k)).withColumn("prints", prints) \
         .select("rk", "id", "n_words", "words", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.col("prints"))).alias("hash"))
     if small:
@@ -124,7 +120,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a hit go."""
     found, _ = hits(docs, table(spark, sf_dir, "benchmark"))
     bad = found.where("ctx is not null").select("rk").distinct()
-    return docs.withColumn("_stratum_rk", _row_key("doc_id", "text")).join(bad.withColumnRenamed("rk", "_stratum_rk"), "_stratum_rk", "left_anti").select(*docs.columns)
+    return docs.withColumn("_stratum_rk", row_key("doc_id", "text")).join(bad.withColumnRenamed("rk", "_stratum_rk"), "_stratum_rk", "left_anti").select(*docs.columns)
 
 
 OP1_SQL = """

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, forget, materialize, table
-from stratum.llm.linededup import row_key
+from stratum.llm.common import arrow_map, forget, materialize, row_key, table
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT, MAX_PATTERNS, CONFIDENT, ROUNDS = 3, 50_000, 0.8, 3

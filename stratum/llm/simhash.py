@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, components, forget, materialize, table
+from stratum.llm.common import arrow_map, components, materialize, row_key, table
 
 RADIUS, SHINGLE, CHUNK = 4, 4, 1024
 
@@ -164,14 +164,16 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp, component): one row for every row of docs; component is the smallest id of the group."""
-    marked = materialize(with_fingerprint(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), keep=("id",), shingle=shingle))
+    """(id, rk, fp, component): one row for every row of docs; component is the smallest id of the group, rk names
+    the row by its id and text."""
+    rows = docs.select(F.col(key).alias("id"), row_key(key, text).alias("rk"), F.col(text).alias("text"))
+    marked = materialize(with_fingerprint(rows, keep=("id", "rk"), shingle=shingle))
     folded = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")))
     groups = components(folded.select(F.col("fp").alias("id")), links(folded.select("fp"), radius))
     own = materialize(folded.join(groups, folded.fp == groups.id).select("fp", "least", F.col("component").alias("group")))
     names = materialize(own.groupBy("group").agg(F.min("least").alias("component")))
     named = materialize(own.join(names, "group").select("fp", "component"), own, folded)
-    return marked.join(named, "fp").select("id", "fp", "component")
+    return marked.join(named, "fp").select("id", "rk", "fp", "component")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +182,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the row of the smallest id stays."""
-    groups = near_duplicates(docs)
-    first = groups.where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: of each group of near-duplicates the document of the smallest id stays, once; documents
+    without any id in their group are not told apart by id and stay."""
+    first = near_duplicates(docs).where("id = component or component is null").select(F.col("rk").alias("_stratum_rk")).distinct()
+    kept = docs.withColumn("_stratum_rk", row_key("doc_id", "text")).join(first, "_stratum_rk", "left_semi")
+    return kept.dropDuplicates(["_stratum_rk"]).select(*docs.columns)
