@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, forget, materialize, table
+from stratum.llm.common import arrow_map, forget, materialize, row_key, table
 
 LONG, MAX_LINES, NEAR, MIN_WORDS, LONG_WORDS, MAX_FILTER_BITS = 12, 8, 4, 20, 50, 26
 _HASHES = 3
@@ -85,10 +85,6 @@ def _filter_of(repeated: DataFrame) -> tuple[int, np.ndarray]:
     return bits, data
 
 
-def row_key(key: str, text: str) -> Column:
-    return F.concat_ws(":", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")), F.hex(F.xxhash64(F.col(text))), F.octet_length(F.col(text)))
-
-
 def marked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(rk, marks array<struct<a, b>>): lines a <= i < b have equal bytes at an earlier place."""
     rows = docs.select(row_key(key, text).alias("rk"), F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
@@ -111,28 +107,35 @@ def marked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def bodies():
         held = shared.value
 
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            found, where, texts = [], [], [t.split("\n") for t in batch.column("text").to_pylist()]
-            for d, lines in enumerate(texts):
-                for a, b in chunks(lines):
-                    found.append(_key(lines, a, b))
-                    where.append((d, a, b))
-            h = np.array(found, np.uint64)
+        def repeated_of(h: np.ndarray) -> np.ndarray:
             one, two = h & np.uint64(0x7FFFFFFF), (h >> np.uint64(32)) & np.uint64(0x7FFFFFFF)
             may = np.ones(len(h), bool)
             for i in range(_HASHES):
                 at = (one + np.uint64(i) * two) & np.uint64((1 << bits) - 1)
                 may &= held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
-            at = np.flatnonzero(may)
-            if not len(at):
+            return np.flatnonzero(may)
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            out: dict[str, list] = {c: [] for c in ("key", "d", "a", "b", "left", "body", "right")}
+            for d, t in enumerate(batch.column("text").to_pylist()):  # one text at a time: only what may repeat is held
+                lines = t.split("\n")
+                cuts = chunks(lines)
+                h = np.array([_key(lines, a, b) for a, b in cuts], np.uint64)
+                for i in repeated_of(h).tolist():
+                    a, b = cuts[i]
+                    out["key"].append(h[i])
+                    out["d"].append(d)
+                    out["a"].append(a)
+                    out["b"].append(b)
+                    out["left"].append(_near(lines, range(a - 1, max(-1, a - 1 - NEAR), -1)))
+                    out["body"].append("\n".join(lines[a:b]))
+                    out["right"].append(_near(lines, range(b, min(len(lines), b + NEAR))))
+            if not out["d"]:
                 return None
-            d, a, b = np.array(where, np.int64)[at].T
-            strings = pa.list_(pa.string())
+            rows, strings = pa.array(out["d"]), pa.list_(pa.string())
             return pa.record_batch({
-                "key": pa.array(h[at].view(np.int64)), "rk": batch.column("rk").take(pa.array(d)), "id": batch.column("id").take(pa.array(d)), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)),
-                "left": pa.array([_near(texts[x], range(y - 1, max(-1, y - 1 - NEAR), -1)) for x, y in zip(d, a, strict=True)], strings),
-                "body": pa.array(["\n".join(texts[x][y:z]) for x, y, z in zip(d, a, b, strict=True)], pa.string()),
-                "right": pa.array([_near(texts[x], range(z, min(len(texts[x]), z + NEAR))) for x, z in zip(d, b, strict=True)], strings)})
+                "key": pa.array(np.array(out["key"], np.uint64).view(np.int64)), "rk": batch.column("rk").take(rows), "id": batch.column("id").take(rows), "a": pa.array(out["a"], pa.int32()), "b": pa.array(out["b"], pa.int32()),
+                "left": pa.array(out["left"], strings), "body": pa.array(out["body"], pa.string()), "right": pa.array(out["right"], strings)})
         return apply
 
     held = materialize(arrow_map(rows, bodies, f"key long, rk string, id {id_type}, a int, b int, left array<string>, body string, right array<string>"))
