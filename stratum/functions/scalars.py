@@ -55,10 +55,12 @@ def file_kind(node_type) -> Column:
 # --- sizes
 def human_size(size) -> Column:
     """Binary units with one decimal: 512 B, 240.5 kiB, 1.0 MiB."""
-    size = as_column(size)
+    size = as_column(size).cast("long")
     out = F.concat(size.cast("string"), F.lit(" B"))
     for unit, f in (("kiB", 2**10), ("MiB", 2**20), ("GiB", 2**30), ("TiB", 2**40), ("PiB", 2**50)):
-        out = F.when(size >= f, F.concat(F.format_string("%.1f", size / F.lit(float(f))), F.lit(f" {unit}"))).otherwise(out)
+        whole, tenths = F.floor(size / f), F.floor((F.pmod(size, F.lit(f)) * 10 + f // 2) / f)  # integers: no rounding mode
+        whole, tenths = F.when(tenths == 10, whole + 1).otherwise(whole), F.when(tenths == 10, 0).otherwise(tenths)
+        out = F.when(size >= f, F.concat(whole.cast("string"), F.lit("."), tenths.cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
