@@ -29,7 +29,7 @@ def triplet(bits) -> Column:
 def permissions(mode) -> Column:
     """Nine letters; question marks where the mode is missing."""
     mode = as_column(mode)
-    return F.coalesce(F.concat(*[triplet(F.shiftright(mode, s).bitwiseAND(7)) for s in (6, 3, 0)]), F.lit("?????????"))
+    return F.when(mode.isNull(), "?????????").otherwise(F.concat(*[triplet(F.shiftright(mode, s).bitwiseAND(7)) for s in (6, 3, 0)]))
 
 
 def mode_string(node_type, mode) -> Column:
@@ -170,7 +170,8 @@ def extension(path) -> Column:
 
 def percent(part, whole) -> Column:
     """'12.34'; null where the whole is zero."""
-    return F.format_string("%.2f", F.try_divide(as_column(part) * 100.0, as_column(whole).cast("double")))
+    share = F.try_divide(as_column(part) * 100.0, as_column(whole).cast("double"))
+    return F.when(share.isNotNull(), F.format_string("%.2f", share))
 
 
 def or_unknown(column, text: str = "?") -> Column:
