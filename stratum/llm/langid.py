@@ -23,7 +23,7 @@ from stratum.llm.common import arrow_map, table
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 1500
 AMBIGUOUS = 0.55
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def codewords(n: int) -> np.ndarray:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import gc
 import json
 
 import pyarrow as pa
@@ -159,7 +160,10 @@ class PrefixCounter:
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    own = PrefixCounter(path)
+    gc.freeze()  # caches without cycles: no use in scanning them
+    gc.set_threshold(200_000, 50, 1000)
+    return own
 
 
 def default_path() -> str:
