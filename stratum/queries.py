@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import scalars as X
 from stratum.operators import blobs as B
+from stratum.operators import details as V
 from stratum.operators import diff as D
 from stratum.operators import filters as S
 from stratum.operators import report as R
@@ -409,6 +410,26 @@ def vfs_paths(spark, sf):
     return s.select("event_id", R.virtual_path("/[{hostname}]/[{label}]/{time}".replace("[{", "{").replace("}]", "}")).alias("path"), F.lead("id").over(w).isNull().alias("latest"), F.coalesce(F.lag("tree").over(w) == F.col("tree"), F.lit(False)).alias("identical"))
 
 
+@query(f"""with {SNAP}, d as (select id, unnest([{{'position': 0, 'title': 'Snapshot', 'value': id}}, {{'position': 1, 'title': 'Time', 'value': strftime(time, '%Y-%m-%d %H:%M:%S')}}, {{'position': 2, 'title': 'Host', 'value': hostname}}, {{'position': 3, 'title': 'Label', 'value': label}},
+  {{'position': 4, 'title': 'Tags', 'value': array_to_string(tags, ', ')}}, {{'position': 5, 'title': 'Paths', 'value': path}}, {{'position': 6, 'title': 'Delete', 'value': case delete_kind when 'never' then 'never' when 'after' then 'after ' || strftime(delete_after, '%Y-%m-%d %H:%M:%S') else 'not set' end}},
+  {{'position': 7, 'title': 'Tree', 'value': tree}}, {{'position': 8, 'title': 'Size', 'value': cast(total_bytes as varchar)}}, {{'position': 9, 'title': 'Added', 'value': cast(data_added as varchar)}}]) as p from snap)
+select id, cast(p.position as integer) as position, p.title as title, p.value as value from d where p.value is not null and p.value <> ''""")
+def snap_details(spark, sf):
+    return V.snapshot_details(snapshots(spark, sf))
+
+
+@query(f"with {SNAP} select event_id, least(event_id / 5000.0::double, 1.0) as share, case when event_id > 0 then cast(floor(60 * (5000 - event_id) / event_id::double) as bigint) end as remaining from snap")
+def progress(spark, sf):
+    share, rest = V.progress(F.col("event_id"), F.lit(5000), F.lit(60))
+    return snapshots(spark, sf).select("event_id", share.alias("share"), rest.alias("remaining"))
+
+
+@query(f"with {SNAP}, s as (select hostname, label, k, case when k > 90 then 'marked' when k > 60 then 'modified' when label = 'click' then 'filter' else 'all' end as view from snap) select view, count(*) as n, cast(sum(k) as bigint) as total from s group by view having count(*) > 0")
+def snap_views(spark, sf):
+    view = F.when(F.col("k") > 90, "marked").when(F.col("k") > 60, "modified").when(F.col("label") == "click", "filter").otherwise("all")
+    return snapshots(spark, sf).groupBy(view.alias("view")).agg(F.count("*").alias("n"), F.sum("k").alias("total")).where("n > 0")
+
+
 # --- plans
 @query(f"with {SNAP} select event_id, case when event_id % 3 = 0 then 'existing' else 'to copy' end as status from snap")
 def copy_plan(spark, sf):
