@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -77,6 +78,11 @@ def row_key(key: str, text: str) -> Column:
     return F.concat_ws(":", name, F.hex(F.xxhash64(F.col(text))), F.octet_length(F.col(text)))
 
 
+def named(df: DataFrame, columns, *rest: str) -> DataFrame:
+    """Columns k0, k1, ... under their own names again, in one step, so that no name can clash on the way."""
+    return df.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)], *rest)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a context, so that their Python workers can import it
     wherever the driver found it."""
@@ -94,19 +100,28 @@ def ship(spark: SparkSession) -> None:
     context._stratum_shipped = True
 
 
-def arrow_map(df: DataFrame, make: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable, schema: str, calm: bool = False) -> DataFrame:
     """mapInArrow over bounded batches: `make()` is called once a task and returns a function from a
-    RecordBatch to a RecordBatch (or None)."""
+    RecordBatch to a RecordBatch (or None).  calm: the task keeps large caches of small objects without cycles, which the
+    collector need not scan all the time; workers are used again, so at the end `close` drops them and its settings are put back."""
     spark = df.sparkSession
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
     def run(batches):
-        apply = make()
-        for batch in batches:
-            if batch.num_rows and (out := apply(batch)) is not None:
-                yield out
+        apply, limits = make(), gc.get_threshold()
+        if calm:
+            gc.set_threshold(100_000, 20, 50)
+        try:
+            for batch in batches:
+                if batch.num_rows and (out := apply(batch)) is not None:
+                    yield out
+        finally:
+            if calm:
+                getattr(apply, "close", lambda: None)()  # idle workers shall not hold caches
+                gc.set_threshold(*limits)
+                gc.collect()
 
     return df.mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, table
+from stratum.llm.common import arrow_map, named, table
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 1500
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str,
         return apply
 
     schema = ", ".join([*[f"k{i} {k}" for i, k in enumerate(kinds)], "lang_pred string, score double, ambiguous boolean"])
-    return arrow_map(rows, make, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return named(arrow_map(rows, make, schema), keep, "lang_pred", "score", "ambiguous")
 
 
 def held_out(key: str = "doc_id"):

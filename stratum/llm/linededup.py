@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, forget, materialize, row_key, table
+from stratum.llm.common import arrow_map, forget, materialize, named, row_key, table
 
 LONG, MAX_LINES, NEAR, MIN_WORDS, LONG_WORDS, MAX_FILTER_BITS = 12, 8, 4, 20, 50, 26
 _HASHES = 3
@@ -199,7 +199,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
         return apply
 
     schema = ", ".join([*[f"{c} {k}" for c, k in kinds.items()], "_n_lines long, _n_removed long"])
-    return arrow_map(rows, make, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(columns)})
+    return named(arrow_map(rows, make, schema), columns, "_n_lines", "_n_removed")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

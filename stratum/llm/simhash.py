@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, components, materialize, row_key, table
+from stratum.llm.common import arrow_map, components, materialize, named, row_key, table
 
 RADIUS, SHINGLE, CHUNK = 4, 4, 1024
 
@@ -62,7 +62,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
             return pa.record_batch({f"k{i}": batch.column(f"k{i}") for i in range(len(keep))} | {"fp": pa.array(fps)})
         return apply
 
-    return arrow_map(rows, make, ", ".join([*[f"k{i} {k}" for i, k in enumerate(kinds)], "fp long"])).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return named(arrow_map(rows, make, ", ".join([*[f"k{i} {k}" for i, k in enumerate(kinds)], "fp long"])), keep, "fp")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:

@@ -19,14 +19,13 @@ from __future__ import annotations
 
 import bisect
 import functools
-import gc
 import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, table
+from stratum.llm.common import arrow_map, named, table
 
 LIMIT = 512
 CACHE_WORDS = 400_000
@@ -160,10 +159,7 @@ class PrefixCounter:
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
-    own = PrefixCounter(path)
-    gc.freeze()  # caches without cycles: no use in scanning them
-    gc.set_threshold(200_000, 50, 1000)
-    return own
+    return PrefixCounter(path)
 
 
 def default_path() -> str:
@@ -194,7 +190,7 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         return apply
 
     schema = ", ".join([*[f"k{i} {k}" for i, k in enumerate(kinds)], "n_bytes long, n_tokens long, over_limit boolean"] + ["prefix_tokens array<int>, fit_chars long"] * prefixes)
-    return arrow_map(rows, make, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return named(arrow_map(rows, make, schema, calm=True), keep, "n_bytes", "n_tokens", "over_limit", *["prefix_tokens", "fit_chars"] * prefixes)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
