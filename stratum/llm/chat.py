@@ -73,7 +73,7 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
                            .select("conv", "node", F.col("next").alias("to")), jump)
         step *= 2
     if not jump.isEmpty():  # cycles: their paths never reach a root
-        rooted = nodes.join(known.select("conv", F.col("parent").alias("p")), ["conv"], "left_semi").where("parent is null").select("conv", "node")
+        rooted = nodes.join(known, ["conv", "parent"], "left_anti").select("conv", "node")
         ends = paths.join(rooted, ["conv", "node"], "left_semi").select("conv", "leaf").distinct()
         paths = paths.join(ends, ["conv", "leaf"], "left_semi")
     forget(jump)
