@@ -1,0 +1,396 @@
+"""The ten operators against plain forms of their contracts, on tables and on odd rows."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stratum.llm import chat, decontaminate, embeddings, langid, linededup, pieces, pii, simhash, tokencount, urlfilter
+from stratum.llm.common import components
+
+from . import helpers as H
+
+SF = "/root/testdata/sf0.001"
+LONG = "wörd Zwei three " * 4000
+
+
+def docs_of(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts_of(spark):
+    return [(r["doc_id"], r["text"]) for r in docs_of(spark).select("doc_id", "text").collect()]
+
+
+ODD = [(1, None), (2, ""), (3, "   \n "), (4, "One two three"), (4, "One two three"), (5, LONG), (None, "one two three"), (None, None), (6, "... !!! 12"), (7, "a" * 5000), (8, "\x00\u2581é日本 😀")]
+
+
+def odd(spark):
+    """Nulls, empties, blanks, repeats, long texts, and columns whose names clash with internal ones."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string")
+    for c in ("id", "rk", "fp", "key", "hash", "words", "k0", "a", "n", "marks", "component", "lang", "source"):
+        df = df.withColumn(c, F.lit("x"))
+    return df.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] + [(600, i) for i in range(601, 700)]
+    ids = sorted(set(range(400)) | set(range(500, 561)) | set(range(600, 700)) | {900})
+    out = {r["id"]: r["component"] for r in components(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(links, "a long, b long")).collect()}
+    assert out == H.groups(ids, links)
+
+
+# --- 1
+SHORT = [(900, "erblest it hein"), (901, "The"), (902, None), (903, ".."), (None, "of that the and"), (904, "a b " * 9)]
+
+
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_decontaminate(spark, rows):
+    docs = texts_of(spark) + [(10_001, "x " * 50 + "a b " * 30), (10_002, None)]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + SHORT
+    items += [(950, items[0][1])]
+    out = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=rows)
+    got = {r["id"]: (r["n_words"], r["n_hit"], len(r["items"]), __import__("hashlib").sha256(",".join(r["items"]).encode()).hexdigest()) for r in out.collect()}
+    assert got == H.contamination(docs, items)
+
+
+def test_decontaminate_odd(spark):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    out = decontaminate.decontaminate(odd(spark), bench).collect()
+    assert len(out) == len(ODD) and sum(r["contaminated"] for r in out) == 3
+    assert decontaminate.decontaminate(odd(spark).limit(0), bench).count() == 0
+    assert not any(r["contaminated"] for r in decontaminate.decontaminate(odd(spark), bench.limit(0)).collect())
+
+
+# --- 2
+URLS = [(1, "http://A.spam-farm.example.org/fr/x?y#z"), (2, "https://x.net"), (3, "https://x.net/"), (4, "https://m.example.net/en/1"), (5, "https://example.net/de"), (6, "http://a.example.com/de/3"), (7, "http://a.example.com/en"),
+        (8, None), (9, "no scheme"), (10, "a://b://c/d"), (11, "http://xspam-farm.example.org/"), (12, "http://spam-farm.example.org?q=://u/"), (12, "http://spam-farm.example.org?q=://u/"), (13, "://\nx.org/fr/\n"), (14, "http://ÄB.org/fr/")]
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 8])
+def test_url_filter(spark, bits):
+    listed = spark.createDataFrame([(k,) for k in [*urlfilter.LISTED, urlfilter.LISTED[0], None]], "key string")
+    rows = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(spark.createDataFrame(URLS, "page_id long, url string").withColumn("host", F.lit(1)), listed, max_bits=bits).collect()}
+    assert rows == {(1, "a.spam-farm.example.org", "/fr/x", "org/fr/", "allow"), (2, "x.net", "", None, "allow"), (3, "x.net", "/", "net/", "block"), (4, "m.example.net", "/en/1", "example.net/en/", "allow"),
+                    (5, "example.net", "/de", "net/", "block"), (6, "a.example.com", "/de/3", "example.com/de/", "block"), (7, "a.example.com", "/en", None, "allow"), (8, "", "", None, "allow"), (9, "", "", None, "allow"),
+                    (10, "b:", "//c/d", None, "allow"), (11, "xspam-farm.example.org", "/", None, "allow"), (12, "spam-farm.example.org", "", None, "block"), (13, "\nx.org", "/fr/\n", "org/fr/", "allow"), (14, "Äb.org", "/fr/", "org/fr/", "allow")}
+
+
+def test_cascade_is_exact(spark):
+    keys = [f"host{i}.example" for i in range(4000)]
+    universe = spark.createDataFrame([(k,) for k in keys], "key string")
+    listed = set(keys[::7])
+    cascade = urlfilter.Cascade(universe, spark.createDataFrame([(k,) for k in [*listed, "elsewhere"]], "key string"))
+    assert len(cascade.levels) > 1
+    assert {r["key"] for r in universe.where(cascade.contains(F.col("key"))).collect()} == listed
+
+
+# --- 3
+def test_simhash(spark):
+    docs = texts_of(spark)
+    rng = random.Random(2)
+    docs += [(20_000 + i, t) for i, (_, t) in enumerate(docs[:20])] + [(30_000 + i, t.replace("the", "teh", 1) + " end") for i, (_, t) in enumerate(docs[:40])] + [(40_000, None), (40_001, " \t"), (40_002, "one two")]
+    rng.shuffle(docs)
+    prints = {i: H.simhash(t) for i, t in docs}
+    ids = sorted(prints)
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1:] if (prints[a] ^ prints[b]).bit_count() <= 4]
+    rows = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["id"]: r["fp"] & (1 << 64) - 1 for r in rows} == prints
+    assert {r["id"]: r["component"] for r in rows} == H.groups(ids, links)
+
+
+@pytest.mark.parametrize("chunk", [8, 1024])
+def test_simhash_buckets(spark, chunk):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fps = base[rng.integers(0, 6, 400)]
+    for _ in range(2):
+        fps = fps ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64))
+    fps = np.unique(fps)
+    found = simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), chunk=chunk).collect()
+    ids = [int(f) for f in fps]
+    near = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1:] if (a ^ b).bit_count() <= 4]
+    got = [(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in found]
+    assert all((a ^ b).bit_count() <= 4 for a, b in got) and H.groups(ids, got) == H.groups(ids, near)
+
+
+def test_bit_sliced_distances():
+    rng = np.random.default_rng(4)
+    for n in (1, 63, 64, 65, 300):
+        fps = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        fps[::3] = fps[0] ^ (np.uint64(1) << rng.integers(0, 63, len(fps[::3])).astype(np.uint64))
+        for radius in (0, 1, 4, 6):
+            want = [i for i in range(n) if (int(fps[i]) ^ int(fps[0])).bit_count() <= radius]
+            assert simhash.within(simhash.planes_of(fps), n, int(fps[0]), radius).tolist() == want
+
+
+def test_simhash_odd(spark):
+    rows = simhash.near_duplicates(odd(spark)).collect()
+    assert len(rows) == len(ODD) and {r["component"] for r in rows if r["fp"] == 0} == {1}
+    assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0
+    kept = simhash.stage(spark, odd(spark), SF)
+    assert kept.columns == odd(spark).columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6, 7, 8]
+
+
+# --- 4
+def test_embeddings(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 16))
+    near = base[rng.integers(0, 40, 500)] + rng.normal(size=(500, 16)) * 0.16
+    vectors = np.vstack([base, near, base[:30] * 3, np.repeat(base[:1], 60, axis=0)]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (5004, [1.0] * 15 + [None]), (5005, [float("inf")] + [0.0] * 15), (5006, [1.0, 2.0]), (5007, [1.0, 2.0]), (None, base[0].tolist())]
+    x = vectors.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = [(int(a), int(b)) for a, b in np.argwhere(np.triu(x @ x.T >= 0.95, 1))] + [(5006, 5007)]
+    assert 1000 < len(links)
+    got = embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("n", F.lit(1))).collect()
+    assert len(got) == len(rows)
+    counts = {i: 0 for i, _ in rows}
+    for a, b in links:
+        counts[a] += 1
+        counts[b] += 1
+    assert {r["id"]: r["n_links"] for r in got} == counts
+    want = H.groups([i for i, _ in rows if i is not None], links)
+    assert {r["id"]: r["component"] for r in got} == want | {None: None}
+
+
+def test_tiles_agree(spark, monkeypatch):
+    """Many small tiles give what one tile gives."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    one = sorted(map(tuple, embeddings.link_vectors(df, threshold=0.8).collect()))
+    monkeypatch.setattr(embeddings, "MIN_TILE", 40)
+    assert sorted(map(tuple, embeddings.link_vectors(df, threshold=0.8).collect())) == one and sum(r[1] for r in one) > 100
+
+
+def test_quantisation_bound():
+    x = embeddings.unit(np.random.default_rng(7).normal(size=(200, 64)))
+    codes, scale, error = embeddings.quantise(x)
+    gap = np.abs(x @ x.T - (codes * scale[:, None]) @ (codes * scale[:, None]).T)
+    assert (gap <= error[:, None] * (1 + error[None]) + error[None] + 1e-12).all()
+
+
+def test_embeddings_empty(spark):
+    assert embeddings.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# --- 5
+def test_sampling_distribution():
+    own = pieces.Pieces(pieces.default_path(), alpha=0.5)
+
+    def all_of(unit, at=0):
+        if not unit:
+            return [((), 0.0)]
+        out = []
+        for j in range(1, len(unit) + 1):
+            found = own.known.get(unit[:j]) or (own.bytes_of(unit[0]) if j == 1 else None)
+            if found:
+                out += [(found[0] + s, found[1] + pieces.LEFT * at + w) for s, w in all_of(unit[j:], at + j)]
+        return out
+
+    for text in ("the hat", "aé\nñ", "ab!! ab!!"):
+        units = own.units(text)
+        own.learn(set(units))
+        every = [((), 0.0)]
+        for u in units:
+            every = [(a + b, x + y) for a, x in every for b, y in all_of(u)]
+        total = np.logaddexp.reduce([w for _, w in every])
+        p = {s: math.exp(w - total) for s, w in every}
+        first, second, n = {}, {}, 4000
+        for i in range(n):
+            out = own.sample(units, 2, pieces.row_rng((text, i)))
+            a, b = (tuple(x[2].tolist()) for x in out)
+            assert a != b and all(abs(math.exp(x[0]) - p[tuple(x[2].tolist())]) < 1e-9 and 0 < x[1] <= 1 for x in out)
+            first[a], second[b] = first.get(a, 0) + 1, second.get(b, 0) + 1
+        want = {b: sum(p[a] * p[b] / (1 - p[a]) for a in p if a != b) for b in p}
+        assert max(abs(first.get(s, 0) / n - p[s]) for s in p) < 0.03 and max(abs(second.get(s, 0) / n - want[s]) for s in p) < 0.03
+
+
+def test_inclusion_scores_estimate_totals():
+    """Horvitz-Thompson: sum of probability / inclusion over a sample is 1 on average."""
+    own = pieces.Pieces(pieces.default_path(), alpha=0.5)
+    units = own.units("then there")
+    own.learn(set(units))
+    sums = [sum(math.exp(a) / b for a, b, _ in own.sample(units, 3, pieces.row_rng(i))) for i in range(3000)]
+    assert abs(np.mean(sums) - 1) < 0.05
+
+
+def test_vector_and_single_lattices_agree():
+    own = pieces.vocabulary(pieces.default_path(), pieces.ALPHA)
+    words = {u for t in ("thereabouts unbelievable ththth &&& %%% naïve Straße", LONG) for u in own.units(t)} | {"▁" + "".join(random.Random(i).choices("abthe&!", k=7)) for i in range(200)}
+    own.learn(words)
+    for u in words:
+        i, one = own.at[u], pieces.Lattice(u, own)
+        assert one.canonical() == tuple(own.ids[own.start[i]:own.start[i + 1]].tolist()) and abs(one.best[0] - one.total - own.best[i]) < 1e-9 and (one.other == own.other[i] or abs(one.other - own.other[i]) < 1e-6)
+
+
+def test_sentencepiece(spark):
+    own = pieces.vocabulary(pieces.default_path(), pieces.ALPHA)
+    for _, t in texts_of(spark)[:50]:
+        assert own.decode(own.encode(t)) == t.replace(pieces.BLANK, " ")
+    rows = pieces.sample_encodings(odd(spark), k=3, ids=True).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["id"], []).append(r)
+        assert r["exact"] and r["n_pieces"] == len(r["ids"])
+    for i in (1, 2):
+        assert [(r["n_pieces"], r["inclusion"]) for r in by[i]] == [(0, 1.0)]
+    for i, n in ((5, 3), (6, 3), (8, 2)):  # the last has no more than two
+        assert len({tuple(r["ids"]) for r in by[i]}) == n and [r["rank"] for r in by[i]] == [1, 2, 3][:n] and own.decode(by[i][0]["ids"]) == dict(ODD[5:])[i].replace(pieces.BLANK, " ")
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, pieces.sample_encodings(odd(spark).repartition(7), k=3, ids=True).collect()), key=repr)  # the row's key alone seeds it
+
+
+# --- 6
+def test_pii_base():
+    rng = random.Random(8)
+    for _ in range(4000):
+        t = "".join(rng.choice("ab1234567890@..--+++()  %é_") for _ in range(rng.randint(0, 60)))
+        assert pii.base_spans(t) == H.pii(t)
+    assert pii.base_spans("1" * 200_000) == [] and pii.base_spans("a" * 100_000 + "@") == []
+
+
+def test_pii(spark):
+    out = {r["id"]: r for r in pii.find_pii(docs_of(spark)).collect()}
+    for i, t in texts_of(spark):
+        assert [(s["a"], s["b"], s["kind"]) for s in out[i]["spans"]] == H.pii(t)
+
+
+def test_pii_bootstrap(spark):
+    rows = [(i, f"Some words. Badge holder: +1 (555) 123-45{i:02d} end") for i in range(8)] + [(100 + i, f"More words. Badge holder: 7749-22{i:02d} stop") for i in range(3)] + [(200, None), (201, "the number 12345678 is clean")]
+    out = {r["id"]: [(s["a"], s["b"], s["kind"]) for s in r["found"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), max_patterns=1).collect()}
+    assert all(out[100 + i] == [(26, 35, "phone")] for i in range(3)) and out[200] == [] and out[201] == [] and len(out[0]) == 1
+    assert pii.find_pii(odd(spark)).count() == len(ODD) and pii.find_pii(odd(spark).limit(0)).count() == 0
+
+
+# --- 7
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    own, library = tokencount.counter(tokencount.default_path()), Tokenizer.from_file(tokencount.default_path())
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    texts = [t for _, t in texts_of(spark)] + [t or "" for _, t in ODD] + ["a  <|endoftext|>b   we'll don't \n\n x   ", "<|endoftext|><|endoftext|>"]
+    assert [own.count(t) for t in texts] == [count(t) for t in texts]
+    for t in ["a  <|endoftext|>b   we'll  éé😀 don't \n\n x   ", "'", "12 34ab", *[t[:50] for t in texts[:20]]]:
+        assert own.prefixes(t) == [count(t[:i]) for i in range(len(t) + 1)]
+        for budget in (0, 1, 5):
+            assert count(t[:own.fit(t, budget)]) <= budget
+    rows = tokencount.count_tokens(odd(spark), prefixes=True).collect()
+    assert len(rows) == len(ODD) and all(r["prefix_tokens"][-1] == r["n_tokens"] for r in rows if r["doc_id"] != 5) and {r["over_limit"] for r in rows if r["doc_id"] == 5} == {True}
+
+
+# --- 8
+def test_line_dedup_repeats_go(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passages = [[line(n) for n in shape] for shape in ((42, 16), (30, 30), (11, 11, 42, 16), (13, 31, 9), (6,) * 10, (60,))]
+    rows, i = [], 0
+    for p in passages:
+        for _ in range(5):
+            rows.append((i, "\n".join([line(rng.randint(2, 30)) for _ in range(3)] + p + [line(rng.randint(2, 30)) for _ in range(3)])))
+            i += 1
+    rows += [(900, "short one\n" + line(9)), (901, "short one\n" + line(9)), (902, None), (903, "")]
+    out = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    before, i = dict(rows), 0
+    for p in passages:
+        assert out[i]["text"] == before[i]  # the first occurrence stays
+        for j in range(i + 1, i + 5):
+            left = out[j]["text"].split("\n")
+            assert sum(len(x.split()) for x in p if x in left) <= 20, (p, left)
+            assert all(x in left for x in before[j].split("\n") if x not in p)  # all else stays
+        i += 5
+    assert out[900]["text"] == before[900] and out[901]["text"] == before[901] and out[902]["text"] is None and out[903]["text"] == ""
+
+
+def test_line_dedup_loses_nothing(spark):
+    docs = dict(texts_of(spark))
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs_of(spark)).collect()}
+    lines = lambda ts: {x for t in ts for x in t.split("\n")}
+    assert set(out) == set(docs) and lines(docs.values()) - lines(out.values()) <= {""}
+    assert sum(map(len, out.values())) < sum(map(len, docs.values()))
+
+
+def test_line_dedup_odd(spark):
+    df = odd(spark)
+    out = linededup.stage(spark, df, SF)
+    assert out.columns == df.columns and out.count() == len(ODD) and linededup.stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_chunks_cover_and_resist_shifts():
+    rng = random.Random(10)
+    lines = ["w " * rng.choice((1, 2, 5, 20)) + str(i) for i in range(300)]
+    cuts = linededup.chunks(lines)
+    assert cuts[0][0] == 0 and cuts[-1][1] == 300 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+    moved = {(a - 1, b - 1) for a, b in linededup.chunks(["new", *lines])}
+    assert len(set(cuts) & moved) > 0.9 * len(cuts)
+
+
+# --- 9
+def test_template_round_trip():
+    rng = random.Random(11)
+    for _ in range(2000):
+        turns = [(rng.choice(("user", "assistant", "a|>", "<|x", "")), "".join(rng.choice("<|>[]\\/sINST end\n|lbp") for _ in range(rng.randint(0, 25)))) for _ in range(rng.randint(0, 4))]
+        formatted, spans = chat.render(turns)
+        assert chat.parse(formatted) == turns
+        assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
+
+
+def test_chat(spark):
+    want = {-7: H.conversation([("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")])}
+    rows = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        rows.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    want |= {c: H.conversation(t) for c, t in rows.items()}
+    got = {r["conv_id"]: tuple(r[c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")) for r in chat.op9_chat_format(spark, SF).collect()}
+    assert got == want
+
+
+def test_reply_trees(spark):
+    edges = [("c", 1, None, 0.0), ("c", 2, 1, 1.0), ("c", 3, 1, 5.0), ("c", 4, 2, 1.0), ("c", 5, 2, 2.0), ("d", 1, 99, 0.0), ("e", 1, 2, 0.0), ("e", 2, 1, 0.0), ("e", 3, 2, 0.0)] + [("f", i, i - 1 if i else None, 0.0) for i in range(70)]
+    df = spark.createDataFrame([(*e, "user", f"t{e[1]}") for e in edges], "conv string, node long, parent long, score double, role string, text string")
+    out = {(r["conv"], r["leaf"]): [t for _, t in chat.parse(r["formatted"])] for r in chat.format_trees(df).collect()}
+    assert out == {("c", 3): ["t1", "t3"], ("c", 4): ["t1", "t2", "t4"], ("c", 5): ["t1", "t2", "t5"], ("d", 1): ["t1"], ("f", 69): [f"t{i}" for i in range(70)]}
+    best = {(r["conv"], r["leaf"]) for r in chat.format_trees(df, top=1).collect()}
+    assert best == {("c", 3), ("d", 1), ("f", 69)}
+
+
+def test_chat_odd(spark):
+    rows = spark.createDataFrame([(1, 0, None, None), (1, 0, None, None), (1, 1, "assistant", "x"), (None, 0, "user", "y")], "conv_id long, turn long, role string, text string").withColumn("node", F.lit("clash"))
+    out = {r["conv"]: r["n_turns"] for r in chat.read_back(chat.format_trees(chat.threads(rows))).collect()}
+    assert out == {"=1": 3, "null": 1} and chat.format_trees(chat.threads(rows.limit(0))).count() == 0
+
+
+# --- 10
+def test_language_id(spark):
+    docs = {r["doc_id"]: r["lang"] for r in docs_of(spark).select("doc_id", "lang").collect()}
+    rows = langid.op10_language_id(spark, "/root/testdata/sf0.01").collect()
+    docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    import zlib
+
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r["held_out"] and docs[r["doc_id"]] is not None]
+    assert sum(r["lang_pred"] == docs[r["doc_id"]] for r in held) / len(held) > 0.97 and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_id_odd(spark):
+    model = langid.train(docs_of(spark))
+    rows = langid.identify(odd(spark), model).collect()
+    assert len(rows) == len(ODD) and {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3, 6)} == {"und"}
+    assert {r["lang_pred"] for r in langid.identify(odd(spark), langid.train(odd(spark).limit(0))).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.identify(odd(spark), langid.train(odd(spark))).collect()} == {"und", "x"}
+    kept = langid.stage(spark, odd(spark), SF)
+    assert kept.columns == odd(spark).columns and kept.count() == 6
+
+
+def test_codewords():
+    for n in (2, 3, 4, 5, 9, 20):
+        code = langid.codewords(n).astype(int)
+        far = (code.shape[1] - code @ code.T) // 2 + 99 * np.eye(n, dtype=int)
+        assert far.min() >= (1 if n < 4 else 3)
+    margins = langid.codewords(4).astype(float) * 3
+    margins[2, 0] *= -1  # one wrong bit is corrected
+    assert langid.decode(margins, list("abcd"), langid.codewords(4))[0] == list("abcd")
