@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from stratum.llm.common import arrow_map, components, materialize, named, row_key, table
 
-RADIUS, SHINGLE, CHUNK = 4, 4, 1024
+RADIUS, SHINGLE, CHUNK, FEW = 4, 4, 1024, 128
+#: For similarity 0.8 or more of five-word shingles, as the pipeline takes it.
+STAGE_RADIUS, STAGE_SHINGLE, STAGE_SIMILARITY = 7, 5, 0.8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -98,7 +100,7 @@ def within(planes: np.ndarray, n: int, query: int, radius: int) -> np.ndarray:
 def cluster(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join what is connected within this bucket: a breadth-first spanning forest."""
     left, links = fps, []
-    if len(fps) < 24:  # the planes of a few fingerprints cost more than they save
+    if len(fps) < FEW:  # the planes of few fingerprints cost more than they save
         apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
         a, b = np.nonzero(np.triu(apart <= radius, 1))
         return [(int(fps[i]), int(fps[j])) for i, j in zip(a, b, strict=True)]
@@ -122,8 +124,8 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
 
     More blocks make more, finer tables: 6 blocks (15 tables of 21 bits at radius 4) up to 2^24
     fingerprints, 7 (35 tables of 27 bits) up to 2^28, else 8 (70 tables of 32 bits); all are exact."""
-    if not 0 <= radius <= 6:
-        raise ValueError("the three-bit counters hold a radius of 0 to 6")
+    if not 0 <= radius <= 7:
+        raise ValueError("the three-bit counters hold a radius of 0 to 7")
     if blocks is None:
         n = fps.count()
         blocks = radius + 2 + (n > 1 << 24) + (n > 1 << 28)
@@ -163,17 +165,46 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
     return arrow_map(groups, make, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def shingles_of(text: str | None, shingle: int) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+
+def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts' shingle sets agree to at least `similarity` (Jaccard); texts(fp, text)."""
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)):
+                x, y = shingles_of(x, shingle), shingles_of(y, shingle)
+                if len(x & y) >= similarity * len(x | y):
+                    keep.append(i)
+            return pa.record_batch({c: batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")}) if keep else None
+        return apply
+
+    return arrow_map(both.select("a", "b", "ta", "tb"), make, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """(id, rk, fp, component): one row for every row of docs; component is the smallest id of the group, rk names
-    the row by its id and text."""
+    the row by its id and text.  With a similarity, links between different fingerprints must also hold on the texts."""
     rows = docs.select(F.col(key).alias("id"), row_key(key, text).alias("rk"), F.col(text).alias("text"))
     marked = materialize(with_fingerprint(rows, keep=("id", "rk"), shingle=shingle))
-    folded = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    groups = components(folded.select(F.col("fp").alias("id")), links(folded.select("fp"), radius))
+    folded = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min("rk").alias("rk")))
+    near = links(folded.select("fp"), radius)
+    if similarity is not None:
+        near = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        wanted = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        named_rows = folded.join(wanted, "fp", "left_semi").select("rk", "fp")
+        texts = materialize(rows.select("rk", "text").join(named_rows, "rk").dropDuplicates(["fp"]).select("fp", "text"))
+        near = alike(near, texts, shingle, similarity)
+    groups = components(folded.select(F.col("fp").alias("id")), near)
     own = materialize(folded.join(groups, folded.fp == groups.id).select("fp", "least", F.col("component").alias("group")))
     names = materialize(own.groupBy("group").agg(F.min("least").alias("component")))
-    named = materialize(own.join(names, "group").select("fp", "component"), own, folded)
-    return marked.join(named, "fp").select("id", "rk", "fp", "component")
+    known = materialize(own.join(names, "group").select("fp", "component"), own, folded)
+    return marked.join(known, "fp").select("id", "rk", "fp", "component")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +214,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the document of the smallest id stays, once; documents
-    without any id in their group are not told apart by id and stay."""
-    first = near_duplicates(docs).where("id = component or component is null").select(F.col("rk").alias("_stratum_rk")).distinct()
+    without any id in their group are not told apart by id and stay.
+
+    The radius is wider than in op3's contract, and links are checked on the texts: five-word shingles agree to 0.8 or more."""
+    first = near_duplicates(docs, radius=STAGE_RADIUS, shingle=STAGE_SHINGLE, similarity=STAGE_SIMILARITY).where("id = component or component is null").select(F.col("rk").alias("_stratum_rk")).distinct()
     kept = docs.withColumn("_stratum_rk", row_key("doc_id", "text")).join(first, "_stratum_rk", "left_semi")
     return kept.dropDuplicates(["_stratum_rk"]).select(*docs.columns)

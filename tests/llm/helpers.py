@@ -49,11 +49,11 @@ def contamination(docs, items):
     return out
 
 
-def simhash(text):
+def simhash(text, size=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     if not w:
         return 0
-    shingles = [" ".join(w[i:i + 4]) for i in range(max(1, len(w) - 3))]
+    shingles = [" ".join(w[i:i + size]) for i in range(max(1, len(w) - size + 1))]
     ones = [0] * 64
     for s in shingles:
         h = xxhash.xxh64_intdigest(s.encode(), 42)
@@ -85,3 +85,8 @@ def conversation(turns):
     turns = [(r or "", t or "") for r, t in turns]
     loss = "".join(t for r, t in turns if r == "assistant")
     return len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def jaccard(a, b, size=5):
+    a, b = ({" ".join(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} for w in (re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in (a, b)))
+    return len(a & b) / len(a | b)

@@ -102,19 +102,20 @@ def test_simhash(spark):
     assert {r["id"]: r["component"] for r in rows} == H.groups(ids, links)
 
 
-@pytest.mark.parametrize("chunk", [8, 1024])
-def test_simhash_buckets(spark, chunk):
+@pytest.mark.parametrize("chunk,radius,few", [(8, 4, 128), (1024, 4, 2), (1024, 7, 128), (50, 7, 2)])
+def test_simhash_buckets(spark, chunk, radius, few, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", few)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     fps = base[rng.integers(0, 6, 400)]
     for _ in range(2):
         fps = fps ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64))
     fps = np.unique(fps)
-    found = simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), chunk=chunk).collect()
+    found = simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), radius, chunk=chunk).collect()
     ids = [int(f) for f in fps]
-    near = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1:] if (a ^ b).bit_count() <= 4]
+    near = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1:] if (a ^ b).bit_count() <= radius]
     got = [(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in found]
-    assert all((a ^ b).bit_count() <= 4 for a, b in got) and H.groups(ids, got) == H.groups(ids, near)
+    assert all((a ^ b).bit_count() <= radius for a, b in got) and H.groups(ids, got) == H.groups(ids, near)
 
 
 def test_bit_sliced_distances():
@@ -122,7 +123,7 @@ def test_bit_sliced_distances():
     for n in (1, 63, 64, 65, 300):
         fps = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         fps[::3] = fps[0] ^ (np.uint64(1) << rng.integers(0, 63, len(fps[::3])).astype(np.uint64))
-        for radius in (0, 1, 4, 6):
+        for radius in (0, 1, 4, 6, 7):
             want = [i for i in range(n) if (int(fps[i]) ^ int(fps[0])).bit_count() <= radius]
             assert simhash.within(simhash.planes_of(fps), n, int(fps[0]), radius).tolist() == want
 
