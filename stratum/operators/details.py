@@ -40,3 +40,39 @@ def widths(df: DataFrame) -> DataFrame:
 def commands(*levels: Column) -> Column:
     """Hook commands of several levels, in order."""
     return F.flatten(F.array(*levels))
+
+
+def attributes(nodes: DataFrame, now: Column) -> DataFrame:
+    """File attributes with defaults: mode 0755, owner and group 0, the given time."""
+    def given(name: str, default: Column) -> Column:
+        return F.coalesce(F.col(name), default).alias(name) if name in nodes.columns else default.alias(name)
+
+    return nodes.select("path", "node_type", given("size", F.lit(0).cast("long")), given("mode", F.lit(0o755).cast("long")), given("uid", F.lit(0).cast("long")), given("gid", F.lit(0).cast("long")), given("mtime", now), given("links", F.lit(1).cast("long")))
+
+
+def browse(nodes: DataFrame, directory: str) -> DataFrame:
+    """The entries of one directory: name, kind, and size, that of a directory being all below it."""
+    depth = directory.count("/") + 2
+    parts = F.split("path", "/")
+    inside = nodes.where(F.col("path").startswith(directory + "/"))
+    entry = F.element_at(parts, depth)
+    kind = F.when(F.size(parts) > depth, "dir").otherwise(F.col("node_type"))
+    return inside.groupBy(entry.alias("name")).agg(F.max(kind).alias("kind"), F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+
+
+def find_results(snapshots: DataFrame, hits: DataFrame, show_misses: bool = False) -> DataFrame:
+    """snapshots(id) with their hits(id, path); those without a hit only when asked for."""
+    return snapshots.join(hits, "id", "left" if show_misses else "inner")
+
+
+def pack_listing(index: DataFrame) -> DataFrame:
+    """Packs with their type, size and time ('' where unknown)."""
+    time = F.max("pack_time") if "pack_time" in index.columns else F.lit(None).cast("timestamp")
+    return index.groupBy("pack_id", "blob_type").agg(F.sum("length").alias("size"), F.coalesce(F.date_format(time, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("time"))
+
+
+def index_totals(index: DataFrame) -> DataFrame:
+    """Blobs and bytes by type, live and marked for deletion, and in all; types without rows do not show."""
+    kind = F.when(F.col("to_delete"), F.concat("blob_type", F.lit(" to delete"))).otherwise(F.col("blob_type"))
+    rows = index.withColumn("kind", kind).rollup("kind").agg(F.grouping("kind").alias("_all"), F.count("*").alias("blobs"), F.sum("data_length").alias("data_size"), F.sum("length").alias("packed_size"))
+    return rows.withColumn("kind", F.when(F.col("_all") == 1, "Total").otherwise(F.col("kind"))).drop("_all")

@@ -132,3 +132,18 @@ def must_delete(now) -> Column:
 def in_part(blob_id, part: int, parts: int) -> Column:
     """The part-th of `parts` deterministic subsets, by the id's first eight hex digits."""
     return F.pmod(F.conv(F.substring(as_column(blob_id), 1, 8), 16, 10).cast("long"), F.lit(parts)) == part - 1
+
+
+def without_attribute(name: str) -> Column:
+    """Nodes that do not carry an extended attribute of this name."""
+    return ~F.coalesce(F.exists("xattrs", lambda x: x["name"] == name), F.lit(False))
+
+
+def on_one_file_system(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes on the device of the root they lie below: roots(root, device)."""
+    own = roots.select("root", F.col("device").alias("root_device"))
+    return nodes.join(own, "root").where(F.col("device").eqNullSafe(F.col("root_device"))).drop("root_device")
+
+
+def not_larger_than(limit: int) -> Column:
+    return F.coalesce(F.col("size") <= limit, F.lit(True))

@@ -430,6 +430,38 @@ def snap_views(spark, sf):
     return snapshots(spark, sf).groupBy(view.alias("view")).agg(F.count("*").alias("n"), F.sum("k").alias("total")).where("n > 0")
 
 
+@query(f"with {NODES}, e as (select string_split(path, '/') as s, size from node where starts_with(path, '/en/')) select s[3] as name, 'dir' as kind, count(*) as files, cast(sum(size) as bigint) as size from e group by 1")
+def browse_directory(spark, sf):
+    return V.browse(nodes(spark, sf), "/en")
+
+
+@query(f"with {NODES} select path, node_type, size, mode, cast(0 as bigint) as uid, cast(0 as bigint) as gid, mtime, cast(1 as bigint) as links from v2")
+def node_attributes(spark, sf):
+    return V.attributes(nodes_v2(spark, sf), F.lit(0).cast("long"))
+
+
+@query(f"with {SNAP}, h as (select page_id from pages where page_id % 7 = 0 and page_id < 200) select s.event_id, h.page_id from snap s left join h on h.page_id = s.event_id where s.event_id < 500")
+def find_misses(spark, sf):
+    hits = table(spark, sf, "pages").where("page_id % 7 = 0 and page_id < 200").select(F.col("page_id").alias("id"), "page_id")
+    return V.find_results(snapshots(spark, sf).where("event_id < 500").select(F.col("event_id").alias("id")), hits, show_misses=True).select(F.col("id").alias("event_id"), "page_id")
+
+
+@query(f"with {BLOBS}, {INDEX} select pack_id, blob_type, cast(sum(len) as bigint) as size, '' as time from idx group by 1, 2")
+def pack_listing(spark, sf):
+    return V.pack_listing(index(spark, sf).withColumnRenamed("len", "length"))
+
+
+@query(f"with {BLOBS}, {INDEX}, t as (select *, blob_type || case when pack_id < '20' then ' to delete' else '' end as kind from idx) select coalesce(kind, 'Total') as kind, count(*) as blobs, cast(sum(len) as bigint) as data_size, cast(sum(len // 2) as bigint) as packed_size from t group by rollup(kind)")
+def index_totals(spark, sf):
+    return V.index_totals(index(spark, sf).select("blob_type", F.col("len").alias("data_length"), F.expr("len div 2").alias("length"), (F.col("pack_id") < "20").alias("to_delete")))
+
+
+@query(f"with {NODES}, d as (select string_split(coalesce(a.path, b.path), '/')[3] as name, a.size as left_size, b.size as right_size from (select * from v1 where starts_with(path, '/en/')) a full join (select * from v2 where starts_with(path, '/en/')) b on a.path = b.path) select name, cast(coalesce(sum(left_size), 0) as bigint) as left_size, cast(coalesce(sum(right_size), 0) as bigint) as right_size from d group by name")
+def browse_diff(spark, sf):
+    left, right = (V.browse(n, "/en").select("name", F.col("size").alias(f"{side}_size")) for n, side in ((nodes_v1(spark, sf), "left"), (nodes_v2(spark, sf), "right")))
+    return left.join(right, "name", "full").select("name", F.coalesce("left_size", F.lit(0)).alias("left_size"), F.coalesce("right_size", F.lit(0)).alias("right_size"))
+
+
 # --- plans
 @query(f"with {SNAP} select event_id, case when event_id % 3 = 0 then 'existing' else 'to copy' end as status from snap")
 def copy_plan(spark, sf):

@@ -81,3 +81,61 @@ class Repository:
             raise PermissionError("the repository is append-only")
         df.write.mode(mode).parquet(f"{self.uri.rstrip('/')}/{name}")
         self.tables.pop(name, None)
+
+
+def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Small JSON objects, one a file (keys, snapshots), as they are in a repository; unreadable ones are skipped."""
+    found = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").json(path)
+    return found.where("_bad is null").drop("_bad")
+
+
+def inventory(spark: SparkSession, uri: str, tier: str = "cold") -> DataFrame:
+    """Files of a repository by kind (the folder below its root), with sizes; contents are not read."""
+    root = uri.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    return found.select(F.regexp_extract("path", r"([^/]+)/(?:[^/]{2}/)?[^/]+$", 1).alias("file_type"), F.regexp_extract("path", r"([^/]+)$", 1).alias("id"), F.col("length").alias("size"), F.lit(tier).alias("tier"))
+
+
+def register_walk(spark: SparkSession) -> None:
+    """A data source 'stratum_walk' for local trees with all metadata, one partition for each entry of the root:
+    spark.read.format("stratum_walk").load(path)."""
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    class Part(InputPartition):
+        pass
+
+    class Reader(DataSourceReader):
+        def __init__(self, root):
+            self.root = root
+
+        def partitions(self):
+            import os
+
+            return [Part(e.path) for e in sorted(os.scandir(self.root), key=lambda e: e.name)] or [Part(None)]
+
+        def read(self, partition):
+            import os
+            import stat
+
+            kinds = ((stat.S_ISDIR, "dir"), (stat.S_ISLNK, "symlink"), (stat.S_ISBLK, "dev"), (stat.S_ISCHR, "chardev"), (stat.S_ISFIFO, "fifo"), (stat.S_ISSOCK, "socket"))
+            todo = [partition.value] if partition.value else []
+            while todo:
+                path = todo.pop()
+                s = os.lstat(path)
+                kind = next((k for test, k in kinds if test(s.st_mode)), "file")
+                yield path, kind, os.readlink(path) if kind == "symlink" else None, s.st_size, stat.S_IMODE(s.st_mode), s.st_uid, s.st_gid, s.st_mtime, s.st_nlink, s.st_dev, s.st_ino
+                if kind == "dir":
+                    todo += [e.path for e in os.scandir(path)]
+
+    class Walk(DataSource):
+        @classmethod
+        def name(cls):
+            return "stratum_walk"
+
+        def schema(self):
+            return "path string, node_type string, link_target string, size bigint, mode int, uid bigint, gid bigint, mtime double, links bigint, device bigint, inode bigint"
+
+        def reader(self, schema):
+            return Reader(self.options["path"])
+
+    spark.dataSource.register(Walk)

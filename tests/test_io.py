@@ -101,3 +101,36 @@ def test_stream(spark, tmp_path):
     assert [(r["n"], r["size"]) for r in spark.sql("select * from totals order by start").collect()][:1] == [(3, 4)]
     batch = incremental.sessions(spark.read.schema(schema).parquet(str(tmp_path / "in")), "90 minutes").orderBy("start").collect()
     assert [r["n"] for r in batch] == [3, 1]
+
+
+def test_walk_and_inventory(spark, tmp_path):
+    import os
+
+    (tmp_path / "data/ab").mkdir(parents=True)
+    (tmp_path / "data/ab/abcd").write_bytes(b"123")
+    (tmp_path / "keys").mkdir()
+    (tmp_path / "keys/k1").write_text('{"username": "u", "hostname": "h"}')
+    (tmp_path / "keys/k2").write_text("{not json")
+    os.symlink("keys", tmp_path / "link")
+    readers.register_walk(spark)
+    rows = {r["path"].removeprefix(str(tmp_path)): r for r in spark.read.format("stratum_walk").load(str(tmp_path)).collect()}
+    assert set(rows) == {"/data", "/data/ab", "/data/ab/abcd", "/keys", "/keys/k1", "/keys/k2", "/link"}
+    assert rows["/link"]["node_type"] == "symlink" and rows["/link"]["link_target"] == "keys" and rows["/data/ab/abcd"]["size"] == 3 and rows["/data"]["node_type"] == "dir"
+    found = {r["id"]: (r["file_type"], r["size"]) for r in readers.inventory(spark, str(tmp_path)).collect()}
+    assert found["abcd"] == ("data", 3) and found["k1"][0] == "keys"
+    assert [r["username"] for r in readers.json_objects(spark, str(tmp_path / "keys"), "username string, hostname string").collect()] == ["u"]
+
+
+def test_more_filters(spark):
+    from pyspark.sql import functions as F
+
+    from stratum.operators import details as V
+    from stratum.operators import filters as S
+
+    df = spark.sql("select * from values ('a', 5L, 1L, array(named_struct('name', 'user.skip', 'value', binary('')))), ('b', cast(null as bigint), 2L, null) t(path, size, device, xattrs)")
+    assert [r["path"] for r in df.where(S.without_attribute("user.skip")).collect()] == ["b"]
+    assert [r["path"] for r in df.where(S.not_larger_than(4)).collect()] == ["b"]
+    assert [r["path"] for r in S.on_one_file_system(df.withColumn("root", F.lit("/")), spark.sql("select '/' as root, 1L as device")).collect()] == ["a"]
+    line = V.summary_json(spark.sql("select '' as id, named_struct('files_new', 1L, 'label', cast(null as string)) as summary")).first()["json"]
+    assert line == '{"message_type":"summary","files_new":1}'
+    assert tuple(V.widths(spark.sql("select 'abc' as a, 12345 as bb")).first()) == (3, 5)
