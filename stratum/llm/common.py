@@ -18,7 +18,10 @@ _written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents that come in no more splits than there are cores (one row group may hold them all) are dealt out
+    over the cores first, since work on texts is dear.  Larger inputs are read as they lie, without a shuffle."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() <= cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
