@@ -2,7 +2,7 @@
 
 Every learned language gets a codeword; one binary classifier a bit (log-odds of hashed byte
 trigrams and tetragrams, naive Bayes form) predicts that bit, and the codeword of least logistic
-loss wins.  The classifiers see at most about `sample_per_lang` labelled documents of each
+loss wins.  The score is the codeword's share of exp(-loss), times the share of the text whose windows say the same.  The classifiers see at most about `sample_per_lang` labelled documents of each
 language (a documented bound: rows are taken by a hash of id and text, at the rate
 sample_per_lang / rows of that language); prediction reads every whole text.
 
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from stratum.llm.common import arrow_map, named, table
 
-BUCKETS = 1 << 16
+BUCKETS, WINDOW = 1 << 16, 512
 SAMPLE_PER_LANG = 1500
-AMBIGUOUS = 0.55
+AMBIGUOUS = 0.75
+#: Occurrences added to every n-gram: a copy under a wrong label must not teach its rare n-grams.
+SMOOTH = 20.0
 _CHUNK = 1 << 18
 
 
@@ -102,7 +104,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     table_[np.searchsorted(langs, counts["lang"].to_numpy(zero_copy_only=False)), counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     code = codewords(len(langs))
     share = table_ / np.maximum(1, table_.sum(1, keepdims=True))  # every language weighs the same
-    smooth = 0.5 / max(1.0, table_.sum() / len(langs))
+    smooth = SMOOTH / max(1.0, table_.sum() / len(langs))
     weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
     for b in range(code.shape[1]):
         plus, minus = (share[code[:, b] == s] for s in (1, -1))
@@ -135,10 +137,17 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str,
             for start, some in _blocks([texts[i] for i in real]):
                 data, at = packed(some)
                 three, four = grams(data)
-                begins = np.minimum(at[:-1], len(three) - 1)
-                total = sum(np.add.reduceat(weights[g], begins, axis=0) for g in (three, four))
-                margins = total / np.sqrt(np.diff(at))[:, None]  # n-grams overlap: their evidence grows slower than their number
+                size = np.diff(at)
+                n = -(-size // WINDOW)  # windows of each text
+                first = np.cumsum(n) - n
+                begins = np.repeat(at[:-1] - WINDOW * first, n) + WINDOW * np.arange(n.sum())
+                parts = sum(np.add.reduceat(weights[g], np.minimum(begins, len(three) - 1), axis=0) for g in (three, four))
+                margins = np.add.reduceat(parts, first, axis=0) / np.sqrt(size)[:, None]  # n-grams overlap: their evidence grows slower than their number
                 best, sure = decode(margins, langs, code)
+                own, _ = decode(parts / np.sqrt(WINDOW), langs, code)
+                wide = np.minimum(np.repeat(at[1:], n) - begins, WINDOW)
+                agree = np.array(own) == np.repeat(best, n)
+                sure = sure * np.add.reduceat(wide * agree, first) / size  # a text of two languages is never sure
                 for j, (b, s) in enumerate(zip(best, sure, strict=True)):
                     pred[real[start + j]], score[real[start + j]] = b, s
             cols = {f"k{i}": batch.column(f"k{i}") for i in range(len(keep))}
