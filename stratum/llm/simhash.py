@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, components, materialize, named, row_key, table
+from stratum.llm.common import arrow_map, components, forget, materialize, named, row_key, table
 
 RADIUS, SHINGLE, CHUNK, FEW = 4, 4, 1024, 128
 #: For similarity 0.8 or more of five-word shingles, as the pipeline takes it.
@@ -119,8 +119,24 @@ def cluster(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def unlike(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int) -> np.ndarray:
+    """All pairs within the radius, but those where both fingerprints have one and the same label (lo = hi)."""
+    out = [np.zeros((0, 2), np.uint64)]
+    if lo.min() == hi.max():
+        return out[0]
+    for i in range(0, len(fps), 256):  # so many rows at once that the matrix stays small
+        own = slice(i, i + 256)
+        near = np.bitwise_count(fps[own, None] ^ fps[None, :]) <= radius
+        near &= (np.minimum(lo[own, None], lo) != np.maximum(hi[own, None], hi)) & (fps[own, None] < fps)
+        a, b = np.nonzero(near)
+        out.append(np.stack([fps[i + a], fps[b]], 1))
+    return np.concatenate(out)
+
+
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """fps(fp), distinct -> (a, b): a set of links with the same components as all links within the radius.
+    fps(fp, lo, hi), with the smallest and largest label of what has the fingerprint -> (a, b): all links within
+    the radius, but those where both ends have one and the same label.
 
     More blocks make more, finer tables: 6 blocks (15 tables of 21 bits at radius 4) up to 2^24
     fingerprints, 7 (35 tables of 27 bits) up to 2^28, else 8 (70 tables of 32 bits); all are exact."""
@@ -129,6 +145,8 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
     if blocks is None:
         n = fps.count()
         blocks = radius + 2 + (n > 1 << 24) + (n > 1 << 28)
+    labelled = "lo" in fps.columns
+    item = F.struct("fp", "lo", "hi") if labelled else F.col("fp")
     edges = np.linspace(0, 64, blocks + 1).round().astype(int).tolist()
     keys = []
     for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
@@ -137,27 +155,31 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
             width = edges[c + 1] - edges[c]
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", edges[c]).bitwiseAND((1 << width) - 1))
         keys.append(key)
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    rows = fps.select("fp", item.alias("item"), F.explode(F.array(*keys)).alias("key"))
     sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     dealt = rows.join(sizes, "key").withColumn("g", parts).withColumn("own", own).select(
-        "key", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(F.col("own"), o) * F.col("g") + F.greatest(F.col("own"), o))).alias("part"))
-    groups = dealt.groupBy("key", "part").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+        "key", "item", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(F.col("own"), o) * F.col("g") + F.greatest(F.col("own"), o))).alias("part"))
+    groups = dealt.groupBy("key", "part").agg(F.collect_list("item").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             column = batch.column("fps")
-            values, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
+            values, at = column.flatten(), column.offsets.to_numpy()
             at = at - at[0]
-            size = np.diff(at)
             out = []
-            two = at[:-1][size == 2]  # most buckets are pairs: all of them at once
-            near = two[np.bitwise_count(values[two] ^ values[two + 1]) <= radius]
-            out.append(np.stack([values[near], values[near + 1]], 1))
-            for i in np.flatnonzero(size > 2):
-                if got := cluster(np.unique(values[at[i]:at[i + 1]]), radius):
-                    out.append(np.array(got, np.uint64).reshape(-1, 2))
+            if labelled:
+                fp, lo, hi = (values.field(i).to_numpy() for i in range(3))
+                out = [unlike(fp[i:j].view(np.uint64), lo[i:j], hi[i:j], radius) for i, j in zip(at[:-1], at[1:], strict=True)]
+            else:
+                values, size = values.to_numpy().view(np.uint64), np.diff(at)
+                two = at[:-1][size == 2]  # most buckets are pairs: all of them at once
+                near = two[np.bitwise_count(values[two] ^ values[two + 1]) <= radius]
+                out.append(np.stack([values[near], values[near + 1]], 1))
+                for i in np.flatnonzero(size > 2):
+                    if got := cluster(np.unique(values[at[i]:at[i + 1]]), radius):
+                        out.append(np.array(got, np.uint64).reshape(-1, 2))
             pairs = np.concatenate(out).view(np.int64)
             return pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])}) if len(pairs) else None
         return apply
@@ -171,8 +193,8 @@ def shingles_of(text: str | None, shingle: int) -> set[bytes]:
 
 
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts' shingle sets agree to at least `similarity` (Jaccard); texts(fp, text)."""
-    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs (a, b) of texts whose shingle sets agree to at least `similarity` (Jaccard); texts(t, text)."""
+    both = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -187,19 +209,49 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     return arrow_map(both.select("a", "b", "ta", "tb"), make, "a long, b long")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def alike_links(nodes: DataFrame, rows: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """nodes(fp, t, rk), one for every different text -> (a, b): links of texts (t) that hold on the texts, with the same
+    components as all pairs within the radius that are alike.
+
+    First a spanning forest of the texts within the radius is checked.  A tree of which every link holds is one group,
+    and any pair within the radius lies inside one tree; so only in trees with a link that failed there can be more,
+    and of these all pairs within the radius that are not in one group yet are checked."""
+    hubs = materialize(nodes.groupBy("fp").agg(F.min("t").alias("hub")))
+    stars = nodes.join(hubs, "fp").where("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b"))
+    far = _ordered(links(hubs.select("fp"), radius))
+    for c in ("a", "b"):
+        far = far.join(hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"t{c}")), c)
+    tried = materialize(_ordered(stars.unionByName(far.select(F.col("ta").alias("a"), F.col("tb").alias("b")))))
+    forget(hubs)
+    wanted = nodes.join(tried.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "t", "left_semi").select("rk", "t")
+    texts = materialize(rows.select("rk", "text").join(wanted, "rk").dropDuplicates(["t"]).select("t", "text"))
+    held = materialize(alike(tried, texts, shingle, similarity))
+    if held.count() == tried.count():
+        return held
+    ends = texts.select(F.col("t").alias("id"))
+    trees, groups = (components(ends, x).select(F.col("id").alias("t"), F.col("component").alias(c)) for x, c in ((tried, "tree"), (held, "part")))
+    at = materialize(nodes.select("fp", "t").join(trees, "t").join(groups, "t"))
+    split = at.groupBy("tree").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    open_ = materialize(at.join(split, "tree", "left_semi").select("fp", "t", "part"), at)
+    prints = materialize(open_.groupBy("fp").agg(F.min("part").alias("lo"), F.max("part").alias("hi")))
+    near = _ordered(links(prints, radius)).unionByName(prints.where("lo < hi").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    for c in ("a", "b"):
+        near = near.join(open_.select(F.col("fp").alias(c), F.col("t").alias(f"t{c}"), F.col("part").alias(f"p{c}")), c)
+    more = _ordered(near.where("pa <> pb").select(F.col("ta").alias("a"), F.col("tb").alias("b"))).join(tried, ["a", "b"], "left_anti")
+    return materialize(held.unionByName(alike(more, texts, shingle, similarity)), held, tried, texts, open_, prints)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """(id, rk, fp, component): one row for every row of docs; component is the smallest id of the group, rk names
     the row by its id and text.  With a similarity, links between different fingerprints must also hold on the texts."""
     rows = docs.select(F.col(key).alias("id"), row_key(key, text).alias("rk"), F.col(text).alias("text"))
     marked = materialize(with_fingerprint(rows, keep=("id", "rk"), shingle=shingle))
     folded = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min("rk").alias("rk")))
-    near = links(folded.select("fp"), radius)
-    if similarity is not None:
-        near = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        named_rows = folded.join(wanted, "fp", "left_semi").select("rk", "fp")
-        texts = materialize(rows.select("rk", "text").join(named_rows, "rk").dropDuplicates(["fp"]).select("fp", "text"))
-        near = alike(near, texts, shingle, similarity)
+    near = links(folded.select("fp"), radius) if similarity is None else alike_links(folded.withColumn("t", F.col("fp")), rows, radius, shingle, similarity)
     groups = components(folded.select(F.col("fp").alias("id")), near)
     own = materialize(folded.join(groups, folded.fp == groups.id).select("fp", "least", F.col("component").alias("group")))
     names = materialize(own.groupBy("group").agg(F.min("least").alias("component")))

@@ -128,6 +128,22 @@ def test_bit_sliced_distances():
             assert simhash.within(simhash.planes_of(fps), n, int(fps[0]), radius).tolist() == want
 
 
+def told(monkeypatch, rows):
+    """Documents (id, fingerprint, words) whose fingerprint is told by the last word."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle=4: int(text.split()[-1]))
+    return [(i, f"{words} {fp}") for i, fp, words in rows]
+
+
+def words_of(seed, n=60):
+    return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10_000, n))
+
+
+def test_simhash_hub_unlike_its_hits(spark, monkeypatch):
+    docs = told(monkeypatch, [(500, 0, words_of(1))] + [(i, i << 28, words_of(2)) for i in range(1, 128)])  # they meet in buckets of 128 only, where 0 finds all
+    kept = simhash.stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 500]
+
+
 def test_simhash_odd(spark):
     rows = simhash.near_duplicates(odd(spark)).collect()
     assert len(rows) == len(ODD) and {r["component"] for r in rows if r["fp"] == 0} == {1}
