@@ -247,16 +247,17 @@ def alike_links(nodes: DataFrame, rows: DataFrame, radius: int, shingle: int, si
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """(id, rk, fp, component): one row for every row of docs; component is the smallest id of the group, rk names
-    the row by its id and text.  With a similarity, links between different fingerprints must also hold on the texts."""
-    rows = docs.select(F.col(key).alias("id"), row_key(key, text).alias("rk"), F.col(text).alias("text"))
-    marked = materialize(with_fingerprint(rows, keep=("id", "rk"), shingle=shingle))
-    folded = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min("rk").alias("rk")))
-    near = links(folded.select("fp"), radius) if similarity is None else alike_links(folded.withColumn("t", F.col("fp")), rows, radius, shingle, similarity)
-    groups = components(folded.select(F.col("fp").alias("id")), near)
-    own = materialize(folded.join(groups, folded.fp == groups.id).select("fp", "least", F.col("component").alias("group")))
+    the row by its id and text.  With a similarity, links between different texts must also hold on the texts."""
+    rows = docs.select(F.col(key).alias("id"), row_key(key, text).alias("rk"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    node, keep = ("fp", ("id", "rk")) if similarity is None else ("t", ("id", "rk", "t"))
+    marked = materialize(with_fingerprint(rows, keep=keep, shingle=shingle))
+    folded = materialize(marked.groupBy(*{"fp", node}).agg(F.min("id").alias("least"), F.min("rk").alias("rk")))
+    near = links(folded.select("fp"), radius) if similarity is None else alike_links(folded, rows, radius, shingle, similarity)
+    groups = components(folded.select(F.col(node).alias("id")), near)
+    own = materialize(folded.join(groups, folded[node] == groups.id).select(node, "least", F.col("component").alias("group")))
     names = materialize(own.groupBy("group").agg(F.min("least").alias("component")))
-    known = materialize(own.join(names, "group").select("fp", "component"), own, folded)
-    return marked.join(known, "fp").select("id", "rk", "fp", "component")
+    known = materialize(own.join(names, "group").select(node, "component"), own, folded)
+    return marked.join(known, node).select("id", "rk", "fp", "component")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

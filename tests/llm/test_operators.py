@@ -144,6 +144,14 @@ def test_simhash_hub_unlike_its_hits(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == [1, 500]
 
 
+def test_simhash_equal_fingerprints_of_unlike_texts(spark, monkeypatch):
+    docs = [(i, "foo " * 200 + words_of(i)) for i in (1, 2)] + [(3, "foo " * 200 + words_of(1) + " end")]
+    assert len({simhash.fingerprint(t, 5) for _, t in docs}) == 1
+    stay = lambda docs: sorted(r["doc_id"] for r in simhash.stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect())
+    assert stay(docs) == [1, 2]
+    assert stay(told(monkeypatch, [(1, 0, words_of(1)), (2, 0, words_of(2)), (3, 1, words_of(2))])) == [1, 2]  # 3 is like 2 only
+
+
 def test_simhash_odd(spark):
     rows = simhash.near_duplicates(odd(spark)).collect()
     assert len(rows) == len(ODD) and {r["component"] for r in rows if r["fp"] == 0} == {1}
