@@ -8,12 +8,14 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Setting, its defaults, and our bound.
+_BATCH = (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB"), "4194304b"))
 _written: dict[str, SparkSession] = {}
 
 
@@ -25,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder of our own only where it is unset."""
+    """The cluster's spark.checkpoint.dir; a temporary folder of our own only where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="stratum-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -103,14 +107,28 @@ def ship(spark: SparkSession) -> None:
     context._stratum_shipped = True
 
 
+def blocks_of(texts: list[str], size: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about `size` characters (a longer text is a run), so that memory follows the longest text, not the
+    batch; each with the number of its first text."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield start, texts[start:i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
+
+
 def arrow_map(df: DataFrame, make: Callable, schema: str, calm: bool = False) -> DataFrame:
-    """mapInArrow over bounded batches: `make()` is called once a task and returns a function from a
-    RecordBatch to a RecordBatch (or None).  calm: the task keeps large caches of small objects without cycles, which the
+    """mapInArrow over batches bounded by rows and bytes (by the session's own settings, where it has any): `make()` is called once
+    a task and returns a function from a RecordBatch to a RecordBatch (or None).  calm: the task keeps large caches of small objects without cycles, which the
     collector need not scan all the time; workers are used again, so at the end `close` drops them and its settings are put back."""
     spark = df.sparkSession
     ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    for name, usual, bound in _BATCH:
+        if spark.conf.get(name) in usual:
+            spark.conf.set(name, bound)
 
     def run(batches):
         apply, limits = make(), gc.get_threshold()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, named, table
+from stratum.llm.common import arrow_map, blocks_of, named, table
 
 BUCKETS, WINDOW = 1 << 16, 512
 SAMPLE_PER_LANG = 1500
@@ -63,25 +63,13 @@ def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), at
 
 
-def _blocks(texts: list[str]):
-    """Runs of texts of about _CHUNK bytes, so that memory follows the longest text, not the batch."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= _CHUNK:
-            yield start, texts[start:i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 def _count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     langs = np.array(batch.column("lang").to_pylist())
     out = []
     for lang in np.unique(langs):
         texts = [t for t, own in zip(batch.column("text").to_pylist(), langs == lang, strict=True) if own]
         total = np.zeros(BUCKETS, np.int64)
-        for _, some in _blocks(texts):
+        for _, some in blocks_of(texts, _CHUNK):
             for g in grams(packed(some)[0]):
                 total += np.bincount(g, minlength=BUCKETS)
         at = np.flatnonzero(total)
@@ -134,7 +122,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str,
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             real = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if langs else []
-            for start, some in _blocks([texts[i] for i in real]):
+            for start, some in blocks_of([texts[i] for i in real], _CHUNK):
                 data, at = packed(some)
                 three, four = grams(data)
                 size = np.diff(at)

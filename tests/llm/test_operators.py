@@ -205,69 +205,119 @@ def test_embeddings_empty(spark):
 
 
 # --- 5
-def test_sampling_distribution():
-    own = pieces.Pieces(pieces.default_path(), alpha=0.5)
+def every_segmentation(own, unit):
+    """{ids: log weight} of one unit by enumeration; pieces of the plain encoding weigh more."""
+    plain = {(i, e) for i, e in own.lattice(unit).path(own._plain(own.at[unit]))}
+    lattice = own.lattice(unit)
 
-    def all_of(unit, at=0):
-        if not unit:
+    def rest(at):
+        if at == len(unit):
             return [((), 0.0)]
         out = []
-        for j in range(1, len(unit) + 1):
-            found = own.known.get(unit[:j]) or (own.bytes_of(unit[0]) if j == 1 else None)
+        for j in range(at + 1, len(unit) + 1):
+            found = own.known.get(unit[at:j]) or (own.bytes_of(unit[at]) if j == at + 1 else None)
             if found:
-                out += [(found[0] + s, found[1] + pieces.LEFT * at + w) for s, w in all_of(unit[j:], at + j)]
+                e = next(e for e, x in enumerate(lattice.edges[at]) if x[1] == found[0])
+                out += [(found[0] + s, found[1] + own.plain_bonus * ((at, e) in plain) + w) for s, w in rest(j)]
         return out
 
+    return dict(rest(0))
+
+
+def enumerated(own, text):
+    own.read([text])
+    every = {(): 0.0}
+    for u in own.units(text):
+        every = {a + b: x + y for a, x in every.items() for b, y in every_segmentation(own, u).items()}
+    total = np.logaddexp.reduce(list(every.values()))
+    return {s: math.exp(w - total) for s, w in every.items()}
+
+
+def sampled(own, text, keys, k):
+    """[(log probability, inclusion, ids)] for each key."""
+    numbers, begin, ids, last = own.read([text] * len(keys))
+    out = []
+    for d, found in enumerate(own.sample(numbers, begin, pieces.row_seeds(keys), k)):
+        upto = own.starts_of(numbers[begin[d]:begin[d + 1]])
+        out.append([(p, q, tuple(own.ids_of(ids[last[d]:last[d + 1]], upto, changed).tolist())) for p, q, changed in found])
+    return out
+
+
+@pytest.mark.parametrize("alpha,plain", [(0.3, 2.0), (0.5, 0.0), (12.0, 1.0)])
+def test_sampling_distribution(alpha, plain):
+    own = pieces.Pieces(pieces.default_path(), alpha, plain)
     for text in ("the hat", "aé\nñ", "ab!! ab!!"):
-        units = own.units(text)
-        own.learn(set(units))
-        every = [((), 0.0)]
-        for u in units:
-            every = [(a + b, x + y) for a, x in every for b, y in all_of(u)]
-        total = np.logaddexp.reduce([w for _, w in every])
-        p = {s: math.exp(w - total) for s, w in every}
+        p = enumerated(own, text)
         first, second, n = {}, {}, 4000
-        for i in range(n):
-            out = own.sample(units, 2, pieces.row_rng((text, i)))
-            a, b = (tuple(x[2].tolist()) for x in out)
-            assert a != b and all(abs(math.exp(x[0]) - p[tuple(x[2].tolist())]) < 1e-9 and 0 < x[1] <= 1 for x in out)
+        for (pa, ia, a), (pb, ib, b) in sampled(own, text, list(range(n)), 2):
+            assert a != b and abs(math.exp(pa) - p[a]) < 1e-9 and abs(math.exp(pb) - p[b]) < 1e-9 and 0 < ia <= 1 and 0 < ib <= 1
             first[a], second[b] = first.get(a, 0) + 1, second.get(b, 0) + 1
-        want = {b: sum(p[a] * p[b] / (1 - p[a]) for a in p if a != b) for b in p}
-        assert max(abs(first.get(s, 0) / n - p[s]) for s in p) < 0.03 and max(abs(second.get(s, 0) / n - want[s]) for s in p) < 0.03
+        want = {b: sum(p[a] * p[b] / (1 - p[a]) for a in p if a != b and p[a] < 1 - 1e-12) for b in p}
+        assert max(abs(first.get(s, 0) / n - p[s]) for s in p) < 0.03
+        assert alpha == 12.0 or max(abs(second.get(s, 0) / n - want[s]) for s in p) < 0.03
+
+
+@pytest.mark.parametrize("alpha,plain", [(0.3, 2.0), (0.5, 0.0), (12.0, 0.0)])
+def test_sampling_gives_all_there_are(alpha, plain):
+    own = pieces.Pieces(pieces.default_path(), alpha, plain)
+    for text in ("the", "token", "the hat", "a\nñ", "日"):
+        p = enumerated(own, text)
+        for found in sampled(own, text, [1, 2, 3], len(p) + 5):
+            assert {x[2] for x in found} == set(p) and len(found) == len(p) and all(x[1] == 1.0 for x in found)
+        if len(p) > 2:
+            for found in sampled(own, text, [4, 5], len(p) - 1):
+                assert len({x[2] for x in found}) == len(p) - 1
 
 
 def test_inclusion_scores_estimate_totals():
     """Horvitz-Thompson: sum of probability / inclusion over a sample is 1 on average."""
-    own = pieces.Pieces(pieces.default_path(), alpha=0.5)
-    units = own.units("then there")
-    own.learn(set(units))
-    sums = [sum(math.exp(a) / b for a, b, _ in own.sample(units, 3, pieces.row_rng(i))) for i in range(3000)]
+    own = pieces.Pieces(pieces.default_path(), 0.5, 0.0)
+    sums = [sum(math.exp(a) / b for a, b, _ in found) for found in sampled(own, "then there", list(range(3000)), 3)]
     assert abs(np.mean(sums) - 1) < 0.05
 
 
 def test_vector_and_single_lattices_agree():
-    own = pieces.vocabulary(pieces.default_path(), pieces.ALPHA)
-    words = {u for t in ("thereabouts unbelievable ththth &&& %%% naïve Straße", LONG) for u in own.units(t)} | {"▁" + "".join(random.Random(i).choices("abthe&!", k=7)) for i in range(200)}
-    own.learn(words)
-    for u in words:
-        i, one = own.at[u], pieces.Lattice(u, own)
-        assert one.canonical() == tuple(own.ids[own.start[i]:own.start[i + 1]].tolist()) and abs(one.best[0] - one.total - own.best[i]) < 1e-9 and (one.other == own.other[i] or abs(one.other - own.other[i]) < 1e-6)
+    own = pieces.Pieces(pieces.default_path())
+    words = {"thereabouts", "unbelievable", "ththth", "&&&", "%%%", "naïve", "Straße"} | {"".join(random.Random(i).choices("abthe&!", k=7)) for i in range(200)}
+    own.read([" ".join(sorted(words))])
+    units = [u for u in own.at if own.mask[own.at[u]]]
+    assert len(units) > 150
+    for u in units:
+        i, one = own.at[u], own.lattice(u)
+        assert abs(one.logp(own._plain(i)) - own.best[i]) < 1e-9 and abs(one.left([own._plain(i)]) - own.other[i]) < 1e-6
+    at = np.array([own.at[u] for u in units])
+    for u, (ids, logp) in zip(units, own._others(at, pieces.row_seeds(units)), strict=True):
+        assert ids != own._plain(own.at[u]) and abs(own.lattice(u).logp(ids) - logp) < 1e-9
+
+
+def test_plain_encoding_is_the_librarys(spark):
+    own = pieces.vocabulary(pieces.default_path())
+    texts = [t or "" for _, t in texts_of(spark)] + [t or "" for _, t in ODD]
+    numbers, begin, ids, last = own.read(texts)
+    for d, t in enumerate(texts):
+        assert ids[last[d]:last[d + 1]].tolist() == own.sp.encode(t) == [i for u in numbers[begin[d]:begin[d + 1]] for i in own._plain(u)]
+    held = dict(own.at)
+    own.clear(keep=100)
+    assert len(own.at) == 100 and own.read(texts)[2].tolist() == ids.tolist() and set(own.at) == set(held)
 
 
 def test_sentencepiece(spark):
-    own = pieces.vocabulary(pieces.default_path(), pieces.ALPHA)
+    own = pieces.vocabulary(pieces.default_path())
     for _, t in texts_of(spark)[:50]:
         assert own.decode(own.encode(t)) == t.replace(pieces.BLANK, " ")
     rows = pieces.sample_encodings(odd(spark), k=3, ids=True).collect()
     by = {}
     for r in rows:
+        assert r["exact"] and r["n_pieces"] == len(r["ids"]) and (r["inclusion"] is None) == (r["rank"] == 0)
         by.setdefault(r["id"], []).append(r)
-        assert r["exact"] and r["n_pieces"] == len(r["ids"])
     for i in (1, 2):
-        assert [(r["n_pieces"], r["inclusion"]) for r in by[i]] == [(0, 1.0)]
-    for i, n in ((5, 3), (6, 3), (8, 2)):  # the last has no more than two
-        assert len({tuple(r["ids"]) for r in by[i]}) == n and [r["rank"] for r in by[i]] == [1, 2, 3][:n] and own.decode(by[i][0]["ids"]) == dict(ODD[5:])[i].replace(pieces.BLANK, " ")
+        assert [(r["rank"], r["n_pieces"], r["inclusion"]) for r in by[i]] == [(0, 0, None), (1, 0, 1.0)]
+    for i, n in ((5, 3), (6, 3), (8, 2)):  # the last has no more
+        assert len({tuple(r["ids"]) for r in by[i][1:]}) == n and [r["rank"] for r in by[i]] == [0, 1, 2, 3][:n + 1] and own.decode(by[i][1]["ids"]) == dict(ODD[5:])[i].replace(pieces.BLANK, " ")
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, pieces.sample_encodings(odd(spark).repartition(7), k=3, ids=True).collect()), key=repr)  # the row's key alone seeds it
+    docs = sorted(map(tuple, pieces.sample_encodings(docs_of(spark)).collect()))
+    assert docs == sorted(map(tuple, pieces.sample_encodings(docs_of(spark).repartition(5)).collect())) and len({r[5] for r in docs if r[1] == 1} - {r[5] for r in docs if r[1] == 0}) > 100
+    assert pieces.sample_encodings(odd(spark).limit(0)).count() == 0
 
 
 # --- 6
