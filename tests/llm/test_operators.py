@@ -346,16 +346,32 @@ def test_pii_bootstrap(spark):
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
-    own, library = tokencount.counter(tokencount.default_path()), Tokenizer.from_file(tokencount.default_path())
+    own, library = tokencount.PrefixCounter(tokencount.default_path()), Tokenizer.from_file(tokencount.default_path())
     count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     texts = [t for _, t in texts_of(spark)] + [t or "" for _, t in ODD] + ["a  <|endoftext|>b   we'll don't \n\n x   ", "<|endoftext|><|endoftext|>"]
-    assert [own.count(t) for t in texts] == [count(t) for t in texts]
-    for t in ["a  <|endoftext|>b   we'll  éé😀 don't \n\n x   ", "'", "12 34ab", *[t[:50] for t in texts[:20]]]:
-        assert own.prefixes(t) == [count(t[:i]) for i in range(len(t) + 1)]
+    assert [own.count(t) for t in texts] == [int(x[-1]) for x in own.tables(texts)] == [count(t) for t in texts]
+    cuts = ["a  <|endoftext|>b   we'll  éé😀 don't \n\n x   ", "'", "12 34ab", "a!<|endoftext|>", "a <|endoftext|> <|endoftext|>'ll", "x're 've'll'm 'lla''ll", "\u3000\u3000 \n日本日本 x\x85\x85y", "aaaaaaa" * 12, " " * 40 + "x" + "\n" * 9]
+    for t in cuts + [t[:60] for t in texts[:40]]:
+        want = [count(t[:i]) for i in range(len(t) + 1)]
+        assert own.prefixes(t) == want
         for budget in (0, 1, 5):
-            assert count(t[:own.fit(t, budget)]) <= budget
-    rows = tokencount.count_tokens(odd(spark), prefixes=True).collect()
-    assert len(rows) == len(ODD) and all(r["prefix_tokens"][-1] == r["n_tokens"] for r in rows if r["doc_id"] != 5) and {r["over_limit"] for r in rows if r["doc_id"] == 5} == {True}
+            assert tokencount.fit(np.array(want), budget) == max(i for i, n in enumerate(want) if n <= budget)
+    for word in ("thereabouts" * 10, "ab" * 3000, "é" * 300):  # one pre-token, longer than the vector way takes
+        found = own.prefixes(word)
+        assert all(found[i] == count(word[:i]) for i in range(0, len(word) + 1, 97))
+    own.clear(keep=50)
+    assert len(own.words) == 50 and own.count(texts[0]) == count(texts[0])
+    rows = tokencount.count_tokens(odd(spark), prefixes=True).withColumn("again", tokencount.longest_prefix(F.col("prefix_tokens"), tokencount.LIMIT)).collect()
+    assert len(rows) == len(ODD) and {r["over_limit"] for r in rows if r["doc_id"] == 5} == {True}
+    assert all(r["prefix_tokens"][-1] == r["n_tokens"] and r["again"] == r["fit_chars"] for r in rows)
+    assert tokencount.count_tokens(odd(spark).limit(0)).count() == 0
+
+
+def test_token_counts_come_from_the_prefix_tables(spark, monkeypatch):
+    """The query's counts are read from the prefix tables, not from an encoding beside them."""
+    monkeypatch.setattr(tokencount.PrefixCounter, "tables", lambda self, texts: [np.arange(len(t) + 1, dtype=np.int32) for t in texts])
+    own = tokencount.counter(tokencount.default_path())
+    assert own.count("abc def") == 7
 
 
 # --- 8
