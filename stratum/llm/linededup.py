@@ -1,11 +1,13 @@
 """Operator 8: line dedup by content-defined line chunks.
 
-A text is cut into chunks of whole lines.  A long line (LONG words or more) is a chunk by itself; a run of
-shorter lines is cut where a rolling hash over the last two line hashes is even, and after MAX_LINES lines.
-Boundaries thus depend on nearby lines only, so an insertion shifts none further on.  Chunks whose hash
+A text is cut into chunks of whole lines.  A long line (LONG words or more) is a chunk by itself.  In a run of
+shorter lines a boundary stands at every line whose rolling hash (over it and the line before) is less than one of
+its neighbours', so every two lines in a row hold one, and boundaries depend on nearby lines only: an insertion shifts none
+further on.  A chunk goes from a boundary line to the next one, both included (or to the run's end), so it has two lines at least.
+Of five short lines that repeat, all boundaries but the outermost are the same in every copy, so they share a whole chunk, and no more than
+NEAR lines of a repeated run are left outside of its shared chunks and long lines.  Chunks whose hash
 occurs more than once in the corpus are compared byte by byte with their first occurrence
-(smallest id, then place), and so are the short lines next to them, which may have been cut into a chunk with
-lines of the surrounding text.  Lines found equal are marked in every later occurrence, and a run of
+(smallest id, then place), and so are the NEAR short lines next to them to both sides, going outwards.  Lines found equal are marked in every later occurrence, and a run of
 marked lines is removed if it has at least two lines and `min_words` words, or is one line of `long_words`.
 A removed line always has an equal one at an earlier place, so nothing is lost from the corpus.
 
@@ -26,30 +28,31 @@ from pyspark.sql import functions as F
 
 from stratum.llm.common import arrow_map, forget, materialize, named, row_key, table
 
-LONG, MAX_LINES, NEAR, MIN_WORDS, LONG_WORDS, MAX_FILTER_BITS = 12, 8, 4, 20, 50, 26
+LONG, NEAR, MIN_WORDS, LONG_WORDS, MAX_FILTER_BITS = 12, 4, 20, 50, 26
 _HASHES = 3
 
 
 def chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """Chunks as (first line, end) in order; they cover all lines."""
+    """Chunks as (first line, end) in order; they cover all lines, and chunks of short lines share their boundary line."""
     from xxhash import xxh3_64_intdigest as xxh
 
-    out, start, last = [], 0, 0
-    for i, line in enumerate(lines):
-        if line.count(" ") + 1 >= LONG:
-            if start < i:
-                out.append((start, i))
-            out.append((i, i + 1))
-            start, last = i + 1, 0
-            continue
-        own = xxh(line)
-        rolled = (last * 0x9E3779B97F4A7C15 + own) & 0xFFFFFFFFFFFFFFFF
-        last = own
-        if (rolled >> 32) & 1 == 0 or i + 1 - start >= MAX_LINES:
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
+    out, start = [], 0
+    for end in [i for i, line in enumerate(lines) if line.count(" ") + 1 >= LONG] + [len(lines)]:
+        if start < end:
+            rolled, last = [], 0
+            for line in lines[start:end]:
+                own = xxh(line)
+                rolled.append((last * 0x9E3779B97F4A7C15 + own) & 0xFFFFFFFFFFFFFFFF)
+                last = own
+            n, begin = end - start, 0
+            for i in range(1, n - 1):
+                if rolled[i] <= rolled[i - 1] or rolled[i] <= rolled[i + 1]:
+                    out.append((start + begin, start + i + 1))
+                    begin = i
+            out.append((start + begin, end))
+        if end < len(lines):
+            out.append((end, end + 1))
+        start = end + 1
     return out
 
 
