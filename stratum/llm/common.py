@@ -73,6 +73,15 @@ def forget(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def settle(make: Callable[[], DataFrame], *replaces: DataFrame) -> DataFrame:
+    """Materialises make()'s table and deletes every table that was written on the way to it, and those it replaces."""
+    before = set(_written)
+    out = materialize(make(), *replaces)
+    for path in set(_written) - before - {out._stratum_path}:
+        delete(out.sparkSession, path)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else.  lower() is the same on pure ASCII and much faster."""
     plain = F.length(text) == F.octet_length(text)

@@ -5,11 +5,12 @@ Fingerprint: the majority bits of the XXH64 (seed 42) of a text's word shingles.
 
 Candidates are exact, not sampled: the 64 bits are cut into blocks, and two fingerprints within the
 radius agree on at least blocks - radius whole blocks, so every choice of that many blocks is one table of
-buckets.  Equal fingerprints are folded first, so copies cost nothing more.  A bucket is compared bit-sliced:
-its fingerprints are stored as vertical bit planes (one machine word holds one bit of 64 fingerprints), a
-query's distances to all of them are counted at once by carry-save bitwise counters, and the
-scan is abandoned as soon as every counter is over the radius.  What a query finds joins its cluster and
-leaves the planes, so a dense cluster costs about one scan and gives a spanning tree, not all pairs.
+buckets.  Equal fingerprints are folded first, so copies cost nothing more.  Every bucket is compared bit-sliced:
+its fingerprints are stored as vertical bit planes (one machine word holds one bit of 64 fingerprints), the
+queries' distances to all of them are counted at once by carry-save bitwise counters, and a block of 64 is abandoned as
+soon as every counter in it is over the radius.  Buckets of up to 64 stand side by side in shared planes, where one step compares one
+member of each bucket with all others of its own; larger ones are compared with many queries at once, after the clusters around
+their first members have left the planes, so a dense cluster costs about one scan and gives a spanning tree, not all pairs.
 A bucket of over `chunk` fingerprints is dealt out as pairs of chunks, so no task holds an unbounded bucket.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; a text of fewer
@@ -19,6 +20,7 @@ group of null ids only has a null component_id); repeated rows are each returned
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 import numpy as np
@@ -28,43 +30,55 @@ from pyspark.sql import functions as F
 
 from stratum.llm.common import arrow_map, components, forget, materialize, named, row_key, table
 
-RADIUS, SHINGLE, CHUNK, FEW = 4, 4, 1024, 128
-#: For similarity 0.8 or more of five-word shingles, as the pipeline takes it.
-STAGE_RADIUS, STAGE_SHINGLE, STAGE_SIMILARITY = 7, 5, 0.8
+RADIUS, SHINGLE, CHUNK = 4, 4, 1024
+#: For similarity 0.8 or more of five-word shingles, as the pipeline takes it: three fingerprints, since one misses too many.
+STAGE_RADIUS, STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_PRINTS = 7, 5, 0.8, 3
+_FULL, _BATCH_WORDS = np.uint64(0xFFFFFFFFFFFFFFFF), 8192
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as an unsigned 64-bit number."""
+def fingerprints(text: str | None, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
+    """Fingerprints as unsigned 64-bit numbers: the first by the shingles' hashes, the others by remixed ones."""
     from xxhash import xxh64_intdigest as xxh
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and \x20\x09-\x0D only
     if not words:
-        return 0
+        return [0] * prints
     whole = b" ".join(words)
     if len(words) <= shingle:
-        return xxh(whole, 42)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    ends, starts = end[shingle - 1:].tolist(), (end - size)[:len(words) - shingle + 1].tolist()
-    seen = np.fromiter((xxh(whole[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(ends))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(seen), 1 << 15):
-        ones += np.unpackbits(seen[i:i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(seen), bitorder="little").view(np.uint64)[0])
-
-
-def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
-    """keep + fp, the fingerprint as a signed long."""
+        seen = np.array([xxh(whole, 42)], np.uint64)
+    else:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size + 1) - 1
+        ends, starts = end[shingle - 1:].tolist(), (end - size)[:len(words) - shingle + 1].tolist()
+        seen = np.fromiter((xxh(whole[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(ends))
+    out = []
+    for _ in range(prints):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(seen), 1 << 15):
+            ones += np.unpackbits(seen[i:i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(seen), bitorder="little").view(np.uint64)[0]))
+        seen = (seen ^ (seen >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        seen ^= seen >> np.uint64(29)
+    return out
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, prints: int = 1) -> DataFrame:
+    """keep + fp (fp0, fp1, ... where more than one is asked for), the fingerprints as signed longs."""
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
     kinds = [rows.schema[f"k{i}"].dataType.simpleString() for i in range(len(keep))]
+    names = _names(prints)
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column("_text").to_pylist()], np.uint64).view(np.int64)
-            return pa.record_batch({f"k{i}": batch.column(f"k{i}") for i in range(len(keep))} | {"fp": pa.array(fps)})
+            fps = np.array([fingerprints(t, shingle, prints) for t in batch.column("_text").to_pylist()], np.uint64).view(np.int64)
+            return pa.record_batch({f"k{i}": batch.column(f"k{i}") for i in range(len(keep))} | {c: pa.array(fps[:, i]) for i, c in enumerate(names)})
         return apply
 
-    return named(arrow_map(rows, make, ", ".join([*[f"k{i} {k}" for i, k in enumerate(kinds)], "fp long"])), keep, "fp")
+    return named(arrow_map(rows, make, ", ".join([*[f"k{i} {k}" for i, k in enumerate(kinds)], *[f"{c} long" for c in names]])), keep, *names)
+
+
+def _names(prints: int) -> list[str]:
+    return ["fp"] if prints == 1 else [f"fp{i}" for i in range(prints)]
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -76,61 +90,126 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return wide.view(np.uint64)
 
 
-def within(planes: np.ndarray, n: int, query: int, radius: int) -> np.ndarray:
-    """Which of the n stored fingerprints differ from the query in at most `radius` bits.
+def _counted(planes, over: np.ndarray, radius: int) -> np.ndarray:
+    """over: words in which a bit is set for every lane that is out already -> the same after all 64 planes, with a bit for each
+    lane over the radius.  planes(b, live): the differing bits b of the words still alive.
 
     Carry-save counters of three bits, started so that they overflow at radius + 1; overflow is kept."""
-    words = planes.shape[1]
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    start = 7 - radius
-    low, mid, high = (np.full(words, full if start >> i & 1 else 0, np.uint64) for i in range(3))
-    over = np.zeros(words, np.uint64)
-    flip = [full if query >> b & 1 else np.uint64(0) for b in range(64)]
+    live, out = np.arange(len(over)), over.copy()
+    low, mid, high = (np.full(len(over), _FULL if 7 - radius >> i & 1 else 0, np.uint64) for i in range(3))
     for b in range(64):
-        carry = planes[b] ^ flip[b]
+        carry = planes(b, live)
         low, carry = low ^ carry, low & carry
         mid, carry = mid ^ carry, mid & carry
         high, carry = high ^ carry, high & carry
-        over |= carry
-        if b % 8 == 7 and (over == full).all():
-            return np.zeros(0, np.int64)
-    return np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little")[:n])
-
-
-def cluster(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join what is connected within this bucket: a breadth-first spanning forest."""
-    left, links = fps, []
-    if len(fps) < FEW:  # the planes of few fingerprints cost more than they save
-        apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
-        a, b = np.nonzero(np.triu(apart <= radius, 1))
-        return [(int(fps[i]), int(fps[j])) for i, j in zip(a, b, strict=True)]
-    while len(left):
-        todo, left = [int(left[0])], left[1:]
-        planes = planes_of(left) if len(left) else None
-        while todo and len(left):
-            q = todo.pop()
-            near = within(planes, len(left), q, radius)
-            if len(near):
-                found = [int(x) for x in left[near]]
-                links += [(q, x) for x in found]
-                todo += found
-                left = np.delete(left, near)
-                planes = planes_of(left) if len(left) else None
-    return links
+        over = over | carry
+        if b % 8 == 7 or b == 63:
+            out[live] = over
+            on = np.flatnonzero(over != _FULL)
+            if not len(on):
+                break
+            if len(on) < len(live):  # whole blocks are abandoned
+                live, low, mid, high, over = (x[on] for x in (live, low, mid, high, over))
+    return out
+
+
+def _lanes(words: np.ndarray) -> np.ndarray:
+    """Numbers of the lanes whose bit is not set."""
+    at = np.flatnonzero(words != _FULL)
+    bits = np.unpackbits((~words[at]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(-1)
+    hit = np.flatnonzero(bits)
+    return at[hit // 64] * 64 + hit % 64
+
+
+def within(planes: np.ndarray, n: int, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, stored) numbers of all pairs that differ in at most `radius` bits; n fingerprints are stored."""
+    words, out = planes.shape[1], [np.zeros((0, 2), np.int64)]
+    tail = np.zeros(words, np.uint64)
+    if n % 64:
+        tail[-1] = _FULL << np.uint64(n % 64)
+    step = max(1, _BATCH_WORDS // words)
+    for s in range(0, len(queries), step):
+        some = queries[s:s + step]
+        q, w = np.divmod(np.arange(len(some) * words), words)
+        over = _counted(lambda b, live, some=some, q=q, w=w: planes[b, w[live]] ^ (np.uint64(0) - (some[q[live]] >> np.uint64(b) & np.uint64(1))), np.tile(tail, len(some)), radius)
+        lane = _lanes(over)
+        out.append(np.stack([s + q[lane // 64], w[lane // 64] * 64 + lane % 64], 1))
+    both = np.concatenate(out)
+    return both[:, 0], both[:, 1]
+
+
+def side_by_side(values: np.ndarray, first: np.ndarray, size: np.ndarray, radius: int) -> np.ndarray:
+    """Pairs (numbers of values) within the radius in each of many groups of 2 to 64; a group takes a power of two of lanes."""
+    out, wide = [np.zeros((0, 2), np.int64)], 1 << np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64)
+    for g in np.unique(wide).tolist():
+        own = np.flatnonzero(wide == g)
+        for s in range(0, len(own), (1 << 18) // g):
+            some = own[s:s + (1 << 18) // g]
+            lanes = -(-len(some) * g // 64) * 64
+            lane, rank = np.zeros(lanes, np.int64), np.full(lanes, g)
+            at = np.repeat(np.arange(len(some)) * g, size[some])
+            inside = np.arange(len(at)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+            lane[at + inside], rank[at + inside] = np.repeat(first[some], size[some]) + inside, inside
+            planes = planes_of(values[lane])
+            ones, fill = np.uint64(sum(1 << i for i in range(0, 64, g))), np.uint64((1 << g) - 1)
+            for p in range(int(size[some].max()) - 1):
+                gone = np.packbits((rank <= p) | (rank == g), bitorder="little").view(np.uint64)  # itself, those before it, and empty lanes
+                over = _counted(lambda b, live, p=p: planes[b, live] ^ ((planes[b, live] >> np.uint64(p) & ones) * fill), gone, radius)
+                hit = _lanes(over)
+                out.append(np.stack([lane[hit - rank[hit] + p], lane[hit]], 1))
+    return np.concatenate(out)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of links that join what all of them join."""
+    label, keep = np.arange(n), []
+    while len(a):
+        la, lb = label[a], label[b]
+        on = np.flatnonzero(la != lb)
+        if not len(on):
+            break
+        a, b, la, lb = a[on], b[on], la[on], lb[on]
+        lo, hi = np.minimum(la, lb), np.maximum(la, lb)
+        order = np.lexsort((lo, hi))  # each label goes to the least it is linked with, by one link
+        one = order[np.unique(hi[order], return_index=True)[1]]
+        keep.append(np.stack([a[one], b[one]], 1))
+        label[hi[one]] = lo[one]
+        root = np.arange(n)
+        root[hi[one]] = lo[one]
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
+    return np.concatenate([np.zeros((0, 2), np.int64), *keep])
+
+
+def cluster(fps: np.ndarray, radius: int) -> np.ndarray:
+    """Links (pairs of fingerprints) that join what is connected within one large bucket."""
+    left, links = fps, [np.zeros((0, 2), np.uint64)]
+    while len(left) > 1:
+        todo, rest, found = left[:1], left[1:], 1
+        while len(todo) and len(rest):
+            q, x = within(planes_of(rest), len(rest), todo, radius)
+            x, one = np.unique(x, return_index=True)
+            links.append(np.stack([todo[q[one]], rest[x]], 1))
+            found += len(x)
+            todo, rest = rest[x], np.delete(rest, x)
+        if found * 8 < len(left):  # no dense cluster here: what is left, and this one, is compared all at once
+            break
+        left = rest
+    if len(left) > 1:
+        a, b = within(planes_of(left), len(left), left, radius)
+        a, b = a[a < b], b[a < b]
+        links.append(left[forest(len(left), a, b)])
+    return np.concatenate(links)
 
 
 def unlike(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int) -> np.ndarray:
-    """All pairs within the radius, but those where both fingerprints have one and the same label (lo = hi)."""
-    out = [np.zeros((0, 2), np.uint64)]
+    """All pairs of one large bucket within the radius, but those where both fingerprints have one and the same label (lo = hi)."""
     if lo.min() == hi.max():
-        return out[0]
-    for i in range(0, len(fps), 256):  # so many rows at once that the matrix stays small
-        own = slice(i, i + 256)
-        near = np.bitwise_count(fps[own, None] ^ fps[None, :]) <= radius
-        near &= (np.minimum(lo[own, None], lo) != np.maximum(hi[own, None], hi)) & (fps[own, None] < fps)
-        a, b = np.nonzero(near)
-        out.append(np.stack([fps[i + a], fps[b]], 1))
-    return np.concatenate(out)
+        return np.zeros((0, 2), np.uint64)
+    a, b = within(planes_of(fps), len(fps), fps, radius)
+    on = (a < b) & (np.minimum(lo[a], lo[b]) != np.maximum(hi[a], hi[b]))
+    return np.stack([fps[a[on]], fps[b[on]]], 1)
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -167,19 +246,16 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             column = batch.column("fps")
             values, at = column.flatten(), column.offsets.to_numpy()
-            at = at - at[0]
-            out = []
+            fp, lo, hi = (values.field(i).to_numpy() for i in range(3)) if labelled else [values.to_numpy()] * 3
+            fp, first, size = fp.view(np.uint64), at[:-1].astype(np.int64) - at[0], np.diff(at).astype(np.int64)
+            few = np.flatnonzero(size <= 64)
+            pairs = side_by_side(fp, first[few], size[few], radius)
             if labelled:
-                fp, lo, hi = (values.field(i).to_numpy() for i in range(3))
-                out = [unlike(fp[i:j].view(np.uint64), lo[i:j], hi[i:j], radius) for i, j in zip(at[:-1], at[1:], strict=True)]
-            else:
-                values, size = values.to_numpy().view(np.uint64), np.diff(at)
-                two = at[:-1][size == 2]  # most buckets are pairs: all of them at once
-                near = two[np.bitwise_count(values[two] ^ values[two + 1]) <= radius]
-                out.append(np.stack([values[near], values[near + 1]], 1))
-                for i in np.flatnonzero(size > 2):
-                    if got := cluster(np.unique(values[at[i]:at[i + 1]]), radius):
-                        out.append(np.array(got, np.uint64).reshape(-1, 2))
+                pairs = pairs[np.minimum(lo[pairs[:, 0]], lo[pairs[:, 1]]) != np.maximum(hi[pairs[:, 0]], hi[pairs[:, 1]])]
+            out = [fp[pairs]]
+            for i in np.flatnonzero(size > 64):
+                own = slice(first[i], first[i] + size[i])
+                out.append(unlike(fp[own], lo[own], hi[own], radius) if labelled else cluster(fp[own], radius))
             pairs = np.concatenate(out).view(np.int64)
             return pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])}) if len(pairs) else None
         return apply
@@ -213,20 +289,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def alike_links(nodes: DataFrame, rows: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
-    """nodes(fp, t, rk), one for every different text -> (a, b): links of texts (t) that hold on the texts, with the same
-    components as all pairs within the radius that are alike.
+def alike_links(nodes: DataFrame, rows: DataFrame, prints: list[str], radius: int, shingle: int, similarity: float) -> DataFrame:
+    """nodes(prints..., t, rk), one for every different text -> (a, b): links of texts (t) that hold on the texts, with the same
+    components as all pairs within the radius in one of the prints that are alike.
 
     First a spanning forest of the texts within the radius is checked.  A tree of which every link holds is one group,
     and any pair within the radius lies inside one tree; so only in trees with a link that failed there can be more,
     and of these all pairs within the radius that are not in one group yet are checked."""
-    hubs = materialize(nodes.groupBy("fp").agg(F.min("t").alias("hub")))
-    stars = nodes.join(hubs, "fp").where("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b"))
-    far = _ordered(links(hubs.select("fp"), radius))
-    for c in ("a", "b"):
-        far = far.join(hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"t{c}")), c)
-    tried = materialize(_ordered(stars.unionByName(far.select(F.col("ta").alias("a"), F.col("tb").alias("b")))))
-    forget(hubs)
+    parts = []
+    for fp in prints:
+        hubs = materialize(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("t").alias("hub")))
+        stars = nodes.join(hubs, F.col(fp) == F.col("fp")).where("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b"))
+        far = _ordered(links(hubs.select("fp"), radius))
+        for c in ("a", "b"):
+            far = far.join(hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"t{c}")), c)
+        parts.append(materialize(stars.unionByName(far.select(F.col("ta").alias("a"), F.col("tb").alias("b"))), hubs))
+    tried = materialize(_ordered(functools.reduce(DataFrame.unionByName, parts)), *parts)
     wanted = nodes.join(tried.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "t", "left_semi").select("rk", "t")
     texts = materialize(rows.select("rk", "text").join(wanted, "rk").dropDuplicates(["t"]).select("t", "text"))
     held = materialize(alike(tried, texts, shingle, similarity))
@@ -234,30 +312,35 @@ def alike_links(nodes: DataFrame, rows: DataFrame, radius: int, shingle: int, si
         return held
     ends = texts.select(F.col("t").alias("id"))
     trees, groups = (components(ends, x).select(F.col("id").alias("t"), F.col("component").alias(c)) for x, c in ((tried, "tree"), (held, "part")))
-    at = materialize(nodes.select("fp", "t").join(trees, "t").join(groups, "t"))
+    at = materialize(nodes.select(*prints, "t").join(trees, "t").join(groups, "t"))
     split = at.groupBy("tree").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-    open_ = materialize(at.join(split, "tree", "left_semi").select("fp", "t", "part"), at)
-    prints = materialize(open_.groupBy("fp").agg(F.min("part").alias("lo"), F.max("part").alias("hi")))
-    near = _ordered(links(prints, radius)).unionByName(prints.where("lo < hi").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    for c in ("a", "b"):
-        near = near.join(open_.select(F.col("fp").alias(c), F.col("t").alias(f"t{c}"), F.col("part").alias(f"p{c}")), c)
-    more = _ordered(near.where("pa <> pb").select(F.col("ta").alias("a"), F.col("tb").alias("b"))).join(tried, ["a", "b"], "left_anti")
-    return materialize(held.unionByName(alike(more, texts, shingle, similarity)), held, tried, texts, open_, prints)
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """(id, rk, fp, component): one row for every row of docs; component is the smallest id of the group, rk names
-    the row by its id and text.  With a similarity, links between different texts must also hold on the texts."""
+    open_ = materialize(at.join(split, "tree", "left_semi").select(*prints, "t", "part"), at)
+    parts = []
+    for fp in prints:
+        marks = materialize(open_.groupBy(F.col(fp).alias("fp")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")))
+        near = _ordered(links(marks, radius)).unionByName(marks.where("lo < hi").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+        for c in ("a", "b"):
+            near = near.join(open_.select(F.col(fp).alias(c), F.col("t").alias(f"t{c}"), F.col("part").alias(f"p{c}")), c)
+        parts.append(materialize(near.where("pa <> pb").select(F.col("ta").alias("a"), F.col("tb").alias("b")), marks))
+    more = _ordered(functools.reduce(DataFrame.unionByName, parts)).join(tried, ["a", "b"], "left_anti")
+    return materialize(held.unionByName(alike(more, texts, shingle, similarity)), held, tried, texts, open_, *parts)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None, prints: int = 1) -> DataFrame:
+    """(id, rk, fp or fp0..., component): one row for every row of docs; component is the smallest id of the group, rk names
+    the row by its id and text.  With a similarity, candidates are the pairs within the radius in any of `prints` fingerprints, and
+    links between different texts must also hold on the texts."""
     rows = docs.select(F.col(key).alias("id"), row_key(key, text).alias("rk"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    names = _names(prints)
     node, keep = ("fp", ("id", "rk")) if similarity is None else ("t", ("id", "rk", "t"))
-    marked = materialize(with_fingerprint(rows, keep=keep, shingle=shingle))
-    folded = materialize(marked.groupBy(*{"fp", node}).agg(F.min("id").alias("least"), F.min("rk").alias("rk")))
-    near = links(folded.select("fp"), radius) if similarity is None else alike_links(folded, rows, radius, shingle, similarity)
+    marked = materialize(with_fingerprint(rows, keep=keep, shingle=shingle, prints=prints))
+    folded = materialize(marked.groupBy(*dict.fromkeys([*names, node])).agg(F.min("id").alias("least"), F.min("rk").alias("rk")))
+    near = links(folded.select("fp"), radius) if similarity is None else alike_links(folded, rows, names, radius, shingle, similarity)
     groups = components(folded.select(F.col(node).alias("id")), near)
     own = materialize(folded.join(groups, folded[node] == groups.id).select(node, "least", F.col("component").alias("group")))
-    names = materialize(own.groupBy("group").agg(F.min("least").alias("component")))
-    known = materialize(own.join(names, "group").select(node, "component"), own, folded)
-    return marked.join(known, node).select("id", "rk", "fp", "component")
+    names_ = materialize(own.groupBy("group").agg(F.min("least").alias("component")))
+    known = materialize(own.join(names_, "group").select(node, "component"), own, folded)
+    return marked.join(known, node).select("id", "rk", *names, "component")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +353,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without any id in their group are not told apart by id and stay.
 
     The radius is wider than in op3's contract, and links are checked on the texts: five-word shingles agree to 0.8 or more."""
-    first = near_duplicates(docs, radius=STAGE_RADIUS, shingle=STAGE_SHINGLE, similarity=STAGE_SIMILARITY).where("id = component or component is null").select(F.col("rk").alias("_stratum_rk")).distinct()
+    first = near_duplicates(docs, radius=STAGE_RADIUS, shingle=STAGE_SHINGLE, similarity=STAGE_SIMILARITY, prints=STAGE_PRINTS).where("id = component or component is null").select(F.col("rk").alias("_stratum_rk")).distinct()
     kept = docs.withColumn("_stratum_rk", row_key("doc_id", "text")).join(first, "_stratum_rk", "left_semi")
     return kept.dropDuplicates(["_stratum_rk"]).select(*docs.columns)

@@ -49,7 +49,7 @@ def contamination(docs, items):
     return out
 
 
-def simhash(text, size=4):
+def simhash(text, size=4, remixed=0):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     if not w:
         return 0
@@ -57,6 +57,9 @@ def simhash(text, size=4):
     ones = [0] * 64
     for s in shingles:
         h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for _ in range(remixed):
+            h = (h ^ h >> 31) * 0x9E3779B97F4A7C15 % 2**64
+            h ^= h >> 29
         for b in range(64):
             ones[b] += h >> b & 1
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
