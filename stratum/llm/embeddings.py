@@ -1,13 +1,13 @@
 """Operator 4: embedding near-duplicates by int8 quantised tile products.
 
 Equal vectors are folded into classes first.  Every class is quantised to int8 with its own scale and the norm
-of its own rounding error, so a tile product gives a rigorous upper bound of every cosine in the tile:
-|x.y - xq.yq| <= |ex| * |yq| + |ey| for unit x, y.  Only pairs whose bound reaches the threshold are computed
-again, in double precision, and only those decide.
+of its own rounding error; the products of codes in a tile are exact integers, and scaled they give a rigorous upper bound of
+every cosine: |x.y - xq.yq| <= |ex| * |yq| + |ey| for unit x, y.  Only pairs whose bound reaches the threshold are computed
+again, pair by pair in double precision, and only those decide.
 
 Tiles are cells around pivots (vectors of a bounded sample; they steer work, never results): a class is
 sent to a cell only if the triangle inequality of angles lets it reach a member of that cell, and a
-large cell is dealt out over several tiles.  A tile pair returns counts and a spanning forest, not pairs.
+large cell is dealt out over several tiles, which are bounded in rows and bytes.  A tile pair returns counts and a spanning forest, not pairs.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite components links with nothing,
 and so does a row with a null id; vectors of different length never link; repeated ids with one vector
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from stratum.llm.common import arrow_map, components, forget, materialize, ship, table
 
-THRESHOLD, MIN_TILE, MAX_TILE, MAX_PIVOTS = 0.95, 1024, 16384, 4096
-_STRIP = 256
+THRESHOLD, MIN_TILE, MAX_TILE, TILE_BYTES, MAX_PIVOTS = 0.95, 1024, 16384, 32 << 20, 4096
+_STRIP, _PAIRS = 256, 1 << 16
+_EXACT = (1 << 24) // 127**2  # so many products of codes add up exactly in float32
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -42,6 +43,16 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.sqrt((error * error).sum(1)) * (1 + 1e-9)
 
 
+def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of int8 codes, exact: float32 holds the sums of _EXACT dimensions at a time (and has the faster product)."""
+    out = a[:, :_EXACT].astype(np.float32) @ b[:, :_EXACT].astype(np.float32).T
+    if a.shape[1] > _EXACT:
+        out = out.astype(np.float64)
+        for d in range(_EXACT, a.shape[1], _EXACT):
+            out += a[:, d:d + _EXACT].astype(np.float32) @ b[:, d:d + _EXACT].astype(np.float32).T
+    return out
+
+
 def tile_links(a: np.ndarray, b: np.ndarray | None, na: np.ndarray, nb: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(weighted link counts, labels) of the rows of a, then of b; b None: the pairs within a.
     A label is the least row index that a row is connected to within this pair of tiles."""
@@ -50,25 +61,24 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, na: np.ndarray, nb: np.ndarr
     wb, off = (na, 0) if one else (nb, len(a))
     qa, sa, ea = quantise(xa)
     qb, sb, eb = (qa, sa, ea) if one else quantise(xb)
-    # One product gives the bound itself: two more dimensions add |ex| * (1 + max |ey|) and |ey|.
-    left = np.column_stack([qa * sa[:, None], ea * (1 + eb.max()), np.ones(len(qa))]).astype(np.float32)
-    right = np.column_stack([qb * sb[:, None], np.ones(len(qb)), eb]).astype(np.float32).T.copy()
-    least = np.float32(threshold - (left.shape[1] + 8) * 2.0**-22)  # float32 rounding, rounded up
+    # bound = product * sa * sb + ea + eb * (1 + ea); in float32, so a slack over its rounding is added
+    least, scale, more = (threshold - ea - 1e-5).astype(np.float32), sb.astype(np.float32), (eb * (1 + ea.max())).astype(np.float32)
     counts, labels = np.zeros(len(a) + (0 if one else len(b)), np.int64), np.arange(len(a) + (0 if one else len(b)))
     for s in range(0, len(a), _STRIP):
         begin = s if one else 0
-        maybe = left[s:s + _STRIP] @ right[:, begin:] >= least
-        some = np.count_nonzero(maybe)
-        if not some:
-            continue
-        if some > maybe.size // 50:
-            sure = maybe & (xa[s:s + _STRIP] @ xb[begin:].T >= threshold)
-        else:
-            i, j = np.nonzero(maybe)
-            sure = np.zeros_like(maybe)
-            sure[i, j] = np.einsum("ij,ij->i", xa[s + i], xb[begin + j]) >= threshold
+        bound = code_products(qa[s:s + _STRIP], qb[begin:])
+        bound *= scale[begin:]
+        bound *= sa[s:s + _STRIP, None].astype(np.float32)
+        bound += more[begin:]
+        i, j = np.nonzero(bound >= least[s:s + _STRIP, None])
         if one:
-            sure = np.triu(sure, 1)
+            i, j = i[j > i], j[j > i]
+        if not len(i):
+            continue
+        sure = np.zeros(bound.shape, bool)
+        for p in range(0, len(i), _PAIRS):
+            x, y = i[p:p + _PAIRS], j[p:p + _PAIRS]
+            sure[x, y] = np.einsum("ij,ij->i", xa[s + x], xb[begin + y]) >= threshold
         rows = np.flatnonzero(sure.any(1))
         if not len(rows):
             continue
@@ -82,12 +92,12 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, na: np.ndarray, nb: np.ndarr
     return counts, labels
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     def run(key, t):
         i, j = (k.as_py() for k in key)
         t = t.sort_by([("home", "ascending"), ("id", "ascending")])
         home, ids, n = (t.column(c).to_numpy() for c in ("home", "id", "n"))
-        v = np.vstack([np.frombuffer(x, np.float64) for x in t.column("v").to_pylist()])
+        v = np.vstack([np.frombuffer(x, kind) for x in t.column("v").to_pylist()])
         cut = len(home) if i == j else int(np.searchsorted(home, j))
         if i != j and cut in (0, len(home)):
             return pa.table({"id": ids[:0], "links": ids[:0], "to": ids[:0]})
@@ -98,54 +108,67 @@ def _compare(threshold: float):
     return run
 
 
-def near_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """classes(id, n, v array<double>), all of one length -> (id, links, to), to be summed by id: the links of id to other
+def near_pairs(classes: DataFrame, dims: int, threshold: float = THRESHOLD) -> DataFrame:
+    """classes(id, n, v array<float or double>), all of one length -> (id, links, to), to be summed by id: the links of id to other
     classes, weighted by their n, and a connected class for each tile pair."""
     spark = classes.sparkSession
+    kind = "float32" if classes.schema["v"].dataType.elementType.simpleString() == "float" else "float64"
     total = classes.count()
-    tile = int(min(max(total / 12, MIN_TILE), MAX_TILE))
+    tile = int(min(max(total / 12, MIN_TILE), MAX_TILE, max(64, TILE_BYTES // (8 * dims))))
     pivots = min(max(1, -(-total // tile)), MAX_PIVOTS)
     chosen = unit(np.array([r["v"] for r in classes.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(pivots).collect()]))
     shared, reach = spark.sparkContext.broadcast(chosen), float(np.arccos(threshold))
 
+    def angles(x: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(unit(x) @ shared.value.T, -1, 1))
+
     def locate():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            v = batch.column("v")
-            x = v.flatten().to_numpy().reshape(batch.num_rows, -1)
-            near = np.clip(unit(x) @ shared.value.T, -1, 1)
-            cell = near.argmax(1)
-            angles = np.arccos(near)
-            return pa.record_batch({"id": batch.column("id"), "n": batch.column("n"), "v": pa.array([r.tobytes() for r in x], pa.binary()), "cell": pa.array(cell.astype(np.int32)), "angle": pa.array(angles[np.arange(len(cell)), cell]),
-                                    "angles": pa.array(list(angles.astype(np.float32)), pa.list_(pa.float32()))})
+            x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            far = angles(x)
+            cell = far.argmin(1)
+            return pa.record_batch({"id": batch.column("id"), "n": batch.column("n"), "v": pa.array([r.tobytes() for r in x], pa.binary()),
+                                    "cell": pa.array(cell.astype(np.int32)), "angle": pa.array(far[np.arange(len(cell)), cell])})
+        return apply
+
+    placed = materialize(arrow_map(classes.select("id", "n", "v"), locate, "id long, n long, v binary, cell int, angle double"))
+    many, limit = np.zeros(pivots, np.int64), np.full(pivots, -1.0)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect():  # at most `pivots` rows
+        many[r["cell"]], limit[r["cell"]] = -(-r["n"] // tile), r["far"] + reach + 1e-6
+    first = np.cumsum(many) - many
+    plan = spark.sparkContext.broadcast((many, first, limit))
+
+    def send():
+        many, first, limit = plan.value
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """Home tile and the tiles that a class must be compared with."""
+            x = np.vstack([np.frombuffer(r, kind) for r in batch.column("v").to_pylist()])
+            cell, h = batch.column("cell").to_numpy(), batch.column("h").to_numpy()
+            row, to = np.nonzero(angles(x) <= limit)
+            count = many[to]
+            tiles = np.repeat(first[to] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            ends = np.append(0, np.cumsum(np.bincount(row, count, len(x)).astype(np.int64)))
+            return pa.record_batch({"id": batch.column("id"), "n": batch.column("n"), "v": batch.column("v"), "home": pa.array((first[cell] + h % many[cell]).astype(np.int32)),
+                                    "tiles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tiles.astype(np.int32)))})
         return apply
 
-    placed = materialize(arrow_map(classes.select("id", "n", "v"), locate, "id long, n long, v binary, cell int, angle double, angles array<float>"))
-    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect()}  # at most `pivots` rows
-    first, tiles, targets = 0, [], []
-    for c in range(pivots):
-        n = cells[c]["n"] if c in cells else 0
-        many = -(-n // tile)
-        tiles.append((first, many))
-        if n:  # float32 angles: a slack far over their rounding
-            targets.append(F.when(F.element_at("angles", c + 1) <= cells[c]["far"] + reach + 1e-4, F.sequence(F.lit(first), F.lit(first + many - 1))))
-        first += many
-    begin, many = (F.element_at(F.array(*[F.lit(t[k]) for t in tiles]), F.col("cell") + 1) for k in (0, 1))
-    home = begin + F.pmod(F.xxhash64("id"), many).cast("int")
-    sent = placed.select("id", "n", "v", home.alias("home"), F.explode(F.flatten(F.filter(F.array(*targets), lambda t: t.isNotNull()))).alias("t"))
-    sent = sent.select("id", "n", "v", "home", F.least("home", "t").alias("i"), F.greatest("home", "t").alias("j"))
+    sent = arrow_map(placed.select("id", "n", "v", "cell", F.xxhash64("id").alias("h")), send, "id long, n long, v binary, home int, tiles array<int>")
+    sent = sent.select("id", "n", "v", "home", F.explode("tiles").alias("t")).select("id", "n", "v", "home", F.least("home", "t").alias("i"), F.greatest("home", "t").alias("j"))
     ship(spark)
-    return sent.groupBy("i", "j").applyInArrow(_compare(threshold), "id long, links long, to long")
+    return sent.groupBy("i", "j").applyInArrow(_compare(threshold, kind), "id long, links long, to long")
 
 
 def link_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """id, n_links, component: one row for every row of `rows`."""
-    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
     usable = F.coalesce(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     usable_rows = rows.where(usable)
     classes = materialize(usable_rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     found = None
     for dims in sorted(r[0] for r in classes.select(F.size("v")).distinct().collect()):
-        some = near_pairs(classes.where(F.size("v") == dims), threshold)
+        some = near_pairs(classes.where(F.size("v") == dims), dims, threshold)
         found = some if found is None else found.unionByName(some)
     if found is None:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
