@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratum.llm import decontaminate, langid, linededup, pieces, simhash
-from stratum.llm.common import materialize, table
+from stratum.llm.common import settle, table
 
 #: Each takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
@@ -23,5 +23,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), docs)
     return STAGES[-1][1](spark, docs, sf_dir)
