@@ -24,8 +24,9 @@ from stratum.llm.common import ascii_lower, forget, materialize, table
 
 #: verdict, host, path prefix
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: The default list of blocked domains (with all their subdomains).
-LISTED = ("ads-track.example.com", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com", "cheap-pills.example.net", "free-bets.example.net")
+#: The default list of blocked domains (with all their subdomains): these sites under every domain they use.
+SITES, TOPS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("com", "net", "org")
+LISTED = tuple(f"{site}.example.{top}" for site in SITES for top in TOPS)
 BITS_PER_KEY, HASHES, MAX_BITS, _MASK = 8, 5, 1 << 25, 0x7FFFFFFF
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
