@@ -14,4 +14,4 @@ QUERIES = {
     "op9_chat_format": chat.op9_chat_format,
     "op10_language_id": langid.op10_language_id,
 }
-ORACLE = {"op1_decontaminate": decontaminate.OP1_SQL, "op2_url_filter": urlfilter.OP2_SQL, "op4_embedding_dedup": embeddings.OP4_SQL}
+ORACLE = {"op1_decontaminate": decontaminate.OP1_SQL, "op2_url_filter": urlfilter.OP2_SQL, "op4_embedding_dedup": embeddings.OP4_SQL, "op9_chat_format": chat.OP9_SQL}
