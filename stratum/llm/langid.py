@@ -23,6 +23,8 @@ from stratum.llm.common import arrow_map, blocks_of, named, table
 BUCKETS, WINDOW = 1 << 16, 512
 SAMPLE_PER_LANG = 1500
 AMBIGUOUS = 0.75
+#: By so much the best codeword's share must be over an even one for the pipeline to keep a text.
+TOLD = 1e-3
 #: Occurrences added to every n-gram: a copy under a wrong label must not teach its rare n-grams.
 SMOOTH = 20.0
 _CHUNK = 1 << 18
@@ -109,8 +111,8 @@ def decode(margins: np.ndarray, langs: list[str], code: np.ndarray) -> tuple[lis
     return [langs[i] for i in loss.argmin(1)], like.max(1) / like.sum(1)
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and ambiguous (score below AMBIGUOUS) to the `keep` columns."""
+def _judged(docs: DataFrame, model: dict, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """The `keep` columns as k0, k1, ..., lang_pred, score, ambiguous, and told (the classifiers prefer a codeword at all)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
     kinds = [rows.schema[f"k{i}"].dataType.simpleString() for i in range(len(keep))]
@@ -120,7 +122,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str,
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column("_text").to_pylist()]
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
+            pred, score, told = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             real = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if langs else []
             for start, some in blocks_of([texts[i] for i in real], _CHUNK):
                 data, at = packed(some)
@@ -132,19 +134,24 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str,
                 parts = sum(np.add.reduceat(weights[g], np.minimum(begins, len(three) - 1), axis=0) for g in (three, four))
                 margins = np.add.reduceat(parts, first, axis=0) / np.sqrt(size)[:, None]  # n-grams overlap: their evidence grows slower than their number
                 best, sure = decode(margins, langs, code)
+                clear = sure > 1 / len(langs) + TOLD if len(langs) > 1 else sure > 0
                 own, _ = decode(parts / np.sqrt(WINDOW), langs, code)
                 wide = np.minimum(np.repeat(at[1:], n) - begins, WINDOW)
                 agree = np.array(own) == np.repeat(best, n)
                 sure = sure * np.add.reduceat(wide * agree, first) / size  # a text of two languages is never sure
-                for j, (b, s) in enumerate(zip(best, sure, strict=True)):
-                    pred[real[start + j]], score[real[start + j]] = b, s
+                for j, (b, s, c) in enumerate(zip(best, sure, clear, strict=True)):
+                    pred[real[start + j]], score[real[start + j]], told[real[start + j]] = b, s, c
             cols = {f"k{i}": batch.column(f"k{i}") for i in range(len(keep))}
-            return pa.record_batch(cols | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score), "ambiguous": pa.array((score < AMBIGUOUS).tolist(), pa.bool_())})
+            return pa.record_batch(cols | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score), "ambiguous": pa.array((score < AMBIGUOUS).tolist(), pa.bool_()), "told": pa.array(told.tolist(), pa.bool_())})
 
         return apply
 
-    schema = ", ".join([*[f"k{i} {k}" for i, k in enumerate(kinds)], "lang_pred string, score double, ambiguous boolean"])
-    return named(arrow_map(rows, make, schema), keep, "lang_pred", "score", "ambiguous")
+    return arrow_map(rows, make, ", ".join([*[f"k{i} {k}" for i, k in enumerate(kinds)], "lang_pred string, score double, ambiguous boolean, told boolean"]))
+
+
+def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Adds lang_pred, score (0 to 1) and ambiguous (score below AMBIGUOUS) to the `keep` columns."""
+    return named(_judged(docs, model, text, keep), keep, "lang_pred", "score", "ambiguous")
 
 
 def held_out(key: str = "doc_id"):
@@ -162,7 +169,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows judged 'und' (no letter at all) go, every other row stays as it is.
-    Ambiguous rows stay too: a doubt about which language it is is no reason to lose a text."""
-    keep = tuple(docs.columns)
-    return identify(docs, train_on_documents(docs), keep=keep).where("lang_pred <> 'und'").select(*keep)
+    """Pipeline stage: rows go that have no letter, or for whose n-grams no codeword is nearer than any other (by TOLD, as in a
+    script that was never learned); every other row stays as it is, ambiguous ones too: a doubt about which language it is is no reason
+    to lose a text.  Where no language could be learned, only the rows without any letter go."""
+    model, keep = train_on_documents(docs), tuple(docs.columns)
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return named(_judged(docs, model, "text", keep).where("told"), keep)
