@@ -99,6 +99,15 @@ def named(df: DataFrame, columns, *rest: str) -> DataFrame:
     return df.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)], *rest)
 
 
+def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(rk, row): each row's key beside all its columns, out of reach of any name."""
+    return df.select(row_key(key, text).alias("rk"), F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(df.columns)]).alias("row"))
+
+
+def unkeyed(df: DataFrame, columns) -> DataFrame:
+    return df.select(*[F.col(f"row.k{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a context, so that their Python workers can import it
     wherever the driver found it."""

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import ascii_lower, materialize, row_key, table
+from stratum.llm.common import ascii_lower, keyed, materialize, row_key, table, unkeyed
 
 WINDOW, K, BROADCAST_ROWS = 10, 6, 100_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -120,7 +120,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a hit go."""
     found, _ = hits(docs, table(spark, sf_dir, "benchmark"))
     bad = found.where("ctx is not null").select("rk").distinct()
-    return docs.withColumn("_stratum_rk", row_key("doc_id", "text")).join(bad.withColumnRenamed("rk", "_stratum_rk"), "_stratum_rk", "left_anti").select(*docs.columns)
+    return unkeyed(keyed(docs, "doc_id", "text").join(bad, "rk", "left_anti"), docs.columns)
 
 
 OP1_SQL = """

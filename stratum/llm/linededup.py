@@ -172,8 +172,8 @@ def removable(lines: list[str], marks: list[tuple[int, int]], min_words: int, lo
     return out
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """All columns of docs, with the text cleaned, and _n_lines, _n_removed."""
+def _cleaned(docs: DataFrame, key: str, text: str, min_words: int, long_words: int) -> DataFrame:
+    """The columns of docs as k0, k1, ..., with the text cleaned, and n_lines, n_removed."""
     columns = docs.columns
     marks = marked_lines(docs, key, text)
     kinds = {f"k{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(columns)}
@@ -198,11 +198,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
                     texts[i] = "\n".join(kept + lines[last:])
                     gone[i] = sum(b - a for a, b in runs)
             cols = {c: batch.column(c) for c in kinds} | {at: pa.array(texts, pa.string())}
-            return pa.record_batch(cols | {"_n_lines": pa.array(n, pa.int64()), "_n_removed": pa.array(gone, pa.int64())})
+            return pa.record_batch(cols | {"n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64())})
         return apply
 
-    schema = ", ".join([*[f"{c} {k}" for c, k in kinds.items()], "_n_lines long, _n_removed long"])
-    return named(arrow_map(rows, make, schema), columns, "_n_lines", "_n_removed")
+    return arrow_map(rows, make, ", ".join([*[f"{c} {k}" for c, k in kinds.items()], "n_lines long, n_removed long"]))
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """All columns of docs, with the text cleaned, and _n_lines, _n_removed (columns of these names are left out)."""
+    docs = docs.drop("_n_lines", "_n_removed")
+    return named(_cleaned(docs, key, text, min_words, long_words).withColumnsRenamed({"n_lines": "_n_lines", "n_removed": "_n_removed"}), docs.columns, "_n_lines", "_n_removed")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +217,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row stays, its repeated chunks of lines go; n_chars follows the text."""
-    out = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out, names = _cleaned(docs, "doc_id", "text", MIN_WORDS, LONG_WORDS), docs.columns
+    if "n_chars" in names:
+        own = f"k{names.index('n_chars')}"
+        out = out.withColumn(own, F.when(F.col("n_removed") > 0, F.length(f"k{names.index('text')}").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own)))
+    return named(out, names)

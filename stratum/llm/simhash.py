@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, components, forget, materialize, named, row_key, table
+from stratum.llm.common import arrow_map, components, forget, keyed, materialize, named, row_key, table, unkeyed
 
 RADIUS, SHINGLE, CHUNK = 4, 4, 1024
 #: For similarity 0.8 or more of five-word shingles, as the pipeline takes it: three fingerprints, since one misses too many.
@@ -353,6 +353,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without any id in their group are not told apart by id and stay.
 
     The radius is wider than in op3's contract, and links are checked on the texts: five-word shingles agree to 0.8 or more."""
-    first = near_duplicates(docs, radius=STAGE_RADIUS, shingle=STAGE_SHINGLE, similarity=STAGE_SIMILARITY, prints=STAGE_PRINTS).where("id = component or component is null").select(F.col("rk").alias("_stratum_rk")).distinct()
-    kept = docs.withColumn("_stratum_rk", row_key("doc_id", "text")).join(first, "_stratum_rk", "left_semi")
-    return kept.dropDuplicates(["_stratum_rk"]).select(*docs.columns)
+    first = near_duplicates(docs, radius=STAGE_RADIUS, shingle=STAGE_SHINGLE, similarity=STAGE_SIMILARITY, prints=STAGE_PRINTS).where("id = component or component is null").select("rk").distinct()
+    return unkeyed(keyed(docs, "doc_id", "text").join(first, "rk", "left_semi").dropDuplicates(["rk"]), docs.columns)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.llm import chat, decontaminate, embeddings, langid, linededup, pieces, pii, simhash, tokencount, urlfilter
+from stratum.llm import catalog, chat, common, decontaminate, embeddings, langid, linededup, pieces, pii, simhash, tokencount, urlfilter
 from stratum.llm.common import components
 
 from . import helpers as H
@@ -30,7 +30,8 @@ ODD = [(1, None), (2, ""), (3, "   \n "), (4, "One two three"), (4, "One two thr
 def odd(spark):
     """Nulls, empties, blanks, repeats, long texts, and columns whose names clash with internal ones."""
     df = spark.createDataFrame(ODD, "doc_id long, text string")
-    for c in ("id", "rk", "fp", "key", "hash", "words", "k0", "a", "n", "marks", "component", "lang", "source"):
+    for c in ("id", "rk", "fp", "fp0", "key", "hash", "words", "k0", "a", "n", "t", "marks", "component", "lang", "source", "row", "_n_lines", "n_lines", "n_removed", "lang_pred", "score", "ambiguous", "told", "rank",
+              "ids", "_text", "spans", "seen", "found", "kind", "pattern", "n_words", "ctx", "n_tokens", "fit_chars", "least", "group", "n_email"):
         df = df.withColumn(c, F.lit("x"))
     return df.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -646,10 +647,47 @@ def test_reply_trees(spark):
     assert best == {("c", 3), ("d", 1), ("f", 69)}
 
 
+def test_branches_are_ranked(spark):
+    """Random forests against walking up from every leaf; cycles with many leaves are left out."""
+    rng, rows = random.Random(15), []
+    for conv in range(12):
+        for node in range(rng.randint(1, 60)):
+            rows.append((f"c{conv}", node, rng.randrange(node) if node and rng.random() < 0.95 else None, float(rng.randint(-3, 3)) if rng.random() < 0.9 else None, rng.choice(("user", "assistant")), f"t{node}"))
+    rows += [("x", 0, 1, 1.0, "user", "t"), ("x", 1, 0, 1.0, "user", "t")] + [("x", i, 0, 1.0, "user", "t") for i in range(2, 40)] + [("x", 50, None, 0.0, "user", "alone")]
+    df = spark.createDataFrame(rows, "conv string, node long, parent long, score double, role string, text string")
+    want = {}
+    for conv in {r[0] for r in rows}:
+        own = {r[1]: r for r in rows if r[0] == conv}
+        paths = []
+        for leaf in own.keys() - {r[2] for r in own.values()}:
+            path, at = [], leaf
+            while at is not None and at in own and len(path) <= len(own):
+                path.append(own[at])
+                at = own[at][2]
+            if len(path) <= len(own):
+                paths.append((-sum(r[3] or 0.0 for r in path), leaf, [(r[4], r[5]) for r in reversed(path)]))
+        for rank, (score, leaf, turns) in enumerate(sorted(paths), 1):
+            want[conv, leaf] = (rank, -score, turns)
+    out = {(r["conv"], r["leaf"]): (r["rank"], r["score"], chat.parse(r["formatted"])) for r in chat.format_trees(df).collect()}
+    assert out == want and ("x", 50) in out and len({k for k in out if k[0] == "x"}) == 1
+    assert {k for k, v in want.items() if v[0] <= 2} == {(r["conv"], r["leaf"]) for r in chat.format_trees(df, top=2).collect()}
+
+
+def test_formatted_chars(spark):
+    rows = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        rows.setdefault(r["conv_id"], []).append((r["role"] or "", r["text"] or ""))
+    esc = lambda t: "".join({"\\": "\\\\", "<": "\\l", "[": "\\b", "|": "\\p"}.get(c, c) for c in t)
+    for r in chat.op9_chat_format(spark, SF).collect():
+        if r["conv_id"] != -7:
+            turns = rows[r["conv_id"]]
+            assert r["formatted_chars"] == len("".join(f"<|{esc(a)}|>\n{esc(b)}<|end|>\n" for a, b in turns)) and (r["rank"], r["score"]) == (1, sum(len(b) for a, b in turns if a == "assistant"))
+
+
 def test_chat_odd(spark):
     rows = spark.createDataFrame([(1, 0, None, None), (1, 0, None, None), (1, 1, "assistant", "x"), (None, 0, "user", "y")], "conv_id long, turn long, role string, text string").withColumn("node", F.lit("clash"))
     out = {r["conv"]: r["n_turns"] for r in chat.read_back(chat.format_trees(chat.threads(rows))).collect()}
-    assert out == {"=1": 3, "null": 1} and chat.format_trees(chat.threads(rows.limit(0))).count() == 0
+    assert {k.split(":")[0]: v for k, v in out.items()} == {"=1": 3, "null": 1} and chat.format_trees(chat.threads(rows.limit(0))).count() == 0
 
 
 # --- 10
@@ -672,6 +710,15 @@ def test_language_id_odd(spark):
     assert {r["lang_pred"] for r in langid.identify(odd(spark), langid.train(odd(spark))).collect()} == {"und", "x"}
     kept = langid.stage(spark, odd(spark), SF)
     assert kept.columns == odd(spark).columns and kept.count() == 6
+    assert langid.identify(odd(spark).limit(0), model).count() == 0
+    docs = docs_of(spark)
+    weights = langid.train_on_documents(docs)["weights"]
+    empty = next(c * 9 for c in map(chr, range(0x4E00, 0x9FFF)) if not any(weights[g].any() for g in langid.grams(langid.packed([c * 9])[0])))  # no n-gram of it was learned
+    strange = docs.limit(1).withColumn("doc_id", F.lit(900_002).cast("long")).withColumn("text", F.lit(empty)).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in langid.stage(spark, docs.unionByName(strange), SF).collect()}
+    assert kept == {r["doc_id"] for r in docs.where(r"text rlike '\\p{L}'").collect()}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.stage(spark, unlabelled, SF).count() == docs.where(r"text rlike '\\p{L}'").count()
 
 
 def test_codewords():
@@ -682,3 +729,32 @@ def test_codewords():
     margins = langid.codewords(4).astype(float) * 3
     margins[2, 0] *= -1  # one wrong bit is corrected
     assert langid.decode(margins, list("abcd"), langid.codewords(4))[0] == list("abcd")
+
+
+# --- all
+@pytest.fixture(scope="module")
+def bare(spark, tmp_path_factory):
+    """The tables without a row."""
+    folder = str(tmp_path_factory.mktemp("bare"))
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_empty_tables(spark, bare, name):
+    rows = catalog.QUERIES[name](spark, bare).collect()
+    assert [r["conv_id"] for r in rows] == [-7] if name == "op9_chat_format" else rows == []
+
+
+def test_listed_sites_meet_the_pages(spark):
+    rows = urlfilter.op2_url_filter(spark, "/root/testdata/sf0.01").where("rule is null and verdict = 'block'").select("host").distinct().collect()
+    assert len(urlfilter.LISTED) == 18 and len(rows) > 3
+
+
+def test_machine_local_folders_are_for_local_sessions_only():
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://somewhere:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(session)

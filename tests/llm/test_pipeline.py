@@ -34,3 +34,15 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in last} == set(after) and all(r["exact"] for r in last)
     own = pieces.vocabulary(pieces.default_path(), pieces.ALPHA)
     assert all(own.decode(r["ids"]) == after[r["doc_id"]].replace(pieces.BLANK, " ") for r in last)
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
+    from .test_operators import ODD, odd
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    odd(spark).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in rows} <= {i for i, _ in ODD} and all(r["exact"] for r in rows) and len(rows) > 5
