@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import subprocess
@@ -72,3 +73,17 @@ def hooked(hooks: Hooks, run: Callable[[str], None] = shell) -> Iterator[None]:
     finally:
         for c in hooks.final:
             run(c)
+
+
+def set_up_logging(level: str = "info", file: str | None = None, levels: Mapping[str, str] | None = None, dry_run: bool = False) -> logging.Logger:
+    """The library's logger: to the console, or to a file; levels by target; a dry run says so in every line."""
+    log = logging.getLogger("stratum")
+    for h in list(log.handlers):
+        log.removeHandler(h)
+    handler = logging.FileHandler(file) if file else logging.StreamHandler()
+    handler.setFormatter(logging.Formatter(("[dry run] " if dry_run else "") + "%(asctime)s [%(levelname)s] %(message)s"))
+    log.addHandler(handler)
+    log.setLevel(level.upper())
+    for target, own in (levels or {}).items():
+        logging.getLogger(f"stratum.{target}").setLevel(own.upper())
+    return log

@@ -135,6 +135,65 @@ def listing_time(time) -> Column:
     return F.concat(F.lpad(F.date_format(time, "d"), 2, " "), F.date_format(time, " MMM yyyy HH:mm"))
 
 
+def format_time(time, zone, here: str, show_offset: bool = False) -> Column:
+    """A stored instant with the zone it was taken in (an id or an offset like +02:00), as people at `here` read it: as it stands where both
+    zones agree at that instant, else converted and marked by *; or, with show_offset, in its own zone with the offset."""
+    time, zone = as_column(time).cast("timestamp"), zone if isinstance(zone, Column) else F.lit(zone)
+    utc = F.to_utc_timestamp(time, F.current_timezone())
+    own, local = F.from_utc_timestamp(utc, zone), F.from_utc_timestamp(utc, F.lit(here))
+    text = lambda t: F.date_format(t.cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+    minutes = F.timestamp_diff("MINUTE", utc, own)
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    offset = F.concat(sign, F.format_string("%02d%02d", F.floor(F.abs(minutes) / 60).cast("int"), F.pmod(F.abs(minutes), F.lit(60)).cast("int")))
+    return F.concat(text(own), offset) if show_offset else F.when(own == local, text(own)).otherwise(F.concat(text(local), F.lit("*")))
+
+
+#: Units of durations, in seconds or months.
+SECONDS = {"s": 1, "sec": 1, "secs": 1, "second": 1, "seconds": 1, "m": 60, "min": 60, "mins": 60, "minute": 60, "minutes": 60, "h": 3600, "hr": 3600, "hrs": 3600, "hour": 3600, "hours": 3600, "d": 86400, "day": 86400, "days": 86400,
+           "w": 604800, "wk": 604800, "week": 604800, "weeks": 604800}
+MONTHS = {"mo": 1, "mos": 1, "month": 1, "months": 1, "y": 12, "yr": 12, "yrs": 12, "year": 12, "years": 12}
+
+
+def parse_duration(text: str) -> tuple[int, int]:
+    """(months, seconds) of '2h30m', '3 days', '1 year 2 months'."""
+    months = seconds = 0
+    parts = re.findall(r"\s*(\d+)\s*([A-Za-z]+)[\s,]*", text)
+    if not parts or re.sub(r"\s*(\d+)\s*([A-Za-z]+)[\s,]*", "", text):
+        raise ValueError(f"no duration: {text!r}")
+    for n, unit in parts:
+        unit = unit if unit in SECONDS or unit in MONTHS else unit.lower()
+        if unit in MONTHS:
+            months += int(n) * MONTHS[unit]
+        elif unit in SECONDS:
+            seconds += int(n) * SECONDS[unit]
+        else:
+            raise ValueError(f"no unit of time: {unit!r}")
+    return months, seconds
+
+
+def interval(text: str) -> str:
+    """A duration as the body of a SQL interval that is subtracted: months and seconds do not mix in one."""
+    months, seconds = parse_duration(text)
+    return f"{months} months - interval {seconds} seconds" if months and seconds else f"{months} months" if months else f"{seconds} seconds"
+
+
+def duration_text(seconds) -> Column:
+    """'2d 3h 4m 5s'; parts that are zero do not show."""
+    s = F.floor(as_column(seconds)).cast("long")
+    parts = [F.when(n > 0, F.concat(n.cast("string"), F.lit(u))) for n, u in ((F.floor(s / 86400), "d"), (F.floor(F.pmod(s, F.lit(86400)) / 3600), "h"), (F.floor(F.pmod(s, F.lit(3600)) / 60), "m"), (F.pmod(s, F.lit(60)), "s"))]
+    return F.when(s == 0, "0s").otherwise(F.concat_ws(" ", *parts))
+
+
+def option_field(name: str) -> str:
+    """The field of an option or of an environment name: MY_DRY_RUN, --dry-run -> dry-run."""
+    return name.removeprefix("--").lower().replace("_", "-")
+
+
+def environment_name(option: str, prefix: str) -> str:
+    """The environment name of an option: dry-run -> PREFIX_DRY_RUN."""
+    return f"{prefix}_{option.removeprefix('--')}".upper().replace("-", "_")
+
+
 # --- texts, lists and maps
 def parse_labels(text) -> Column:
     """'k=v, k=v' as a map; raises where a part has no '='."""

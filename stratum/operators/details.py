@@ -5,16 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.functions.scalars import clock, delete_text
+from stratum.functions.scalars import delete_text, duration_text, human_size
 
 
 def snapshot_details(df: DataFrame) -> DataFrame:
-    """Title/value rows of each snapshot; rows without a value are left out."""
-    rows = [("Snapshot", F.col("id")), ("Time", F.date_format("time", "yyyy-MM-dd HH:mm:ss")), ("Host", F.col("hostname")), ("Label", F.col("label")), ("Tags", F.array_join("tags", ", ")),
-            ("Paths", F.array_join("paths", ", ")), ("Delete", delete_text("delete_kind", F.date_format("delete_after", "yyyy-MM-dd HH:mm:ss"))), ("Tree", F.col("tree")),
-            ("Size", F.col("summary.total_bytes_processed").cast("string")), ("Added", F.col("summary.data_added").cast("string"))]
+    """Title/value rows of each snapshot, in order; rows about a summary only where there is one, the original id only where it differs,
+    the description only where it is set."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    s = lambda c: F.col(f"summary.{c}")
+    have = {f.name for f in df.schema["summary"].dataType.fields} if "summary" in df.columns else set()
+    text = lambda c, none="": F.coalesce(F.col(c), F.lit(none)) if c in df.columns else F.lit(none)
+    counts = lambda kind: F.format_string("new: %10d / changed: %10d / unchanged: %10d", *[s(f"{kind}_{x}") for x in ("new", "changed", "unmodified")])
+    blobs = lambda name, n, raw, packed: F.format_string(f"{name}%10d blobs / raw: %10s / packed: %10s", n, human_size(raw), human_size(packed))
+    rows = [("Snapshot", F.col("id"))]
+    if "original" in df.columns:
+        rows.append(("Original ID", F.when(F.col("original") != F.col("id"), F.col("original"))))
+    rows += [("Time", stamp("time")), ("Generated by", text("program_version")), ("Host", text("hostname")), ("Label", text("label")), ("Tags", F.array_join("tags", "\n")),
+             ("Delete", delete_text("delete_kind", stamp("delete_after"))), ("Paths", F.array_join("paths", "\n")), ("Parent", text("parent", "no parent snapshot"))]
+    told = F.col("summary").isNotNull() if have else F.lit(False)
+    wanted = {"Command": (("command",), lambda: s("command")),
+              "Source": (("total_files_processed", "total_dirs_processed", "total_bytes_processed"), lambda: F.concat(F.format_string("files: %d / dirs: %d / size: ", s("total_files_processed"), s("total_dirs_processed")), human_size(s("total_bytes_processed")))),
+              "Files": (("files_new", "files_changed", "files_unmodified"), lambda: counts("files")), "Dirs": (("dirs_new", "dirs_changed", "dirs_unmodified"), lambda: counts("dirs")),
+              "Added to repo": (("data_blobs", "tree_blobs", "data_added_files", "data_added_files_packed", "data_added_trees", "data_added_trees_packed", "data_added", "data_added_packed"),
+                                lambda: F.concat_ws("\n", blobs("data:  ", s("data_blobs"), s("data_added_files"), s("data_added_files_packed")), blobs("tree:  ", s("tree_blobs"), s("data_added_trees"), s("data_added_trees_packed")),
+                                                    blobs("total: ", s("tree_blobs") + s("data_blobs"), s("data_added"), s("data_added_packed")))),
+              "Duration": (("backup_start", "backup_end", "backup_duration", "total_duration"),
+                           lambda: F.concat(F.lit("backup start: "), stamp("summary.backup_start"), F.lit(" / backup end: "), stamp("summary.backup_end"), F.lit(" / backup duration: "), duration_text(s("backup_duration")), F.lit("\ntotal duration: "), duration_text(s("total_duration"))))}
+    rows += [(title, F.when(told, value())) for title, (needs, value) in wanted.items() if have.issuperset(needs)]
+    if "description" in df.columns:
+        rows.append(("Description", F.col("description")))
     pairs = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(t).alias("title"), v.alias("value")) for i, (t, v) in enumerate(rows)])
-    return df.select("id", F.inline(F.filter(pairs, lambda p: p["value"].isNotNull() & (p["value"] != ""))))
+    return df.select("id", F.inline(F.filter(pairs, lambda p: p["value"].isNotNull())))
 
 
 def summary_json(df: DataFrame) -> DataFrame:
@@ -28,10 +49,6 @@ def progress(position: Column, length: Column, elapsed: Column) -> tuple[Column,
     return share, F.when(position > 0, F.floor(elapsed * (length - position) / position))
 
 
-def duration_text(seconds: Column) -> Column:
-    return clock(seconds)
-
-
 def widths(df: DataFrame) -> DataFrame:
     """The widest value of each column."""
     return df.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0))).alias(c) for c in df.columns])
@@ -76,3 +93,16 @@ def index_totals(index: DataFrame) -> DataFrame:
     kind = F.when(F.col("to_delete"), F.concat("blob_type", F.lit(" to delete"))).otherwise(F.col("blob_type"))
     rows = index.withColumn("kind", kind).rollup("kind").agg(F.grouping("kind").alias("_all"), F.count("*").alias("blobs"), F.sum("data_length").alias("data_size"), F.sum("length").alias("packed_size"))
     return rows.withColumn("kind", F.when(F.col("_all") == 1, "Total").otherwise(F.col("kind"))).drop("_all")
+
+
+def pack_sizes(index: DataFrame) -> DataFrame:
+    """Packs of each blob type: how many, the smallest and the largest ('-' where there is none is the reader's)."""
+    return index.groupBy("pack_id", "blob_type").agg(F.sum("length").alias("size")).groupBy("blob_type").agg(F.count("*").alias("packs"), F.min("size").alias("smallest"), F.max("size").alias("largest"))
+
+
+def preview(files: DataFrame, key: str, content: str = "text", most: int = 1_000_000) -> DataFrame:
+    """The first bytes of each file as text, where the file is UTF-8; a character cut by the bound goes."""
+    raw = F.col(content).cast("binary")
+    head = F.make_valid_utf8(F.substring(raw, 1, most).cast("string"))
+    text = F.when(F.length(raw) > most, F.regexp_replace(head, "\ufffd+$", "")).otherwise(head)
+    return files.where(F.is_valid_utf8(raw.cast("string"))).select(key, text.alias("preview"))

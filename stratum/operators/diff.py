@@ -38,8 +38,18 @@ def _packed(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.select(key, F.struct(*[c for c in df.columns if c != key]).alias(name))
 
 
-def diff(left: DataFrame, right: DataFrame, meta: Sequence[str] = ("size", "mode"), content: Same = same_content, metadata: bool = True, key: str = "path") -> DataFrame:
-    """path, left, right (structs), cls.  Nodes need node_type, link_target and content besides `meta`."""
+#: What a node is and holds; every other column is metadata.
+NOT_META = ("node_type", "link_target", "content", "subtree")
+
+
+def metadata_of(left: DataFrame, right: DataFrame, key: str = "path") -> list[str]:
+    """The metadata columns that both sides have."""
+    return [c for c in left.columns if c in right.columns and c != key and c not in NOT_META]
+
+
+def diff(left: DataFrame, right: DataFrame, meta: Sequence[str] | None = None, content: Same = same_content, metadata: bool = True, key: str = "path") -> DataFrame:
+    """path, left, right (structs), cls.  Nodes need node_type, link_target and content; `meta` is all metadata of both unless told."""
+    meta = metadata_of(left, right, key) if meta is None else meta
     both = _packed(left, key, "left").join(_packed(right, key, "right"), key, "full")
     return both.withColumn("cls", classify(F.col("left"), F.col("right"), meta, content, metadata))
 
@@ -50,12 +60,13 @@ def kind_of(row_left: str = "left", row_right: str = "right") -> Column:
 
 
 def stats(compared: DataFrame) -> DataFrame:
-    """Rows of each kind and class."""
-    return compared.groupBy(kind_of().alias("kind"), "cls").agg(F.count("*").alias("n"))
+    """Rows of each kind and class; changes of the type itself are of no kind and count once, under 'type'."""
+    return compared.groupBy(F.when(F.col("cls") == "T", "type").otherwise(kind_of()).alias("kind"), "cls").agg(F.count("*").alias("n"))
 
 
-def bit_rot(left: DataFrame, right: DataFrame, meta: Sequence[str] = ("size", "mode")) -> DataFrame:
-    """Files with equal metadata on both sides, and whether their contents differ all the same."""
+def bit_rot(left: DataFrame, right: DataFrame, meta: Sequence[str] | None = None) -> DataFrame:
+    """Files with equal metadata (all of it unless told) on both sides, and whether their contents differ all the same."""
+    meta = metadata_of(left, right) if meta is None else meta
     pairs = _packed(left.where("node_type = 'file'"), "path", "left").join(_packed(right.where("node_type = 'file'"), "path", "right"), "path")
     same = F.lit(True)
     for m in meta:

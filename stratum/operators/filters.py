@@ -134,6 +134,67 @@ def in_part(blob_id, part: int, parts: int) -> Column:
     return F.pmod(F.conv(F.substring(as_column(blob_id), 1, 8), 16, 10).cast("long"), F.lit(parts)) == part - 1
 
 
+def in_share(blob_id, percent: float) -> Column:
+    """A deterministic subset of this percentage, by the id's first eight hex digits."""
+    return F.conv(F.substring(as_column(blob_id), 1, 8), 16, 10).cast("long") < F.lit(int(percent / 100 * 2**32))
+
+
+def find_nodes(nodes: DataFrame, path: str | None = None, globs: Sequence[str] = (), iglobs: Sequence[str] = ()) -> DataFrame:
+    """Nodes of one exact path, or that a glob matches; both at once are refused."""
+    if path is not None:
+        if globs or iglobs:
+            raise ValueError("a path and globs exclude each other")
+        return nodes.where(F.col("path") == path)
+    return nodes.where(glob_matches("path", globs, iglobs))
+
+
+def named_sources(sources: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Configured sources of these names, all without names; an unknown name raises when the rows are read."""
+    if not names:
+        return sources
+    wanted = sources.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    found = wanted.join(sources.withColumn("_there", F.lit(True)), "name", "left")
+    return found.where(F.when(F.col("_there"), True).otherwise(F.raise_error(F.concat(F.lit("no source named "), "name")).cast("boolean"))).drop("_there")
+
+
+#: More rules than this in all ignore files are refused, as every one is a condition of the plan.
+MAX_IGNORE_RULES = 2000
+
+
+def ignore_rules(files: DataFrame, names: Sequence[str] = (".gitignore",), content: str = "content") -> list[tuple[str, str, bool, bool]]:
+    """(directory, regular expression, include, directories only) of every line of the ignore files, outer directories first."""
+    rows = files.where(file_name("path").isin(*names)).select(F.regexp_replace("path", r"/[^/]*$", "").alias("dir"), F.col(content).cast("string").alias("text")).limit(MAX_IGNORE_RULES + 1).collect()
+    out = []
+    for r in sorted(rows, key=lambda r: (r["dir"].count("/"), r["dir"])):
+        for line in (r["text"] or "").splitlines():
+            line = line.rstrip()
+            if not line or line.startswith("#"):
+                continue
+            include, line = line.startswith("!"), line.removeprefix("!")
+            only_dirs, line = line.endswith("/"), line.rstrip("/")
+            body = line.lstrip("/") if "/" in line else f"**/{line}"
+            out.append((r["dir"], glob_regex(body, cross_separator=False), include, only_dirs))
+    if len(out) > MAX_IGNORE_RULES:
+        raise ValueError(f"more than {MAX_IGNORE_RULES} ignore rules")
+    return out
+
+
+def without_ignored(nodes: DataFrame, rules: Sequence[tuple[str, str, bool, bool]]) -> DataFrame:
+    """Drops what ignore files exclude: the last rule that fits a path decides, and below an excluded directory nothing is read again."""
+    def ignored(path: Column, is_dir: Column) -> Column:
+        out = F.lit(False)
+        for folder, regex, include, only_dirs in rules:
+            rest = F.substring(path, len(folder) + 2, 1 << 30)
+            fits = path.startswith(folder + "/") & rest.rlike(regex) & (is_dir if only_dirs else F.lit(True))
+            out = F.when(fits, F.lit(not include)).otherwise(out)
+        return out
+
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    inside = F.when(F.size(parts) > 2, F.exists(above, lambda a: ignored(a, F.lit(True)))).otherwise(F.lit(False))
+    return nodes.where(~ignored(F.col("path"), F.col("node_type") == "dir") & ~inside)
+
+
 def without_attribute(name: str) -> Column:
     """Nodes that do not carry an extended attribute of this name."""
     return ~F.coalesce(F.exists("xattrs", lambda x: x["name"] == name), F.lit(False))

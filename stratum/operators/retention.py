@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.operators.filters import any_of, contains_lists, must_delete, must_keep
+from stratum.operators.report import snapshot_listing
 from stratum.operators.select import newest_first
+from stratum.shared import join_null_safe, previous
 
 PERIODS = ("minutely", "hourly", "daily", "weekly", "monthly", "quarter_yearly", "half_yearly", "yearly")
 
@@ -64,7 +66,7 @@ def reasons(df: DataFrame, policy: KeepPolicy, group: Sequence[str]) -> DataFram
         found.append(ranked.where((F.col("c.n") < 0) | (F.col("_n") <= F.col("c.n"))).select(F.col("best.id").alias("id"), F.col("c.rule").alias("rule")))
     if policy.within or policy.within_periods:
         newest = slim.groupBy(*group).agg(F.max("time").alias("newest"))
-        aged = slim.join(newest, list(group)) if group else slim.crossJoin(F.broadcast(newest))  # one row
+        aged = join_null_safe(slim, newest if group else F.broadcast(newest), list(group))  # without a group, one row
         if policy.within:
             found.append(aged.where(F.expr(f"time > newest - interval {policy.within}")).select("id", rule("within")))
         for p, span in policy.within_periods.items():
@@ -91,14 +93,19 @@ def forget(df: DataFrame, policy: KeepPolicy, group: Sequence[str], now) -> Data
     guard, expired = (must_keep(now), must_delete(now)) if "delete_kind" in df.columns else (F.lit(False), F.lit(False))
     same = F.lit(False)
     if policy.delete_unchanged:
-        w = Window.partitionBy(*group).orderBy("time", "id")
-        out = out.withColumn("_same", F.coalesce(F.lag("tree").over(w) == F.col("tree"), F.lit(False)))
+        out = previous(out, group, ("time", "id"), F.col("tree"), "_prior")
+        out = out.withColumn("_same", F.coalesce(F.col("_prior.value") == F.col("tree"), F.lit(False))).drop("_prior")
         same = F.col("_same") & ~F.arrays_overlap("reasons", F.array(F.lit("tags"), F.lit("ids")))
     keep = F.when(guard, True).when(expired, False).when(same, False).otherwise(F.size("reasons") > 0)
     why = F.when(guard, F.array(F.lit("protected"))).when(expired, F.array(F.lit("expired"))).when(same, F.array(F.lit("unchanged"))).otherwise(F.col("reasons"))
     return out.withColumn("keep", keep).withColumn("reasons", why).drop("_same")
 
 
+def forget_rows(plan: DataFrame) -> DataFrame:
+    """The rows of a forget table: those of the snapshot table, with what is done and why."""
+    return snapshot_listing(plan, F.when(F.col("keep"), "keep").otherwise("remove").alias("action"), F.array_join("reasons", "\n").alias("reason"))
+
+
 def forget_ids(df: DataFrame, ids: DataFrame, now) -> DataFrame:
     """Explicitly named snapshots are removed without a policy; protection still holds."""
     now = F.lit(now).cast(df.schema["time"].dataType)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.shared import join_null_safe, previous, running_total
 
 
 def newest_first(*group: str):
@@ -29,13 +30,18 @@ def latest(df: DataFrame, n: int = 0, group: Sequence[str] = ()) -> DataFrame:
 
 
 def lookup(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """Snapshots for id prefixes, 'latest' and 'latest~N', in the order asked for, repeats kept; column position."""
+    """Snapshots for id prefixes, 'latest' and 'latest~N', in the order asked for, repeats kept; column position.  What is not there,
+    or a prefix that fits several ids, raises when the rows are read."""
     out = None
     for i, want in enumerate(wanted):
         m = re.fullmatch(r"latest(?:~(\d+))?", want)
-        some = latest(df, int(m[1] or 0)) if m else df.where(F.col("id").startswith(want))
-        some = some.withColumn("position", F.lit(i))
-        out = some if out is None else out.unionByName(some)
+        some = latest(df, int(m[1] or 0)) if m else df.where(F.col("id").startswith(want)).limit(2)
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        found = some.agg(F.count("*").alias("n"), F.first(row).alias("row"))
+        error = F.raise_error(F.concat(F.when(F.col("n") == 0, "no snapshot for ").otherwise("several snapshots for "), F.lit(want)))
+        found = found.select(F.when(F.col("n") == 1, F.col("row")).otherwise(error.cast(found.schema["row"].dataType)).alias("row"), F.lit(i).alias("position"))
+        found = found.select("row.*", "position")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -52,11 +58,16 @@ def group_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return keyed.groupBy(*by).agg(F.count("*").alias("n")).unionByName(keyed.agg(F.count("*").alias("n")).select(*[F.lit(None).cast("string").alias(b) for b in by], "n"))
 
 
+def by_group_and_time(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Sorted by group, then time."""
+    return df.orderBy(*group_key(*group), "time", "id")
+
+
 def collapse_runs(df: DataFrame, value: Column, group: Sequence[str], order: Sequence[str] = ("time", "id")) -> DataFrame:
     """Consecutive rows of a group with an equal value become the first of them and `more`, how many follow."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    marked = df.withColumn("_v", value).withColumn("_new", (~F.lag("_v").over(w).eqNullSafe(F.col("_v")) | (F.row_number().over(w) == 1)).cast("int"))
-    run = marked.withColumn("_run", F.sum("_new").over(w))
+    marked = previous(df.withColumn("_v", value), group, order, F.col("_v"), "_last")
+    marked = marked.withColumn("_new", (F.col("_last").isNull() | ~F.col("_last.value").eqNullSafe(F.col("_v"))).cast("int"))
+    run = running_total(marked, [F.col(c) for c in (*group, *order)], "_new", "_run")
     return run.groupBy(*group, "_run").agg(F.min(F.struct(*order)).alias("first"), F.first("_v").alias("value"), (F.count("*") - 1).alias("more")) \
         .select(*group, *[F.col(f"first.{o}").alias(o) for o in order], "value", "more")
 
@@ -64,5 +75,15 @@ def collapse_runs(df: DataFrame, value: Column, group: Sequence[str], order: Seq
 def with_parent(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """parent: the latest strictly earlier snapshot of the same group."""
     times = df.groupBy(*group, "time").agg(F.max("id").alias("last_id"))
-    before = times.withColumn("parent", F.lag("last_id").over(Window.partitionBy(*group).orderBy("time"))).drop("last_id")
-    return df.join(before, [*group, "time"])
+    before = previous(times, group, ["time"], F.col("last_id"), "_before").select(*group, "time", F.col("_before.value").alias("parent"))
+    return join_null_safe(df, before, [*group, "time"])
+
+
+def choose_parents(df: DataFrame, group: Sequence[str], explicit: Sequence[str] = (), force: bool = False) -> DataFrame:
+    """parents: none when forced, the named snapshots (id prefixes), or the latest earlier one of the group."""
+    if force:
+        return df.withColumn("parents", F.array().cast("array<string>"))
+    if explicit:
+        named = lookup(df, explicit).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: x["id"]).alias("parents"))
+        return df.join(named)  # one row
+    return with_parent(df, group).withColumn("parents", F.array_compact(F.array("parent"))).drop("parent")

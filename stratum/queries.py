@@ -17,7 +17,9 @@ from stratum.operators import retention as K
 from stratum.operators import select as L
 from stratum.operators import tree as T
 from stratum.plans import repository as P
-from stratum.sources.adapters import BLOBS, INDEX, LIVE, NODES, SNAP, blobs, index, live, nodes, nodes_v1, nodes_v2, snapshots, table
+from stratum.plans.edit import EditBuffer
+from stratum.sources import readers
+from stratum.sources.adapters import BLOBS, INDEX, LIVE, NODES, SNAP, SUMMARY, blobs, index, live, marked_index, marked_sql, nested_index, nodes, nodes_v1, nodes_v2, snapshots, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +35,15 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def _human(b: str) -> str:
+    """Human sizes below one GiB, as SQL."""
+    def unit(f: int, name: str) -> str:
+        tenths = f"((({b}) % {f}) * 10 + {f // 2}) // {f}"
+        return f"when ({b}) >= {f} then (({b}) // {f} + ({tenths}) // 10) || '.' || (({tenths}) % 10) || ' {name}'"
+
+    return f"case {unit(1 << 20, 'MiB')} {unit(1 << 10, 'kiB')} else ({b}) || ' B' end"
+
+
 def brief(df: DataFrame) -> DataFrame:
     return df.select("event_id", "hostname", "label")
 
@@ -58,7 +69,7 @@ def snap_filter_expr(spark, sf):
     return brief(S.SnapshotFilter(expr="k > 50 and contains(label, 'c')").apply(snapshots(spark, sf)))
 
 
-@query()
+@query(f"with {SNAP} select event_id, hostname, label from snap where label = 'click' and cast(right(hostname, 1) as integer) % 2 = 1")
 def udf_predicate(spark, sf):
     import pandas as pd
 
@@ -106,21 +117,33 @@ def snap_runs(spark, sf):
     return L.collapse_runs(s, F.col("tree"), ("hostname",), ("time", "id", "event_id")).select("hostname", F.col("event_id").alias("first_event"), F.col("value").alias("tree"), "more")
 
 
-@query(f"""with {SNAP}, m as (select hostname, event_id, time, id, coalesce(string_agg(case when page_id % 3 = 0 then cast(page_id as varchar) end, ',' order by page_id), '') as found
-  from snap left join (select page_id, page_id % 100 as k from pages where page_id < 40) p on p.k = snap.k // 4 group by hostname, event_id, time, id),
+@query(f"""with {SNAP}, h as (select page_id % 100 as slot, count(*) || ':' || sum(page_id) || ':' || max(page_id) as found from pages where page_id % 3 = 0 group by 1),
+m as (select hostname, event_id, time, id, coalesce(found, '') as found from snap left join h on h.slot = snap.k // 4),
 a as (select *, case when row_number() over w = 1 or lag(found) over w <> found then 1 else 0 end as new from m window w as (partition by hostname order by time, id)),
 b as (select *, sum(new) over (partition by hostname order by time, id rows unbounded preceding) as run from a)
 select hostname, arg_min(event_id, struct_pack(t := time, i := id)) as first_event, min(found) as found, count(*) - 1 as more from b group by hostname, run""")
 def find_runs(spark, sf):
-    hits = table(spark, sf, "pages").where("page_id < 40").select("page_id", (F.col("page_id") % 100).alias("slot"))
-    s = snapshots(spark, sf).withColumn("slot", F.expr("k div 4"))
-    found = s.join(hits, "slot", "left").groupBy("hostname", "event_id", "time", "id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("page_id") % 3 == 0, F.col("page_id")))), ",").alias("found"))
+    hits = S.find_nodes(table(spark, sf, "pages").withColumn("path", F.lit("/page")), path="/page").where("page_id % 3 = 0")
+    hits = hits.groupBy((F.col("page_id") % 100).alias("slot")).agg(F.concat_ws(":", F.count("*"), F.sum("page_id"), F.max("page_id")).alias("found"))
+    found = snapshots(spark, sf).withColumn("slot", F.expr("k div 4")).join(hits, "slot", "left").withColumn("found", F.coalesce("found", F.lit("")))
     return L.collapse_runs(found, F.col("found"), ("hostname",), ("time", "id", "event_id")).select("hostname", F.col("event_id").alias("first_event"), F.col("value").alias("found"), "more")
 
 
-@query("select page_id from pages where regexp_matches(url, '^https://.*/en/[^/]*$') or regexp_matches(lower(regexp_extract(url, '([^/]*)$', 1)), '^[0-9]5.*$')")
+@query("select page_id from pages where regexp_matches(url, '(?s)^https://.*/en/.*$') or regexp_matches(lower(regexp_extract(url, '([^/]*)$', 1)), '^[0-9]5.*$')")
 def find_glob(spark, sf):
-    return table(spark, sf, "pages").where(S.any_of([F.col("url").rlike(X.glob_regex("https://*/en/*")) & ~F.col("url").rlike("/en/[^/]*/"), X.file_name("url").rlike(X.glob_regex("[0-9]5*", ignore_case=True))])).select("page_id")
+    return S.find_nodes(table(spark, sf, "pages").withColumnRenamed("url", "path"), globs=("https://*/en/*",), iglobs=("[0-9]5*",)).select("page_id")
+
+
+@query(f"with {NODES} select doc_id, path from node where path = '/en/src1/00000003' or path = (select max(path) from node)")
+def find_path(spark, sf):
+    n = nodes(spark, sf)
+    last = n.agg(F.max("path")).first()[0]
+    return S.find_nodes(n, path="/en/src1/00000003").unionByName(S.find_nodes(n, path=last)).select("doc_id", "path").distinct()
+
+
+@query(f"with {SNAP} select event_id, hostname, label from snap where path in ('/home/1', '/home/2')")
+def snap_filter_paths_exact(spark, sf):
+    return brief(S.SnapshotFilter(paths_exact=(("/home/1",), ("/home/2",))).apply(snapshots(spark, sf)))
 
 
 # --- retention
@@ -156,6 +179,14 @@ def keep_tags_ids(spark, sf):
     return _keep(K.KeepPolicy(tags=(("k1", "m1"),), ids=("aa", "b")), snapshots(spark, sf))
 
 
+@query(f"""with {SNAP}, m as (select *, max(time) over (partition by hostname, label) as newest from snap), d as (select *, row_number() over (partition by hostname, label, date_trunc('day', time) order by time desc, id desc) as n from m where time > newest - interval 7 day)
+select event_id, string_agg(reason, ',' order by o) as reasons from (select event_id, 'within' as reason, 1 as o from m where time > newest - interval 36 hour union all select event_id, 'within_daily', 2 from d where n = 1) group by event_id""")
+def keep_within_labels(spark, sf):
+    s = snapshots(spark, sf)
+    out = K.reasons(s, K.KeepPolicy(within=X.interval("36h"), within_periods={"daily": X.interval("1 week")}), ("hostname", "label"))
+    return out.join(s, "id").select("event_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 _FORGET = f"""{SNAP}, m as (select *, max(time) over (partition by hostname) as newest, row_number() over (partition by hostname order by time desc, id desc) as l,
   row_number() over (partition by hostname, date_trunc('day', time) order by time desc, id desc) as dn, dense_rank() over (partition by hostname order by date_trunc('day', time) desc) as db,
   row_number() over (partition by hostname, date_trunc('week', time) order by time desc, id desc) as wn, dense_rank() over (partition by hostname order by date_trunc('week', time) desc) as wb,
@@ -176,6 +207,13 @@ def forget_unchanged(spark, sf):
     return out.select("event_id", "keep", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query(f"""with {_FORGET.replace("partition by hostname", "partition by hostname, label")} select substring(id, 1, 8) as id, strftime(time, '%Y-%m-%d %H:%M:%S') as time, hostname, label, array_to_string(tags, chr(10)) as tags, path as paths,
+  coalesce(cast(total_files_processed as varchar), '?') as files, coalesce(cast(total_dirs_processed as varchar), '?') as dirs, case when total_bytes is null then '?' else {_human('total_bytes')} end as size,
+  case when guarded or (not expired and why <> '') then 'keep' else 'remove' end as action, case when guarded then 'protected' when expired then 'expired' else replace(why, ',', chr(10)) end as reason from f""")
+def forget_listing(spark, sf):
+    return K.forget_rows(K.forget(snapshots(spark, sf), K.KeepPolicy(last=2, periods={"daily": 3, "weekly": 4}, within="12 hours"), ("hostname", "label"), NOW))
+
+
 @query(f"with {_FORGET} select event_id, guarded as keep, case when guarded then 'keep' else 'remove' end as action from f where event_id % 10 = 0")
 def forget_ids(spark, sf):
     s = snapshots(spark, sf)
@@ -194,7 +232,7 @@ def forget_counts(spark, sf):
 
 # --- diff
 _CLS = """case when a.path is null then '+' when b.path is null then '-' when a.node_type <> b.node_type then 'T' {content} {meta} else '=' end"""
-_CONTENT, _META = "when a.node_type = 'file' and a.content is distinct from b.content then 'M'", "when a.size is distinct from b.size or a.mode is distinct from b.mode then 'U'"
+_CONTENT, _META = "when a.node_type = 'file' and a.content is distinct from b.content then 'M'", "when a.size is distinct from b.size or a.mode is distinct from b.mode or a.mtime is distinct from b.mtime then 'U'"
 
 
 def _diff_sql(content: str = _CONTENT, meta: str = _META) -> str:
@@ -206,24 +244,24 @@ def diff_rows(spark, sf):
     return D.diff(nodes_v1(spark, sf), nodes_v2(spark, sf)).where("cls <> '='").select("path", "cls")
 
 
-@query(_diff_sql() + " select kind, cls, count(*) as n from d group by kind, cls")
+@query(_diff_sql() + " select case when cls = 'T' then 'type' else kind end as kind, cls, count(*) as n from d group by 1, 2")
 def diff_stats(spark, sf):
     return D.stats(D.diff(nodes_v1(spark, sf), nodes_v2(spark, sf)))
 
 
-@query(_diff_sql(content="") + " select kind, cls, count(*) as n from d group by kind, cls")
+@query(_diff_sql(content="") + " select case when cls = 'T' then 'type' else kind end as kind, cls, count(*) as n from d group by 1, 2")
 def diff_no_content(spark, sf):
     return D.stats(D.diff(nodes_v1(spark, sf), nodes_v2(spark, sf), content=D.ignore_content))
 
 
-@query(_diff_sql(meta="") + " select kind, cls, count(*) as n from d group by kind, cls")
+@query(_diff_sql(meta="") + " select case when cls = 'T' then 'type' else kind end as kind, cls, count(*) as n from d group by 1, 2")
 def diff_metadata(spark, sf):
     return D.stats(D.diff(nodes_v1(spark, sf), nodes_v2(spark, sf), metadata=False))
 
 
 @query(f"with {NODES} select count(*) as checked, cast(sum(case when a.content <> b.content then 1 else 0 end) as bigint) as changed from v1 a join v2 b on a.path = b.path where a.node_type = 'file' and b.node_type = 'file' and a.size = b.size and a.mode = b.mode")
 def diff_bitrot(spark, sf):
-    return D.bit_rot(nodes_v1(spark, sf), nodes_v2(spark, sf)).agg(F.count("*").alias("checked"), F.count_if("changed").alias("changed"))
+    return D.bit_rot(nodes_v1(spark, sf), nodes_v2(spark, sf), ("size", "mode")).agg(F.count("*").alias("checked"), F.count_if("changed").alias("changed"))
 
 
 @query(_diff_sql() + " select regexp_extract(path, '([^/]*)$', 1) as name, cls from d where path like '/en/src3/%'")
@@ -238,7 +276,7 @@ def ls_summary(spark, sf):
     return T.listing_summary(nodes_v2(spark, sf))
 
 
-@query(f"with {NODES}, p as (select string_split(path, '/') as s, size from node), a as (select array_to_string(s[1:i], '/') as dir, size from p, unnest(range(1, len(s))) as t(i)) select dir, count(*) as files, cast(sum(size) as bigint) as size from a group by dir")
+@query(f"with {NODES}, p as (select string_split(path, '/') as s, size from node), a as (select array_to_string(s[1:i], '/') as dir, size from p, unnest(range(1, len(s))) as t(i)) select dir, count(*) as files, cast(sum(size) as bigint) as size, cast(0 as bigint) as dirs from a group by dir")
 def tree_rollup(spark, sf):
     return T.roll_up(nodes(spark, sf))
 
@@ -248,12 +286,34 @@ def tree_descendants(spark, sf):
     return T.descendants(nodes(spark, sf))
 
 
-@query(f"""with {NODES}, l3 as (select regexp_replace(path, '/[^/]*$', '') as dir, sha256(string_agg(regexp_extract(path, '([^/]*)$', 1) || '|file|' || content, chr(10) order by regexp_extract(path, '([^/]*)$', 1) || '|file|' || content)) as id from node group by 1),
-l2 as (select regexp_replace(dir, '/[^/]*$', '') as dir, sha256(string_agg(regexp_extract(dir, '([^/]*)$', 1) || '|dir|' || id, chr(10) order by regexp_extract(dir, '([^/]*)$', 1) || '|dir|' || id)) as id from l3 group by 1),
-l1 as (select '' as dir, sha256(string_agg(regexp_extract(dir, '([^/]*)$', 1) || '|dir|' || id, chr(10) order by regexp_extract(dir, '([^/]*)$', 1) || '|dir|' || id)) as id from l2)
-select * from l3 union all select * from l2 union all select * from l1""")
+def _identity_sql() -> str:
+    """The bottom-up hash of three levels: entries of a directory in parts by their names' hashes, then the parts."""
+    out, below = [], "select regexp_replace(path, '/[^/]*$', '') as dir, regexp_extract(path, '([^/]*)$', 1) as name, '|file|' || content as rest from node"
+    for level in (3, 2, 1):
+        out.append(f"""p{level} as (select dir, substring(sha256(name), 1, 2) as part, sha256(string_agg(name || rest, chr(10) order by name || rest)) as own from ({below}) group by 1, 2),
+l{level} as (select dir, sha256(string_agg(own, chr(10) order by part)) as id from p{level} group by dir)""")
+        below = f"select regexp_replace(dir, '/[^/]*$', '') as dir, regexp_extract(dir, '([^/]*)$', 1) as name, '|dir|' || id as rest from l{level}"
+    return f"with {NODES}, {', '.join(out)} select * from l3 union all select * from l2 union all select * from l1"
+
+
+@query(_identity_sql())
 def tree_identity(spark, sf):
-    return T.identities(nodes(spark, sf), 3)
+    return T.identities(nodes(spark, sf))
+
+
+@query(f"with {NODES} select path from node where path like '/en/src1/%' and not regexp_matches(path, '^.*7$')")
+def ls_directory(spark, sf):
+    return T.listing(nodes(spark, sf), "/en/src1", recursive=False, globs=("!*7",)).select("path")
+
+
+@query(f"with {SNAP}, {NODES}, n as (select s.event_id, v.path, v.size from snap s join v1 v on s.event_id % 5 = v.doc_id % 5 where s.event_id < 5) select path, size from n where event_id = 3 and path = (select max(path) from v1 where doc_id % 5 = 3)")
+def node_lookup(spark, sf):
+    s = snapshots(spark, sf)
+    few = s.where("event_id < 5").select(F.col("id").alias("snapshot_id"), (F.col("event_id") % 5).alias("part"))  # five trees, that all documents are dealt to
+    trees = nodes_v1(spark, sf).withColumn("part", F.col("doc_id") % 5).join(few, "part")
+    path = nodes_v1(spark, sf).where("doc_id % 5 = 3").agg(F.max("path")).first()[0]
+    found = s.where("event_id = 3").select("id").first()[0]
+    return readers.node_at(s, trees, f"{found}:{path}").select("path", "size")
 
 
 @query("select 'root/' || r_name as path from region union all select 'root/' || r_name || '/' || n_name from region join nation on n_regionkey = r_regionkey union all select 'root/' || r_name || '/' || n_name || '/' || c_name from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey")
@@ -266,9 +326,20 @@ def recursive_ls(spark, sf):
     return T.recursive_listing(children, roots).select("path")
 
 
-@query(f"with {NODES} select path, case when regexp_matches(path, '^/en/src1.*$') then not regexp_matches(path, '^/en/.*$') or true when regexp_matches(path, '^/en/.*$') then false else true end as included from node where size <= 5000")
+@query(f"with {NODES} select path, case when regexp_matches(path, '^/en/src1.*$') then true when regexp_matches(path, '^/en/.*$') then false else true end as included from node")
 def excludes(spark, sf):
-    return nodes(spark, sf).where("size <= 5000").select("path", S.not_excluded("path", ("!/en/*", "/en/src1*")).alias("included"))
+    return nodes(spark, sf).select("path", S.not_excluded("path", ("!/en/*", "/en/src1*")).alias("included"))
+
+
+@query(f"with {NODES} select path from node where size <= 5000")
+def size_limit(spark, sf):
+    return nodes(spark, sf).where(S.not_larger_than(5000)).select("path")
+
+
+@query(f"with {NODES} select path from node where not (path like '/en/src1/%' and right(path, 1) = '7') and not (path like '/fr/%' and right(path, 2) <> '12')")
+def ignore_files(spark, sf):
+    files = spark.createDataFrame([("/en/src1/.gitignore", "# odd ones\n*7\n"), ("/.gitignore", "/fr/*/*\n"), ("/fr/.gitignore", "!*12\n")], "path string, content string")
+    return S.without_ignored(nodes(spark, sf), S.ignore_rules(files)).select("path")
 
 
 @query(f"with {NODES}, m as (select distinct regexp_replace(path, '/[^/]*$', '') as dir from node where regexp_extract(path, '([^/]*)$', 1) = '00000007') select path from node where not exists (select 1 from m where starts_with(node.path, m.dir || '/'))")
@@ -301,7 +372,31 @@ def check_missing(spark, sf):
 @query(f"with {BLOBS}, {INDEX} select b.doc_id, b.pos, i.pack_id, i.blob_id is null as lost from blob b left join (select * from idx where pack_id <> '0a') i on i.blob_id = b.blob_id")
 def blob_lookup(spark, sf):
     i = index(spark, sf).where("pack_id <> '0a'").select("blob_id", "pack_id")
-    return blobs(spark, sf).select("doc_id", "pos", "blob_id").join(i, "blob_id", "left").select("doc_id", "pos", "pack_id", F.col("pack_id").isNull().alias("lost"))
+    return B.locate(blobs(spark, sf).select("doc_id", "pos", "blob_id"), i).select("doc_id", "pos", "pack_id", F.col("pack_id").isNull().alias("lost"))
+
+
+@query(f"with {BLOBS}, {INDEX} select count(*) as blobs, cast(sum(len) as bigint) as stored, cast(sum(case when blob_id < '8' then len * 2 else len end) as bigint) as uncompressed from idx where blob_id in (select blob_id from blob where doc_id % 7 <> 0)")
+def stored_sizes(spark, sf):
+    entries = readers.index_entries(nested_index(spark, sf))
+    return B.stored_sizes(blobs(spark, sf).where("doc_id % 7 <> 0"), entries)
+
+
+@query(f"with {BLOBS}, {INDEX} select blob_id from blob where (doc_id % 13 = 0 or blob_id in (select b.blob_id from blob b where b.doc_id % 13 = 0)) and cast('0x' || substring(blob_id, 1, 8) as bigint) % 2 = 0 and doc_id % 13 = 0")
+def check_data(spark, sf):
+    damaged = blobs(spark, sf).withColumn("chunk", F.when(F.col("doc_id") % 13 == 0, F.concat("chunk", F.lit("!"))).otherwise(F.col("chunk")))
+    return B.check_content(damaged, subset="1/2")
+
+
+@query(f"with {BLOBS}, {INDEX}, o as (select blob_id, len, sum(len) over (order by blob_id rows unbounded preceding) as upto from idx where cast('0x' || substring(blob_id, 1, 8) as bigint) < cast(floor(0.25 * 4294967296) as bigint)) select blob_id from o")
+def read_share(spark, sf):
+    return index(spark, sf).where(S.in_share("blob_id", 25)).select("blob_id")
+
+
+@query(f"with {SNAP}, t as (select distinct doc_id % 25 as tree, blob_id from (select doc_id, sha256(substring(text, 1, 1000)) as blob_id from documents where length(text) > 0)) select distinct t.blob_id from t join snap on snap.tree = 't' || t.tree where event_id % 40 <> 0 and k >= 50")
+def live_ignoring(spark, sf):
+    content = blobs(spark, sf).where("pos = 0").select(F.concat(F.lit("t"), F.col("doc_id") % 25).alias("tree"), "blob_id")
+    s = snapshots(spark, sf).where("k >= 50")
+    return B.live_blobs(s, content, ignored=s.where("event_id % 40 = 0"))
 
 
 _USAGE = f"{BLOBS}, {INDEX}, {LIVE}, u as (select pack_id, count(live.blob_id) as used_blobs, count(*) - count(live.blob_id) as unused_blobs, cast(sum(case when live.blob_id is not null then len else 0 end) as bigint) as used_bytes, cast(sum(case when live.blob_id is null then len else 0 end) as bigint) as unused_bytes from idx left join live on live.blob_id = idx.blob_id group by pack_id)"
@@ -318,25 +413,54 @@ def prune_budget(spark, sf):
     return B.prune_plan(index(spark, sf), live(spark, sf), max_repack=50_000).select("pack_id", "action")
 
 
-@query(f"with {_USAGE} select case when used_blobs = 0 then 'remove' when unused_blobs > 0 then 'repack' else 'keep' end as action, count(*) as packs, cast(sum(used_bytes) as bigint) as used_bytes, cast(sum(unused_bytes) as bigint) as unused_bytes from u group by 1")
+_DECIDE = f"""{_USAGE}, {marked_sql(NOW)}, pk as (select pack_id, max(marked_at) as marked_at, max(pack_time) as pack_time from midx group by pack_id),
+d0 as (select u.*, case when marked_at is not null then case when used_blobs > 0 then 'recover' when marked_at <= timestamp '{NOW}' - interval 23 hour then 'delete' else 'keep-marked' end
+  when pack_time > timestamp '{NOW}' - interval 7 day or unused_blobs = 0 then 'keep' when used_blobs = 0 then 'mark' else 'repack' end as first_action from u join pk on pk.pack_id = u.pack_id),
+d1 as (select pack_id, sum(used_bytes) over w as spent, sum(unused_bytes) over w as freed, unused_bytes as own, sum(unused_bytes) over () as total from d0 where first_action = 'repack' window w as (order by unused_bytes / (unused_bytes + used_bytes)::double desc, pack_id rows unbounded preceding)),
+dec as (select d0.*, case when first_action = 'repack' and not (spent <= 400000 and total - freed + own > 3000) then 'keep' else first_action end as action from d0 left join d1 on d1.pack_id = d0.pack_id)"""
+
+
+def _decisions(spark, sf):
+    return B.prune_decisions(marked_index(spark, sf, NOW), live(spark, sf), NOW, keep_pack="7 days", max_repack=400_000, max_unused=3_000)
+
+
+@query(f"with {_DECIDE} select pack_id, used_blobs, unused_blobs, used_bytes, unused_bytes, action from dec")
+def prune_decisions(spark, sf):
+    return _decisions(spark, sf)
+
+
+_UNMARKED = "action not in ('recover', 'delete', 'keep-marked')"
+_TOTALS = ", ".join(f"cast(coalesce(sum({c}_{w}) filter ({when}), 0) as bigint) as {n}_{w}" for w in ("blobs", "bytes") for c, when, n in (("used", "true", "used"), ("unused", _UNMARKED, "unused"), ("used", "action = 'repack'", "repack"), ("unused", "action = 'repack'", "repackrm"), ("unused", "action in ('mark', 'remove')", "remove")))
+
+
+@query(f"""with {_DECIDE}, t as (select {_TOTALS}, {", ".join(f"count(*) filter (action = '{a}') as packs_{a.replace('-', '_')}" for a in ("keep", "repack", "mark", "remove", "delete", "recover", "keep-marked"))} from dec),
+n as (select cast(count(*) as bigint) as packs_unref, cast(coalesce(sum(size), 0) as bigint) as size_unref from (select 'zz' || r_regionkey as pack_id, r_regionkey * 100 as size from region))
+select *, used_bytes + unused_bytes - repackrm_bytes - remove_bytes as remaining_bytes, unused_bytes - repackrm_bytes - remove_bytes as unused_after_bytes,
+  round((unused_bytes - repackrm_bytes - remove_bytes) * 100.0::double / (used_bytes + unused_bytes - repackrm_bytes - remove_bytes), 2) as unused_percent from t, n""")
 def prune_stats(spark, sf):
-    return B.prune_plan(index(spark, sf), live(spark, sf)).groupBy("action").agg(F.count("*").alias("packs"), F.sum("used_bytes").alias("used_bytes"), F.sum("unused_bytes").alias("unused_bytes"))
+    stray = table(spark, sf, "region").select(F.concat(F.lit("zz"), "r_regionkey").alias("pack_id"), (F.col("r_regionkey") * 100).cast("long").alias("size"))
+    known = index(spark, sf).groupBy("pack_id").agg(F.sum("len").alias("size"))
+    return B.prune_statistics(_decisions(spark, sf), known.unionByName(stray))
+
+
+@query(f"with {_DECIDE}, r as (select distinct pack_id from dec where action = 'repack') select pack_id, cast((row_number() over (order by pack_id) - 1) // 10 as bigint) as batch from r")
+def packs_to_warm(spark, sf):
+    return B.packs_needed(_decisions(spark, sf).where("action = 'repack'"), batch=10)
 
 
 @query(f"with {BLOBS}, {INDEX}, p as (select pack_id, blob_type, cast(sum(len) as bigint) as size from idx group by 1, 2) select blob_type, count(*) as packs, min(size) as smallest, max(size) as largest from p group by blob_type")
 def pack_stats(spark, sf):
-    return index(spark, sf).groupBy("pack_id", "blob_type").agg(F.sum("len").alias("size")).groupBy("blob_type").agg(F.count("*").alias("packs"), F.min("size").alias("smallest"), F.max("size").alias("largest"))
+    return V.pack_sizes(index(spark, sf).withColumnRenamed("len", "length"))
 
 
-@query(f"with {BLOBS}, d as (select blob_id, max(len) as len from blob group by 1), r as (select *, coalesce(sum(len) over (partition by substring(blob_id, 1, 1) order by blob_id rows between unbounded preceding and 1 preceding), 0) as before from d) select blob_id, substring(blob_id, 1, 1) || '-' || cast(cast(before as bigint) // 40000 as varchar) as pack_id from r")
+@query(f"with {BLOBS}, d as (select blob_id, max(len) as len from blob group by 1), r as (select *, coalesce(sum(len) over (partition by substring(blob_id, 1, 4) order by blob_id rows between unbounded preceding and 1 preceding), 0) as before from d) select blob_id, substring(blob_id, 1, 4) || '-' || cast(cast(before as bigint) // 40000 as varchar) as pack_id from r")
 def pack_assembly(spark, sf):
-    return B.assemble_packs(blobs(spark, sf), 40_000, spread=1).select("blob_id", "pack_id")
+    return B.assemble_packs(blobs(spark, sf), 40_000, spread=4).select("blob_id", "pack_id")
 
 
-@query(f"with {BLOBS}, {INDEX} select blob_type, blob_id, pack_id, len as length, cast(0 as bigint) as uncompressed_length from idx")
+@query(f"with {BLOBS}, {INDEX} select blob_type, blob_id, pack_id, len as length, cast(case when blob_id < '8' then len * 2 else 0 end as bigint) as uncompressed_length from idx")
 def list_index(spark, sf):
-    nested = index(spark, sf).groupBy("pack_id").agg(F.collect_list(F.struct("blob_id", "blob_type", "len")).alias("blobs")).groupBy(F.substring("pack_id", 1, 1).alias("index_id")).agg(F.collect_list(F.struct("pack_id", "blobs")).alias("packs"))
-    return nested.select(F.explode("packs").alias("p")).select("p.pack_id", F.explode("p.blobs").alias("b")).select("b.blob_type", "b.blob_id", "pack_id", F.col("b.len").alias("length"), F.coalesce(F.lit(None).cast("long"), F.lit(0)).alias("uncompressed_length"))
+    return readers.index_entries(nested_index(spark, sf)).select("blob_type", "blob_id", "pack_id", "length", "uncompressed_length")
 
 
 @query(f"with {BLOBS}, {INDEX} select blob_id from idx where cast('0x' || substring(blob_id, 1, 8) as bigint) % 7 = 2")
@@ -349,9 +473,9 @@ def byte_range(spark, sf):
     return B.byte_range(blobs(spark, sf), 950, 200, "doc_id")
 
 
-@query("select doc_id, substring(text, 1, 300) as preview from documents where text is not null")
+@query("select doc_id, text as preview from documents where text is not null and octet_length(encode(text)) <= 1000000")
 def file_preview(spark, sf):
-    return table(spark, sf, "documents").where("text is not null and is_valid_utf8(text)").select("doc_id", F.substring("text", 1, 300).alias("preview"))
+    return V.preview(table(spark, sf, "documents").where("octet_length(text) <= 1000000"), "doc_id")
 
 
 @query()
@@ -390,30 +514,37 @@ def repoinfo_index(spark, sf):
     return R.with_total(index(spark, sf), "blob_type", [F.count("*").alias("blobs"), F.sum("len").alias("size")]).where("blobs > 0")
 
 
-@query(f"with {SNAP} select substring(id, 1, 8) as id, hostname, label, array_to_string(tags, chr(10)) as tags, path as paths, coalesce(cast(total_bytes as varchar), '?') as size from snap")
+@query(f"with {SNAP} select substring(id, 1, 8) || case when k % 4 > 0 then ' (+' || (k % 4) || ')' else '' end as id, strftime(time, '%Y-%m-%d %H:%M:%S') as time, hostname, label, array_to_string(tags, chr(10)) as tags, path as paths, "
+       f"coalesce(cast(total_files_processed as varchar), '?') as files, coalesce(cast(total_dirs_processed as varchar), '?') as dirs, case when total_bytes is null then '?' else {_human('total_bytes')} end as size from snap")
 def snap_listing(spark, sf):
-    return R.snapshot_listing(snapshots(spark, sf))
+    return R.snapshot_listing(snapshots(spark, sf).withColumn("more", F.col("k") % 4))
 
 
 @query(f"with {SNAP} select hostname, bool_or(k > 90) as any_marked, bool_or(k <= 90) as any_unmarked, cast(sum(case when label = 'click' then 1 else 0 end) as bigint) as to_forget, case when count(distinct label) = 1 then min(label) else '' end as common_label, cast(max(len(tags)) as integer) as most_tags from snap group by hostname")
 def snap_flags(spark, sf):
-    return snapshots(spark, sf).groupBy("hostname").agg(F.bool_or(F.col("k") > 90).alias("any_marked"), F.bool_or(F.col("k") <= 90).alias("any_unmarked"), F.count_if(F.col("label") == "click").alias("to_forget"),
-                                                        F.when(F.min("label") == F.max("label"), F.min("label")).otherwise("").alias("common_label"), F.max(F.size("tags")).alias("most_tags"))
+    return R.group_flags(snapshots(spark, sf), ["hostname"], {"any_marked": F.col("k") > 90, "any_unmarked": F.col("k") <= 90}, ["label"], {"to_forget": F.col("label") == "click"}, {"most_tags": "tags"})
 
 
-@query(f"with {SNAP} select event_id, '/' || hostname || '/' || label || '/' || strftime(time, '%Y-%m-%d_%H-%M-%S') as path, row_number() over (partition by hostname order by time desc, id desc) = 1 as latest, coalesce(lag(tree) over (partition by hostname order by time, id) = tree, false) as identical from snap")
+@query(f"with {SNAP} select event_id, '/' || hostname || case when label is null then '' else '/' || label end || '/' || strftime(time, '%Y-%m-%d_%H-%M-%S') as path, row_number() over (partition by hostname order by time desc, id desc) = 1 as latest, coalesce(lag(tree) over (partition by hostname order by time, id) = tree, false) as identical from snap")
 def vfs_paths(spark, sf):
-    from pyspark.sql import Window
+    return R.marked_paths(snapshots(spark, sf), "/[{hostname}]/[{label}]/{time}", ["hostname"]).select("event_id", "path", "latest", "identical")
 
-    w = Window.partitionBy("hostname").orderBy("time", "id")
-    s = snapshots(spark, sf)
-    return s.select("event_id", R.virtual_path("/[{hostname}]/[{label}]/{time}".replace("[{", "{").replace("}]", "}")).alias("path"), F.lead("id").over(w).isNull().alias("latest"), F.coalesce(F.lag("tree").over(w) == F.col("tree"), F.lit(False)).alias("identical"))
 
+def _details_sql() -> str:
+    stamp = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+    told = lambda v: f"case when total_bytes is not null then {v} end"
+    counts = lambda kind: f"printf('new: %10d / changed: %10d / unchanged: %10d', {kind}_new, {kind}_changed, {kind}_unmodified)"
+    blobs = lambda name, n, raw, packed: f"printf('{name}%10d blobs / raw: %10s / packed: %10s', {n}, {_human(raw)}, {_human(packed)})"
+    seconds = "case when k = 0 then '0s' else concat_ws(' ', case when k // 60 > 0 then (k // 60) || 'm' end, case when k % 60 > 0 then (k % 60) || 's' end) end"
+    rows = [("Snapshot", "id"), ("Original ID", "cast(null as varchar)"), ("Time", stamp("time")), ("Generated by", "''"), ("Host", "hostname"), ("Label", "coalesce(label, '')"), ("Tags", "array_to_string(tags, chr(10))"),
+            ("Delete", f"case delete_kind when 'never' then 'never' when 'after' then 'after ' || {stamp('delete_after')} else 'not set' end"), ("Paths", "path"), ("Parent", "'no parent snapshot'"),
+            ("Source", told(f"printf('files: %d / dirs: %d / size: ', total_files_processed, total_dirs_processed) || {_human('total_bytes')}")), ("Files", told(counts("files"))), ("Dirs", told(counts("dirs"))),
+            ("Added to repo", told(f"{blobs('data:  ', 'data_blobs', 'data_added_files', 'data_added_files_packed')} || chr(10) || {blobs('tree:  ', 'tree_blobs', 'data_added_trees', 'data_added_trees_packed')} || chr(10) || {blobs('total: ', 'tree_blobs + data_blobs', 'data_added', 'data_added_packed')}")),
+            ("Duration", told(f"'backup start: ' || {stamp('backup_start')} || ' / backup end: ' || {stamp('backup_end')} || ' / backup duration: ' || {seconds} || chr(10) || 'total duration: ' || {seconds}"))]
+    return f"with {SNAP}, d as ({' union all '.join(f'select id, cast({i} as integer) as position, {chr(39)}{t}{chr(39)} as title, {v} as value from snap' for i, (t, v) in enumerate(rows))}) select * from d where value is not null"
 
-@query(f"""with {SNAP}, d as (select id, unnest([{{'position': 0, 'title': 'Snapshot', 'value': id}}, {{'position': 1, 'title': 'Time', 'value': strftime(time, '%Y-%m-%d %H:%M:%S')}}, {{'position': 2, 'title': 'Host', 'value': hostname}}, {{'position': 3, 'title': 'Label', 'value': label}},
-  {{'position': 4, 'title': 'Tags', 'value': array_to_string(tags, ', ')}}, {{'position': 5, 'title': 'Paths', 'value': path}}, {{'position': 6, 'title': 'Delete', 'value': case delete_kind when 'never' then 'never' when 'after' then 'after ' || strftime(delete_after, '%Y-%m-%d %H:%M:%S') else 'not set' end}},
-  {{'position': 7, 'title': 'Tree', 'value': tree}}, {{'position': 8, 'title': 'Size', 'value': cast(total_bytes as varchar)}}, {{'position': 9, 'title': 'Added', 'value': cast(data_added as varchar)}}]) as p from snap)
-select id, cast(p.position as integer) as position, p.title as title, p.value as value from d where p.value is not null and p.value <> ''""")
+
+@query(_details_sql())
 def snap_details(spark, sf):
     return V.snapshot_details(snapshots(spark, sf))
 
@@ -426,8 +557,8 @@ def progress(spark, sf):
 
 @query(f"with {SNAP}, s as (select hostname, label, k, case when k > 90 then 'marked' when k > 60 then 'modified' when label = 'click' then 'filter' else 'all' end as view from snap) select view, count(*) as n, cast(sum(k) as bigint) as total from s group by view having count(*) > 0")
 def snap_views(spark, sf):
-    view = F.when(F.col("k") > 90, "marked").when(F.col("k") > 60, "modified").when(F.col("label") == "click", "filter").otherwise("all")
-    return snapshots(spark, sf).groupBy(view.alias("view")).agg(F.count("*").alias("n"), F.sum("k").alias("total")).where("n > 0")
+    seen = R.snapshot_views(snapshots(spark, sf), F.col("k") > 90, F.col("k") > 60, F.col("label") == "click")
+    return seen.groupBy("view").agg(F.count("*").alias("n"), F.sum("k").alias("total")).where("n > 0")
 
 
 @query(f"with {NODES}, e as (select string_split(path, '/') as s, size from node where starts_with(path, '/en/')) select s[3] as name, 'dir' as kind, count(*) as files, cast(sum(size) as bigint) as size from e group by 1")
@@ -440,10 +571,10 @@ def node_attributes(spark, sf):
     return V.attributes(nodes_v2(spark, sf), F.lit(0).cast("long"))
 
 
-@query(f"with {SNAP}, h as (select page_id from pages where page_id % 7 = 0 and page_id < 200) select s.event_id, h.page_id from snap s left join h on h.page_id = s.event_id where s.event_id < 500")
+@query(f"with {SNAP} select s.event_id, p.page_id from snap s left join (select page_id from pages where page_id % 7 = 0) p on p.page_id = s.event_id")
 def find_misses(spark, sf):
-    hits = table(spark, sf, "pages").where("page_id % 7 = 0 and page_id < 200").select(F.col("page_id").alias("id"), "page_id")
-    return V.find_results(snapshots(spark, sf).where("event_id < 500").select(F.col("event_id").alias("id")), hits, show_misses=True).select(F.col("id").alias("event_id"), "page_id")
+    hits = table(spark, sf, "pages").where("page_id % 7 = 0").select(F.col("page_id").alias("id"), "page_id")
+    return V.find_results(snapshots(spark, sf).select(F.col("event_id").alias("id")), hits, show_misses=True).select(F.col("id").alias("event_id"), "page_id")
 
 
 @query(f"with {BLOBS}, {INDEX} select pack_id, blob_type, cast(sum(len) as bigint) as size, '' as time from idx group by 1, 2")
@@ -476,13 +607,32 @@ def parent_diff(spark, sf):
     return s.join(p, "parent", "left").select("event_id", "parent_event", F.coalesce(F.col("parent_tree") == F.col("tree"), F.lit(False)).alias("identical"))
 
 
-_STATES = f"""{NODES}, st as (select b.*, case when a.path is null then 'new' when a.node_type = b.node_type and a.size = b.size and a.mtime = b.mtime then 'unmodified' else 'changed' end as state from v2 b left join v1 a on a.path = b.path)"""
+_STATES = f"""{NODES}, {BLOBS}, {INDEX}, st as (select b.*, case when a.path is null then 'new' when a.node_type = b.node_type and a.size = b.size and a.mtime = b.mtime then 'unmodified' else 'changed' end as state from v2 b left join v1 a on a.path = b.path),
+ad as (select i.blob_type, i.len, i.len // 2 as packed from idx i where blob_id in (select blob_id from blob where doc_id % 11 <> 0) and blob_id not in (select blob_id from blob where doc_id % 7 <> 0))"""
+_BLOBS_OF = {"data_blobs": "count(*) filter (blob_type = 'data')", "tree_blobs": "count(*) filter (blob_type = 'tree')", "data_added": "coalesce(sum(len), 0)", "data_added_packed": "coalesce(sum(packed), 0)",
+             "data_added_files": "coalesce(sum(len) filter (blob_type = 'data'), 0)", "data_added_files_packed": "coalesce(sum(packed) filter (blob_type = 'data'), 0)", "data_added_trees": "coalesce(sum(len) filter (blob_type = 'tree'), 0)",
+             "data_added_trees_packed": "coalesce(sum(packed) filter (blob_type = 'tree'), 0)"}
+_MEASURES = {f"{k}_{s}": (f"count(*) filter (node_type {o} 'dir' and state = '{s}')", "st") for k, o in (("files", "<>"), ("dirs", "=")) for s in ("new", "changed", "unmodified")} | {
+    "total_files_processed": ("count(*) filter (node_type <> 'dir')", "st"), "total_bytes_processed": ("coalesce(sum(size) filter (node_type <> 'dir'), 0)", "st"), "total_dirs_processed": ("count(*) filter (node_type = 'dir')", "st"),
+    "total_dirsize_processed": ("coalesce(sum(size) filter (node_type = 'dir'), 0)", "st")} | {k: (v, "ad") for k, v in _BLOBS_OF.items()}
+
 
+@query(f"with {SNAP} select s.event_id, case when p.id is null then [] else [p.id] end as parents from (select *, lag(id) over (partition by hostname, label order by time, id) as parent from snap) s left join snap p on p.id = s.parent")
+def parent_choice(spark, sf):
+    return L.choose_parents(snapshots(spark, sf), ("hostname", "label")).select("event_id", "parents")
 
-@query(f"with {_STATES} select 'files_new' as metric, cast(count(*) filter (state = 'new') as double) as value from st union all select 'files_changed', cast(count(*) filter (state = 'changed') as double) from st union all select 'files_unmodified', cast(count(*) filter (state = 'unmodified') as double) from st union all select 'total_bytes_processed', cast(sum(size) as double) from st union all select 'data_added', cast(coalesce(sum(size) filter (state <> 'unmodified'), 0) as double) from st")
+
+@query(f"with {_STATES} " + " union all ".join(f"select '{name}' as metric, cast({sql} as double) as value from {of}" for name, (sql, of) in _MEASURES.items()))
 def backup_summary(spark, sf):
-    s = P.backup_summary(P.file_states(nodes_v2(spark, sf), nodes_v1(spark, sf)))
-    return P.metrics(s, ("files_new", "files_changed", "files_unmodified", "total_bytes_processed", "data_added"))
+    content = blobs(spark, sf).where("doc_id % 11 <> 0").select("blob_id").join(index(spark, sf), "blob_id").select("blob_id", "blob_type", F.col("len").alias("length"), F.expr("len div 2").alias("packed_length"))
+    added = P.new_blobs(content, blobs(spark, sf).where("doc_id % 7 <> 0"))
+    return P.metrics(P.backup_summary(P.file_states(nodes_v2(spark, sf), nodes_v1(spark, sf)), added), P.COUNTS)
+
+
+@query(f"with {SNAP} " + " union all ".join(f"select id, 'backup_{name}' as metric, cast({sql} as double) as value from snap where total_bytes is not null" for name, sql in
+       ({"time": "epoch_us(time) // 1000 / 1000.0"} | {c: c for c in SUMMARY} | {c: f"epoch_us({c}) // 1000 / 1000.0" for c in P.TIMES} | {"backup_duration": "k", "total_duration": "k + 0.5"}).items()))
+def snap_metrics(spark, sf):
+    return P.snapshot_metrics(snapshots(spark, sf))
 
 
 _RESTORE = f"{NODES}, r as (select coalesce(a.node_type, b.node_type) as node_type, coalesce(a.size, 0) as size, case when a.path is null then 'additional' when b.path is null then 'restore' when a.node_type = b.node_type and a.size = b.size and a.mtime = b.mtime then 'unchanged' else 'modify' end as action from v1 a full join v2 b on a.path = b.path)"
@@ -493,6 +643,61 @@ def restore_plan(spark, sf):
     return P.restore_stats(P.restore_plan(nodes_v1(spark, sf), nodes_v2(spark, sf)))
 
 
+@query(f"with {_RESTORE.replace('select coalesce(a.node_type', 'select coalesce(a.path, b.path) as path, coalesce(a.node_type')} select path, node_type, case when action = 'additional' then 'remove' else 'write' end as step, size from r where action <> 'unchanged'")
+def restore_steps(spark, sf):
+    return P.restore_actions(P.restore_plan(nodes_v1(spark, sf), nodes_v2(spark, sf)), delete=True)
+
+
+@query(f"with {_RESTORE.replace('select coalesce(a.node_type', 'select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.node_type')}, {BLOBS}, {INDEX} select pack_id, cast(sum(len) as bigint) as bytes from idx where blob_id in (select blob_id from blob where doc_id in (select doc_id from r where action in ('restore', 'modify') and node_type = 'file')) group by pack_id")
+def restore_packs(spark, sf):
+    n = nodes(spark, sf).select("doc_id", "path")
+    content = blobs(spark, sf).select("doc_id", "blob_id", "len").join(n, "doc_id").select("path", "blob_id", "len")
+    return P.restore_packs(P.restore_plan(nodes_v1(spark, sf), nodes_v2(spark, sf)), content, index(spark, sf))
+
+
+@query(f"with {SNAP}, {BLOBS}, w as (select distinct tree from snap where event_id % 3 <> 0 and k < 50) select blob_id, max(len) as len from blob where 't' || (doc_id % 25) in (select tree from w) and blob_id not in (select blob_id from blob where doc_id % 4 = 0) group by blob_id")
+def copy_blobs(spark, sf):
+    P.same_chunker({"chunker": "fixed", "chunk_size": "1000"}, {"chunker": "fixed", "chunk_size": "1000"})
+    s = snapshots(spark, sf).where("k < 50")
+    content = blobs(spark, sf).select(F.concat(F.lit("t"), F.col("doc_id") % 25).alias("tree"), "blob_id", "len")
+    return P.copy_blobs(P.copy_plan(s, s.where("event_id % 3 = 0").select("original")), content, blobs(spark, sf).where("doc_id % 4 = 0"))
+
+
+@query(f"with {BLOBS}, {INDEX}, l as (select distinct blob_id from blob where doc_id % 7 <> 0), r as (select distinct blob_id from blob where doc_id % 11 <> 0), x as (select 'left' as side, blob_id from l where blob_id not in (select blob_id from r) union all select 'right', blob_id from r where blob_id not in (select blob_id from l)) "
+       "select side, count(*) as blobs, cast(sum(len) as bigint) as stored, cast(sum(case when x.blob_id < '8' then len * 2 else len end) as bigint) as uncompressed from x join idx on idx.blob_id = x.blob_id group by side")
+def exclusive_sizes(spark, sf):
+    b = blobs(spark, sf)
+    return P.exclusive_sizes(b.where("doc_id % 7 <> 0"), b.where("doc_id % 11 <> 0"), readers.index_entries(nested_index(spark, sf)))
+
+
+@query(f"with {BLOBS}, {INDEX} select blob_id, pack_id, blob_type, max(octet_length(encode(chunk))) as length from (select b.blob_id, b.chunk, i.pack_id, i.blob_type from blob b join idx i on i.blob_id = b.blob_id) group by 1, 2, 3")
+def rebuild_index(spark, sf):
+    stored = blobs(spark, sf).select("blob_id", "chunk").join(index(spark, sf).select("blob_id", "pack_id", "blob_type"), "blob_id")
+    return P.rebuild_index(stored, index(spark, sf), read_all=True)
+
+
+@query(f"with {SNAP} select event_id, id as original, 't' || (k // 25) || '.repaired' as tree, array_to_string(list_concat(tags, ['repaired']), ',') as tags, 'save' as action from snap where tree = 't1' "
+       "union all select event_id, null, null, null, 'remove' from snap where tree in ('t1', 't2')")
+def repair_saved(spark, sf):
+    s = snapshots(spark, sf)
+    broken = spark.createDataFrame([("t1", "t1.repaired"), ("t2", None)], "tree string, new_tree string")
+    saved, gone = P.repair_snapshots(s, broken, delete=True)
+    none = F.lit(None).cast("string")
+    return saved.select("event_id", "original", "tree", F.array_join("tags", ",").alias("tags"), F.lit("save").alias("action")) \
+        .unionByName(gone.join(s, "id").select("event_id", none.alias("original"), none.alias("tree"), none.alias("tags"), F.lit("remove").alias("action")))
+
+
+@query(f"with {SNAP} select event_id, 'new label' as label, 'saved' as what from snap where event_id = 5 union all select event_id, null, 'gone' from snap where event_id in (5, 8)")
+def edit_buffer(spark, sf):
+    s = snapshots(spark, sf)
+    named = {r["event_id"]: r["id"] for r in s.where("event_id in (5, 8, 97)").select("event_id", "id").collect()}
+    buffer = EditBuffer(s)
+    buffer.modify([named[5]], label="new label")
+    buffer.forget([named[8]] + ([named[97]] if 97 in named else []))  # 97 is protected
+    saved, gone = buffer.result(NOW)
+    return saved.select("event_id", "label", F.lit("saved").alias("what")).unionByName(gone.join(s, "id").select("event_id", F.lit(None).cast("string").alias("label"), F.lit("gone").alias("what")))
+
+
 @query(f"with {NODES}, u as (select *, 1 as v from v1 union all select *, 2 from v2) select path, arg_max(content, struct_pack(m := mtime, v := v)) as content, max(struct_pack(m := mtime, v := v)).v as v from u group by path")
 def merge_latest(spark, sf):
     both = nodes_v1(spark, sf).withColumn("v", F.lit(1)).unionByName(nodes_v2(spark, sf).withColumn("v", F.lit(2)))
@@ -542,21 +747,22 @@ def mode_strings(spark, sf):
     return p.select("p_partkey", X.mode_string("kind", "mode").alias("mode"), X.is_executable("mode").alias("executable"))
 
 
-@query(f"with {NODES} select path, '-rw-r--r--' as mode, '?' as owner, cast(size as varchar) as size, '' as link from node")
+@query(f"with {NODES} select path, case when node_type = 'symlink' then 'l' else '-' end || 'rw-' || case when mode = 384 then '------' else 'r--r--' end as mode, '?' as user, '?' as group, cast(size as varchar) as size, ' 1 Jan 1970 00:00' as mtime, case when node_type = 'symlink' then '-> target' else '' end as link from v2")
 def node_listing(spark, sf):
-    return nodes(spark, sf).select("path", X.mode_string("node_type", F.col("mode").cast("int")).alias("mode"), X.or_unknown(F.lit(None).cast("string")).alias("owner"), F.col("size").cast("string").alias("size"), X.link_string("node_type", "link_target").alias("link"))
-
+    return R.node_listing(nodes_v2(spark, sf))
 
-def _human(f: int, unit: str) -> str:
-    tenths = f"((b % {f}) * 10 + {f // 2}) // {f}"
-    return f"when b >= {f} then (b // {f} + ({tenths}) // 10) || '.' || (({tenths}) % 10) || ' {unit}'"
 
-
-@query(f"select o_orderkey, case {_human(1 << 20, 'MiB')} {_human(1 << 10, 'kiB')} else b || ' B' end as size from (select o_orderkey, (o_orderkey * 7919) % 5000000 as b from orders)")
+@query(f"select o_orderkey, {_human('b')} as size from (select o_orderkey, (o_orderkey * 7919) % 5000000 as b from orders)")
 def size_human(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.human_size(F.expr("(o_orderkey * 7919) % 5000000")).alias("size"))
 
 
+@query("select l_orderkey, l_linenumber, l_partkey, u, case u when 0 then n when 1 then n * 1000 when 2 then n * 1000000 else n * 1073741824 end as bytes from (select l_orderkey, l_linenumber, l_partkey, l_linenumber % 4 as u, l_partkey as n from lineitem)")
+def size_units(spark, sf):
+    unit = F.element_at(F.array(*map(F.lit, ("", "k", " MB", "GiB"))), F.col("u") + 1)
+    return table(spark, sf, "lineitem").withColumn("u", F.col("l_linenumber") % 4).select("l_orderkey", "l_linenumber", "l_partkey", "u", X.parse_size(F.concat(F.col("l_partkey").cast("string"), unit)).alias("bytes"))
+
+
 @query("select * from (values ('10', 10::bigint), ('10k', 10000), ('1MB', 1000000), ('1 GiB', 1073741824), (' 2G ', 2000000000), ('x', null)) t(text, bytes)")
 def size_parse(spark, sf):
     return spark.createDataFrame([(t,) for t in ("10", "10k", "1MB", "1 GiB", " 2G ", "x")], "text string").select("text", X.parse_size("text").alias("bytes"))
@@ -571,10 +777,21 @@ def label_map(spark, sf):
 
 @query("select case when c_custkey = 7 then '*' || sha256(cast(c_custkey as varchar)) else sha256(cast(c_custkey as varchar)) end as id, c_name as username, c_custkey <> 7 as removable from customer")
 def key_listing(spark, sf):
-    used = F.col("c_custkey") == 7
-    return table(spark, sf, "customer").select(F.concat(F.when(used, "*").otherwise(""), F.sha2(F.col("c_custkey").cast("string"), 256)).alias("id"), F.col("c_name").alias("username"), (~used).alias("removable"))
+    import hashlib
+
+    used = hashlib.sha256(b"7").hexdigest()
+    keys = table(spark, sf, "customer").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("id"), F.col("c_name").alias("username"))
+    return R.key_listing(keys.withColumn("removable", F.col("id") != used), used)
 
 
-@query("select * from (values ('home'), ('data')) t(name)")
+@query("select n_name as name, n_regionkey as region from nation where n_name in (select min(n_name) from nation union all select max(n_name) from nation)")
 def config_names(spark, sf):
-    return spark.createDataFrame([("home",), ("etc",), ("data",)], "name string").where(F.col("name").isin("home", "data"))
+    sources = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return S.named_sources(sources, list(sources.agg(F.min("name"), F.max("name")).first()))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || case event_id % 3 when 0 then '' else '*' end as time, strftime(ts + to_hours((event_id % 3) * 2), '%Y-%m-%d %H:%M:%S') || '+0' || ((event_id % 3) * 2) || '00' as with_offset from events")
+def time_display(spark, sf):
+    zone = F.element_at(F.array(*map(F.lit, ("+00:00", "+02:00", "+04:00"))), (F.col("event_id") % 3 + 1).cast("int"))
+    instant = F.to_timestamp_ltz(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX"))
+    return table(spark, sf, "events").select("event_id", X.format_time(instant, zone, "+00:00").alias("time"), X.format_time(instant, zone, "+00:00", show_offset=True).alias("with_offset"))

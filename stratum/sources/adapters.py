@@ -12,31 +12,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Summary fields of the test snapshots, as SQL that both engines read (k is the event's number).
+SUMMARY = {"total_bytes_processed": "cast(round(value * 100) as bigint)", "data_added": "event_id", "data_added_packed": "event_id // 2", "total_files_processed": "k * 3", "total_dirs_processed": "k", "total_dirsize_processed": "k * 10",
+           "files_new": "event_id % 7", "files_changed": "event_id % 5", "files_unmodified": "event_id % 3", "dirs_new": "event_id % 2", "dirs_changed": "event_id % 11", "dirs_unmodified": "event_id % 13", "data_blobs": "k % 9", "tree_blobs": "k % 4",
+           "data_added_files": "event_id - event_id // 4", "data_added_files_packed": "event_id // 3", "data_added_trees": "event_id // 4", "data_added_trees_packed": "event_id // 5"}
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One snapshot an event."""
+    """One snapshot an event; every 23rd has no label, every 50th no summary."""
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, sf_dir, "events").withColumn("k", k).select(
         "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("id"), F.sha2(F.col("event_id").cast("string"), 256).alias("original"), F.col("ts").alias("time"),
-        F.concat(F.lit("host"), F.col("user_id") % 10).alias("hostname"), F.col("event_type").alias("label"), F.col("k").cast("long").alias("k"), F.concat(F.lit("t"), F.expr("k div 25")).alias("tree"),
+        F.concat(F.lit("host"), F.col("user_id") % 10).alias("hostname"), F.when(F.col("event_id") % 23 != 0, F.col("event_type")).alias("label"), F.col("k").cast("long").alias("k"), F.concat(F.lit("t"), F.expr("k div 25")).alias("tree"),
         F.array(F.concat(F.lit("/home/"), F.col("user_id"))).alias("paths"), F.array(F.concat(F.lit("k"), F.col("k") % 5), F.concat(F.lit("m"), F.col("k") % 3)).alias("tags"),
         F.when(F.col("event_id") % 97 == 0, "never").when(F.col("event_id") % 89 == 0, "after").otherwise("notset").alias("delete_kind"),
         F.when(F.col("event_id") % 89 == 0, F.expr("ts + interval 10 days")).alias("delete_after"),
-        F.when(F.col("event_id") % 50 != 0, F.struct(F.round(F.col("value") * 100).cast("long").alias("total_bytes_processed"), F.col("event_id").cast("long").alias("data_added"))).alias("summary"))
+        F.when(F.col("event_id") % 50 != 0, F.struct(*[F.expr(sql.replace("//", "div")).cast("long").alias(c) for c, sql in SUMMARY.items()], F.col("ts").alias("backup_start"), F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, k)").alias("backup_end"),
+                                                     F.col("k").cast("double").alias("backup_duration"), (F.col("k") + 0.5).cast("double").alias("total_duration"))).alias("summary"))
 
 
-SNAP = """snap as (
-  select event_id, sha256(cast(event_id as varchar)) as id, ts as time, 'host' || (user_id % 10) as hostname, event_type as label,
-         cast(props->>'$.k' as bigint) as k, 't' || (cast(props->>'$.k' as bigint) // 25) as tree, '/home/' || user_id as path,
+SNAP = f"""snap as (
+  select event_id, sha256(cast(event_id as varchar)) as id, ts as time, 'host' || (user_id % 10) as hostname, case when event_id % 23 <> 0 then event_type end as label,
+         k, 't' || (cast(props->>'$.k' as bigint) // 25) as tree, '/home/' || user_id as path,
          ['k' || (cast(props->>'$.k' as bigint) % 5), 'm' || (cast(props->>'$.k' as bigint) % 3)] as tags,
          case when event_id % 97 = 0 then 'never' when event_id % 89 = 0 then 'after' else 'notset' end as delete_kind,
          case when event_id % 89 = 0 then ts + interval 10 day end as delete_after,
          case when event_id % 50 <> 0 then cast(round(value * 100) as bigint) end as total_bytes,
-         case when event_id % 50 <> 0 then cast(event_id as bigint) end as data_added
-  from events)"""
+         {", ".join(f"case when event_id % 50 <> 0 then cast({sql} as bigint) end as {c}" for c, sql in SUMMARY.items())},
+         case when event_id % 50 <> 0 then cast(round(value * 100) as bigint) end as total_bytes, case when event_id % 50 <> 0 then ts end as backup_start, case when event_id % 50 <> 0 then ts + to_seconds(k) end as backup_end
+  from (select *, cast(props->>'$.k' as bigint) as k from events))"""
 
 
 def _path():
-    return F.concat(F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    return F.concat(F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.expr("lpad(cast(doc_id as string), greatest(8, length(cast(doc_id as string))), '0')"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +65,7 @@ def nodes_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NODES = """node as (
-  select doc_id, '/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' || lpad(cast(doc_id as varchar), 8, '0') as path, 'file' as node_type, cast(null as varchar) as link_target,
+  select doc_id, '/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' || lpad(cast(doc_id as varchar), cast(greatest(8, length(cast(doc_id as varchar))) as integer), '0') as path, 'file' as node_type, cast(null as varchar) as link_target,
          n_chars as size, cast(420 as bigint) as mode, cast(0 as bigint) as mtime, sha256(text) as content from documents),
 v1 as (select * from node where doc_id % 7 <> 0),
 v2 as (select doc_id, path, case when doc_id % 29 = 0 then 'symlink' else 'file' end as node_type, case when doc_id % 29 = 0 then 'target' end as link_target, size,
@@ -79,6 +87,12 @@ BLOBS = f"""blob as (
   from documents, unnest(range(0, cast(ceil(length(text) / {CHUNK}.0) as bigint))) as t(pos) where length(text) > 0)"""
 
 
+def nested_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index files as they are stored: one for each four first digits of the blobs' ids, with packs and their blobs."""
+    blob = F.struct("blob_id", "blob_type", F.col("len").alias("length"), F.when(F.col("blob_id") < "8", F.col("len") * 2).alias("uncompressed_length"))
+    return index(spark, sf_dir).groupBy(F.substring("blob_id", 1, 4).alias("id"), "pack_id").agg(F.collect_list(blob).alias("blobs")).select("id", F.array(F.struct("pack_id", "blobs")).alias("packs"))
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct blobs in packs by the id's first two digits, with a blob type."""
     return blobs(spark, sf_dir).groupBy("blob_id").agg(F.max("len").alias("len")).withColumn("pack_id", F.substring("blob_id", 1, 2)).withColumn("blob_type", F.when(F.substring("blob_id", 3, 1) == "0", "tree").otherwise("data"))
@@ -94,3 +108,15 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LIVE = """live as (select distinct blob_id from blob where doc_id in (select doc_id from labels where quality = 1))"""
+
+
+def marked_index(spark: SparkSession, sf_dir: str, now: str) -> DataFrame:
+    """The index with packs marked for deletion: some a month ago, some an hour ago; and packs with their creation times."""
+    now_ = F.lit(now).cast("timestamp_ntz")
+    marked = F.when(F.col("pack_id") < "10", now_ - F.expr("interval 30 days")).when(F.col("pack_id") < "20", now_ - F.expr("interval 1 hour"))
+    return index(spark, sf_dir).withColumn("marked_at", marked).withColumn("pack_time", F.when(F.col("pack_id") > "f0", now_).otherwise(now_ - F.expr("interval 60 days")))
+
+
+def marked_sql(now: str) -> str:
+    return f"""midx as (select *, case when pack_id < '10' then timestamp '{now}' - interval 30 day when pack_id < '20' then timestamp '{now}' - interval 1 hour end as marked_at,
+  case when pack_id > 'f0' then timestamp '{now}' else timestamp '{now}' - interval 60 day end as pack_time from idx)"""

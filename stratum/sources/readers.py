@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import re
 import subprocess
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -9,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum.functions.scalars import snapshot_argument
 from stratum.operators.filters import not_excluded
 from stratum.operators.select import lookup
 
@@ -18,9 +21,13 @@ SNAPSHOTS = ("id string, original string, time timestamp, hostname string, label
 
 
 def files(spark: SparkSession, *paths: str, globs: Sequence[str] = (), larger_than: int | None = None, content: bool = False) -> DataFrame:
-    """Files below paths of any Hadoop file system: path, node_type, size, mtime, and content or its hash when asked for."""
+    """Files below paths of any Hadoop file system: path (of a remote one, below the name of its store), node_type, size, mtime, and
+    content when asked for."""
+    if len(paths) > 1 and any(re.match(r"(?!file:)[A-Za-z0-9+.-]+://", p) for p in paths):
+        raise ValueError("a remote source stands alone")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
-    out = found.select(F.regexp_replace("path", r"^[a-z0-9]+:(?://[^/]*)?", "").alias("path"), F.lit("file").alias("node_type"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *(["content"] if content else []))
+    local = F.regexp_replace("path", r"^file:(?://)?(?=/)", "")
+    out = found.select(F.regexp_replace(local, r"^[A-Za-z0-9+.-]+:/*", "/").alias("path"), F.lit("file").alias("node_type"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *(["content"] if content else []))
     if globs:
         out = out.where(not_excluded("path", globs))
     return out if larger_than is None else out.where(F.col("size") <= larger_than)
@@ -55,16 +62,89 @@ class Repository:
     uri: str
     hot_uri: str | None = None
     append_only: bool = False
+    cache: bool = False
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
     HOT = ("snapshots", "index", "trees", "keys")
 
+    def _base(self, name: str) -> str:
+        return (self.hot_uri if self.hot_uri and name in self.HOT else self.uri).rstrip("/")
+
+    def versions(self, name: str) -> list[int]:
+        """The written versions of a table, oldest first; 0 is the one without a number."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        base = jvm.org.apache.hadoop.fs.Path(self._base(name))
+        fs = base.getFileSystem(conf)
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self._base(name)}/{name}*")) or []
+        names = [(s.getPath().getName(), s.getPath()) for s in found]
+        hit = [(int(m[1] or 0), path) for n, path in names if (m := re.fullmatch(re.escape(name) + r"(?:@(\d+))?", n))]
+        return sorted(v for v, path in hit if v == 0 or fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")))
+
     def table(self, name: str) -> DataFrame:
+        """The newest version of a table that was written to its end; kept in memory or on the executors' disks where `cache` is set."""
         if name not in self.tables:
-            base = self.hot_uri if self.hot_uri and name in self.HOT else self.uri
-            self.tables[name] = self.spark.read.parquet(f"{base.rstrip('/')}/{name}")
+            newest = (self.versions(name) or [0])[-1]
+            found = self.spark.read.parquet(f"{self._base(name)}/{name}{f'@{newest}' if newest else ''}")
+            self.tables[name] = found.cache() if self.cache else found
         return self.tables[name]
 
+    def save(self, name: str, add: DataFrame | None = None, drop: DataFrame | None = None, key: str = "id") -> int:
+        """Writes a new version of a table, with rows added and others (by key) dropped; readers see it once it is whole.  Its number."""
+        if drop is not None and self.append_only:
+            raise PermissionError("the repository is append-only")
+        out = self.table(name)
+        if drop is not None:
+            out = out.join(drop.select(key).distinct(), key, "left_anti")
+        if add is not None:
+            out = out.unionByName(add, allowMissingColumns=True)
+        number = (self.versions(name) or [0])[-1] + 1
+        out.select(*self.table(name).columns).write.parquet(f"{self._base(name)}/{name}@{number}")
+        if self.cache:
+            self.tables[name].unpersist()
+        self.tables.pop(name, None)
+        return number
+
+    def guard(self, operation: str) -> None:
+        """An append-only repository refuses to forget, prune or change its configuration."""
+        if self.append_only and operation in ("forget", "prune", "config"):
+            raise PermissionError(f"the repository is append-only: no {operation}")
+
+    def init(self, config: dict[str, str], keys: DataFrame | None = None, hot_only: bool = False) -> None:
+        """Creates the configuration (and keys) of a new repository; hot_only fills a new hot store beside a store that is there."""
+        schema = "name string, value string"
+        if hot_only:
+            if not self.hot_uri:
+                raise ValueError("no hot store is named")
+            cold = Repository(self.spark, self.uri)
+            for name in ("config", *self.HOT):
+                if name == "config" or cold.versions(name):
+                    cold.table(name).write.parquet(f"{self.hot_uri.rstrip('/')}/{name}")
+            return
+        if self.versions("config"):
+            raise ValueError("there is a repository already")
+        self.spark.createDataFrame(sorted(config.items()), schema).write.parquet(f"{self._base('config')}/config")
+        if keys is not None:
+            keys.write.parquet(f"{self._base('keys')}/keys")
+
+    def config(self) -> dict[str, str]:
+        return {r["name"]: r["value"] for r in self.table("config").collect()}
+
+    def change_config(self, **changes: str) -> bool:
+        """Writes changed values as a new version; False where nothing changes."""
+        self.guard("config")
+        old = self.config()
+        if all(old.get(k) == v for k, v in changes.items()):
+            return False
+        rows = self.spark.createDataFrame(sorted(changes.items()), "name string, value string")
+        self.save("config", rows, rows.select("name"), key="name")
+        return True
+
+    def remove_keys(self, ids: Sequence[str], used: str) -> int:
+        """Drops keys; the one in use is refused."""
+        if used in ids:
+            raise PermissionError("this key is in use")
+        return self.save("keys", drop=self.spark.createDataFrame([(i,) for i in ids], "id string"))
+
     def ids(self, name: str) -> DataFrame:
         return self.table(name).select("id")
 
@@ -84,9 +164,33 @@ class Repository:
 
 
 def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Small JSON objects, one a file (keys, snapshots), as they are in a repository; unreadable ones are skipped."""
-    found = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").json(path)
-    return found.where("_bad is null").drop("_bad")
+    """Small JSON objects, one a file (keys, snapshots), as they are in a repository; unreadable ones are skipped, and logged."""
+    found = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").json(path).withColumn("_file", F.input_file_name()).cache()
+    for r in found.where("_bad is not null").select("_file").limit(20).collect():
+        logging.getLogger("stratum").warning("skipped %s: it cannot be read", r["_file"])
+    return found.where("_bad is null").drop("_bad", "_file")
+
+
+def node_at(snapshots: DataFrame, nodes: DataFrame, argument: str) -> DataFrame:
+    """The node of SNAPSHOT[:PATH] among nodes(snapshot_id, path, ...); without a path, the root's nodes.  What is not there raises when read."""
+    wanted, path = snapshot_argument(argument)
+    if wanted is None:
+        raise ValueError(f"no snapshot in {argument!r}")
+    own = lookup(snapshots, [wanted]).select(F.col("id").alias("snapshot_id"))
+    path = "/" + path.strip("/") if path.strip("/") else ""
+    inside = nodes.join(own, "snapshot_id")
+    if not path:
+        return inside
+    row = F.struct(*[F.col(c) for c in inside.columns])
+    one = inside.where(F.col("path") == path).limit(1).agg(F.first(row).alias("row"))
+    return one.select(F.coalesce("row", F.raise_error(F.lit(f"no node {path}")).cast(one.schema["row"].dataType)).alias("row")).select("row.*")
+
+
+def raw_object(spark: SparkSession, uri: str, kind: str, id_prefix: str = "") -> DataFrame:
+    """The bytes of a stored file (config, index, snapshot, key or pack): id, content."""
+    pattern = f"{uri.rstrip('/')}/config" if kind == "config" else f"{uri.rstrip('/')}/{kind}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern)
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("id"), "content").where(F.col("id").startswith(id_prefix))
 
 
 def inventory(spark: SparkSession, uri: str, tier: str = "cold") -> DataFrame:

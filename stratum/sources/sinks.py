@@ -2,34 +2,74 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import io
 import json
+import stat
 import tarfile
+import time
 import zipfile
-from typing import BinaryIO
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from typing import BinaryIO, Protocol, TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.functions.scalars import extension
 
-
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A Markdown table of at most `limit` rows (it is for people); numbers are aligned to the right."""
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A Markdown table with a bold header; numbers are aligned to the right.  A table of more than `most` rows is none for people: it raises."""
     numeric = {f.name for f in df.schema if f.dataType.typeName() in ("long", "integer", "double", "short", "byte", "float")}
-    rows = [["" if v is None else str(v) for v in r] for r in df.limit(limit).collect()]
-    wide = [max([len(c), *(len(r[i]) for r in rows)]) for i, c in enumerate(df.columns)]
+    rows = [["" if v is None else str(v) for v in r] for r in df.limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write them as a file")
+    head = [f"**{c}**" for c in df.columns]
+    wide = [max([len(h), *(len(r[i]) for r in rows)]) for i, h in enumerate(head)]
     line = lambda r: "| " + " | ".join(v.rjust(w) if c in numeric else v.ljust(w) for v, w, c in zip(r, wide, df.columns, strict=True)) + " |"
-    return "\n".join([line(df.columns), "|" + "|".join("-" * (w + 1) + (":" if c in numeric else "-") for w, c in zip(wide, df.columns, strict=True)) + "|", *map(line, rows)])
+    return "\n".join([line(head), "|" + "|".join("-" * (w + 1) + (":" if c in numeric else "-") for w, c in zip(wide, df.columns, strict=True)) + "|", *map(line, rows)])
+
+
+def item_json(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One JSON object a row, {group_key, item} where there are groups: what a distributed writer takes."""
+    rest = F.struct(*[c for c in df.columns if c not in by])
+    return df.select(F.to_json(F.struct(F.struct(*by).alias("group_key"), rest.alias("item")) if by else rest).alias("json"))
+
+
+def grouped_json(df: DataFrame, out: TextIO, by: Sequence[str] = ()) -> int:
+    """Pretty JSON: a list of {group_key, items} in order of the keys, or a bare list without groups.  Rows stream to the driver in order,
+    so no group is held anywhere as a whole."""
+    rest = [c for c in df.columns if c not in by]
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    order = [*by, *rest]
+    n, open_ = 0, None
+    out.write("[")
+    for r in df.orderBy(*order).select(key.alias("key"), F.to_json(F.struct(*rest)).alias("item")).toLocalIterator():
+        if by and r["key"] != open_:
+            out.write("" if open_ is None else "\n  ]}")
+            out.write((",\n" if open_ is not None else "\n") + ' {"group_key": ' + r["key"] + ', "items": [')
+            open_, n = r["key"], 0
+        out.write((",\n" if n else "\n") + ("   " if by else " ") + r["item"])
+        n += 1
+    out.write(("\n  ]}" if open_ is not None else "") + "\n]\n")
+    return n
+
+
+def paths_json(nodes: DataFrame, out: TextIO) -> int:
+    """A JSON array of all paths, in order."""
+    n = 0
+    out.write("[")
+    for r in nodes.select("path").orderBy("path").toLocalIterator():
+        out.write((",\n " if n else "\n ") + json.dumps(r["path"], ensure_ascii=False))
+        n += 1
+    out.write("\n]\n")
+    return n
 
 
-def grouped_json(df: DataFrame, by: list[str]) -> DataFrame:
-    """One JSON object {group_key, items} a group; without a group one bare list."""
-    items = F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c not in by])))
-    if not by:
-        return df.agg(F.to_json(items).alias("json"))
-    return df.groupBy(*by).agg(items.alias("items")).select(F.to_json(F.struct(F.struct(*by).alias("group_key"), "items")).alias("json"))
+def status_line(position: int, length: int | None, seconds: float) -> str:
+    """One line of progress for scripts."""
+    share = min(position / length, 1.0) if length else None
+    return json.dumps({"message_type": "status", "seconds_elapsed": int(seconds), "bytes_done": position} | ({"percent_done": share, "total_bytes": length} if share is not None else {}))
 
 
 def ndjson(df: DataFrame, path: str) -> None:
@@ -44,8 +84,12 @@ def archive_kind(path: str, is_dir: bool) -> str:
     return "tar" if is_dir else "content"
 
 
+def _mode(row: dict) -> int:
+    return row["mode"] & 0o7777 if row.get("mode") is not None else (0o755 if row["node_type"] == "dir" else 0o644)
+
+
 def dump(nodes: DataFrame, out: BinaryIO, kind: str = "content") -> int:
-    """Writes nodes (path, node_type, content binary, and mode, mtime, link_target where known) in path order."""
+    """Writes nodes (path, node_type, content binary, and mode, mtime, uid, gid, user, group, link_target where known) in path order."""
     rows = nodes.orderBy("path").toLocalIterator()
     n = 0
     if kind == "content":
@@ -58,7 +102,12 @@ def dump(nodes: DataFrame, out: BinaryIO, kind: str = "content") -> int:
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for r in rows:
                 name = r["path"].lstrip("/") + ("/" if r["node_type"] == "dir" else "")
-                z.writestr(zipfile.ZipInfo(name), bytes(r["content"] or b""))
+                row = r.asDict()
+                info = zipfile.ZipInfo(name, max(time.gmtime(int(row.get("mtime") or 0))[:6], (1980, 1, 1, 0, 0, 0)))  # the format knows no earlier time
+                link = row["node_type"] == "symlink"
+                info.external_attr = ((stat.S_IFDIR if row["node_type"] == "dir" else stat.S_IFLNK if link else stat.S_IFREG) | _mode(row)) << 16
+                info.compress_type = zipfile.ZIP_DEFLATED
+                z.writestr(info, (row.get("link_target") or "").encode() if link else bytes(r["content"] or b""))
                 n += 1
         return n
     raw = gzip.GzipFile(fileobj=out, mode="wb", mtime=0) if kind == "tar.gz" else out
@@ -68,7 +117,7 @@ def dump(nodes: DataFrame, out: BinaryIO, kind: str = "content") -> int:
             row, data = r.asDict(), bytes(r["content"] or b"") if r["node_type"] == "file" else b""
             info = tarfile.TarInfo(row["path"].lstrip("/"))
             info.type, info.size = kinds.get(row["node_type"], tarfile.REGTYPE), len(data)
-            info.mode = row.get("mode") if row.get("mode") is not None else (0o755 if row["node_type"] == "dir" else 0o644)
+            info.mode, info.uid, info.gid, info.uname, info.gname = _mode(row), row.get("uid") or 0, row.get("gid") or 0, row.get("user") or "", row.get("group") or ""
             info.mtime, info.linkname = int(row.get("mtime") or 0), row.get("link_target") or ""
             tar.addfile(info, io.BytesIO(data) if data else None)
             n += 1
@@ -83,5 +132,39 @@ def metrics_text(metrics: DataFrame, labels: dict[str, str]) -> str:
     return "".join(f"{r['metric']}{{{tags}}} {r['value']}\n" for r in metrics.orderBy("metric").collect())
 
 
-def with_extension(df: DataFrame) -> DataFrame:
-    return df.withColumn("extension", extension("path"))
+def push_path(job: str, labels: dict[str, str]) -> str:
+    """The path of a push gateway: job and grouping labels in URL-safe base64; empty labels are left out."""
+    code = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    return "/".join(["metrics", "job@base64", code(job), *[x for k, v in labels.items() if v for x in (f"{k}@base64", code(v))]])
+
+
+def gauge_points(metrics: DataFrame, labels: dict[str, str]) -> dict:
+    """Gauges as resource metrics of the open telemetry JSON form: whole numbers as integers, others as doubles."""
+    point = lambda v: {"asInt": str(int(v))} if float(v).is_integer() else {"asDouble": v}
+    attributes = [{"key": k, "value": {"stringValue": v}} for k, v in sorted(labels.items()) if v]
+    return {"resourceMetrics": [{"resource": {"attributes": attributes}, "scopeMetrics": [{"metrics": [{"name": r["metric"], "gauge": {"dataPoints": [point(r["value"])]}} for r in metrics.orderBy("metric").collect()]}]}]}
+
+
+class MetricsExporter(Protocol):
+    """Where metrics go; `send` of the exporters below takes a path or an empty one, and the body."""
+
+    def push(self, metrics: DataFrame) -> None: ...
+
+
+@dataclass(frozen=True)
+class TextPush:
+    job: str
+    labels: dict[str, str]
+    send: Callable[[str, str], None]
+
+    def push(self, metrics: DataFrame) -> None:
+        self.send(push_path(self.job, self.labels), metrics_text(metrics, {}))
+
+
+@dataclass(frozen=True)
+class JsonPush:
+    labels: dict[str, str]
+    send: Callable[[str, str], None]
+
+    def push(self, metrics: DataFrame) -> None:
+        self.send("", json.dumps(gauge_points(metrics, self.labels)))

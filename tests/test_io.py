@@ -1,6 +1,7 @@
 """Sources, sinks, profiles, hooks and streams."""
 
 import io
+import json
 import tarfile
 import zipfile
 
@@ -53,10 +54,97 @@ def test_archives(spark):
 
 def test_texts(spark):
     df = spark.createDataFrame([("a", 1), ("b", 22)], "name string, n long")
-    assert sinks.markdown(df) == "| name |  n |\n|------|---:|\n| a    |  1 |\n| b    | 22 |"
-    assert [r["json"] for r in sinks.grouped_json(df, []).collect()] == ['[{"name":"a","n":1},{"name":"b","n":22}]']
-    assert sorted(r["json"] for r in sinks.grouped_json(df, ["name"]).collect())[0] == '{"group_key":{"name":"a"},"items":[{"n":1}]}'
-    assert sinks.metrics_text(spark.createDataFrame([("m", 1.0)], "metric string, value double"), {"host": "h", "none": ""}) == 'm{host="h"} 1.0\n'
+    assert sinks.markdown(df) == "| **name** | **n** |\n|----------|------:|\n| a        |     1 |\n| b        |    22 |"
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(5), most=4)
+    bare, grouped = io.StringIO(), io.StringIO()
+    sinks.grouped_json(df, bare)
+    sinks.grouped_json(df.unionByName(df.selectExpr("name", "n + 1 as n")), grouped, ["name"])
+    assert json.loads(bare.getvalue()) == [{"name": "a", "n": 1}, {"name": "b", "n": 22}]
+    assert json.loads(grouped.getvalue()) == [{"group_key": {"name": "a"}, "items": [{"n": 1}, {"n": 2}]}, {"group_key": {"name": "b"}, "items": [{"n": 22}, {"n": 23}]}]
+    none = io.StringIO()
+    sinks.grouped_json(df.limit(0), none, ["name"])
+    assert json.loads(none.getvalue()) == []
+    assert sorted(r["json"] for r in sinks.item_json(df, ["name"]).collect())[0] == '{"group_key":{"name":"a"},"item":{"n":1}}'
+    out = io.StringIO()
+    assert sinks.paths_json(spark.createDataFrame([("/b",), ('/a"x',)], "path string"), out) == 2 and json.loads(out.getvalue()) == ['/a"x', "/b"]
+    assert json.loads(sinks.status_line(5, 20, 3.7)) == {"message_type": "status", "seconds_elapsed": 3, "bytes_done": 5, "percent_done": 0.25, "total_bytes": 20}
+
+
+def test_metrics_exporters(spark):
+    metrics, sent = spark.createDataFrame([("m", 1.0), ("d", 1.5)], "metric string, value double"), []
+    assert sinks.metrics_text(metrics.where("metric = 'm'"), {"host": "h", "none": ""}) == 'm{host="h"} 1.0\n'
+    labels = {"abc": "xyz", "path": "/my/path", "tags": "a,b,cde", "nogroup": ""}
+    sinks.TextPush("test_job", labels, lambda path, body: sent.append((path, body))).push(metrics)
+    assert sent == [("metrics/job@base64/dGVzdF9qb2I/abc@base64/eHl6/path@base64/L215L3BhdGg/tags@base64/YSxiLGNkZQ", "d{} 1.5\nm{} 1.0\n")]
+    sinks.JsonPush(labels, lambda path, body: sent.append(json.loads(body))).push(metrics)
+    own = sent[1]["resourceMetrics"][0]
+    assert [m["gauge"]["dataPoints"][0] for m in own["scopeMetrics"][0]["metrics"]] == [{"asDouble": 1.5}, {"asInt": "1"}] and len(own["resource"]["attributes"]) == 3
+
+
+def test_archives_keep_metadata(spark):
+    nodes = spark.sql("select * from values ('/d', 'dir', cast(null as binary), cast(null as string), 488L, 7L, 8L, 'u', 'g', 1000000000L), ('/d/f', 'file', binary('x'), null, 384L, 7L, 8L, 'u', 'g', 1000000000L), ('/d/l', 'symlink', null, 'f', null, 7L, 8L, 'u', 'g', 0L) t(path, node_type, content, link_target, mode, uid, gid, user, group, mtime)")
+    out = io.BytesIO()
+    sinks.dump(nodes, out, "tar")
+    f = tarfile.open(fileobj=io.BytesIO(out.getvalue())).getmember("d/f")
+    assert (f.mode, f.uid, f.gid, f.uname, f.gname, f.mtime) == (0o600, 7, 8, "u", "g", 1000000000)
+    out = io.BytesIO()
+    sinks.dump(nodes, out, "zip")
+    z = zipfile.ZipFile(io.BytesIO(out.getvalue()))
+    assert z.getinfo("d/f").external_attr >> 16 == 0o100600 and z.getinfo("d/f").date_time[:3] == (2001, 9, 9) and z.read("d/l") == b"f" and z.getinfo("d/l").external_attr >> 28 == 0o12 and z.getinfo("d/").external_attr >> 16 == 0o40750
+
+
+def test_versions_config_and_keys(spark, tmp_path):
+    repo = readers.Repository(spark, str(tmp_path / "r"), hot_uri=None, cache=True)
+    repo.init({"chunker": "rabin", "version": "2"}, keys=spark.createDataFrame([("k1", "u"), ("k2", "v")], "id string, username string"))
+    with pytest.raises(ValueError):
+        repo.init({})
+    assert repo.config() == {"chunker": "rabin", "version": "2"} and repo.change_config(version="2") is False and repo.change_config(version="3") is True and repo.config()["version"] == "3"
+    with pytest.raises(PermissionError):
+        repo.remove_keys(["k1", "k2"], used="k1")
+    assert repo.remove_keys(["k2"], used="k1") == 1 and [r["id"] for r in repo.table("keys").collect()] == ["k1"] and repo.versions("keys") == [0, 1]
+    assert repo.save("keys", spark.createDataFrame([("k3", "w")], "id string, username string")) == 2 and repo.ids("keys").count() == 2
+    (tmp_path / "r/keys@9").mkdir()  # a version that was not written to its end
+    assert repo.versions("keys") == [0, 1, 2]
+    repo.append_only = True
+    with pytest.raises(PermissionError):
+        repo.save("keys", drop=repo.ids("keys"))
+    for operation in ("forget", "prune", "config"):
+        with pytest.raises(PermissionError):
+            repo.guard(operation)
+    with pytest.raises(ValueError):
+        repo.init({}, hot_only=True)
+    hot = readers.Repository(spark, str(tmp_path / "r"), hot_uri=str(tmp_path / "hot"))
+    hot.init({}, hot_only=True)
+    assert hot.ids("keys").count() == 2 and (tmp_path / "hot/keys").exists()
+    raw = {r["id"]: bytes(r["content"])[:4] for r in readers.raw_object(spark, str(tmp_path / "r"), "keys", "part-").collect()}
+    assert raw and set(raw.values()) == {b"PAR1"}
+
+
+def test_remote_sources_stand_alone(spark):
+    with pytest.raises(ValueError):
+        readers.files(spark, "s3a://bucket/x", "/local")
+
+
+def test_node_at(spark):
+    s = spark.sql("select * from values ('aa1', timestamp'2024-01-01'), ('ab2', timestamp'2024-01-02') t(id, time)")
+    n = spark.sql("select * from values ('aa1', '/x', 1), ('ab2', '/x', 2), ('ab2', '/x/y', 3) t(snapshot_id, path, size)")
+    assert readers.node_at(s, n, "latest:x").first()["size"] == 2 and readers.node_at(s, n, "aa:/x/").first()["size"] == 1 and readers.node_at(s, n, "ab2").count() == 2
+    for odd in ("latest:/nowhere", "zz:/x", "a:/x"):
+        with pytest.raises(Exception, match="no node|no snapshot|several"):
+            readers.node_at(s, n, odd).collect()
+    with pytest.raises(ValueError):
+        readers.node_at(s, n, "./local")
+
+
+def test_logging(tmp_path, capsys):
+    log = config.set_up_logging("info", str(tmp_path / "log"), {"quiet": "error"}, dry_run=True)
+    log.info("hello")
+    log.debug("nothing")
+    config.logging.getLogger("stratum.quiet").info("nothing")
+    text = (tmp_path / "log").read_text()
+    assert text.startswith("[dry run] ") and "hello" in text and "nothing" not in text
+    config.set_up_logging()
 
 
 def test_profiles(tmp_path):
