@@ -197,13 +197,13 @@ def environment_name(option: str, prefix: str) -> str:
 # --- texts, lists and maps
 def parse_labels(text) -> Column:
     """'k=v, k=v' as a map; raises where a part has no '='."""
-    parts = F.filter(F.transform(F.split(as_column(text), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(as_column(text), ","), lambda x: F.trim(x)), lambda p: p != "")
     checked = F.transform(parts, lambda p: F.when(p.contains("="), p).otherwise(F.raise_error(F.concat(F.lit("label without '=': "), p)).cast("string")))
     return F.map_from_entries(F.transform(checked, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.regexp_replace(p, r"^[^=]*=", "")).alias("v"))))
 
 
 def string_list(text) -> Column:
-    return F.filter(F.transform(F.split(as_column(text), ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(as_column(text), ","), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def url_base64(text) -> Column:

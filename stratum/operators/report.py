@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.functions.scalars import human_size, link_string, listing_time, mode_string, or_unknown
+from stratum.functions.scalars import human_size, link_string, listing_time, mode_string, or_unknown, short_id
 from stratum.shared import join_null_safe, previous
 
 
@@ -20,7 +20,7 @@ def with_total(df: DataFrame, key: str, aggregates: list[Column]) -> DataFrame:
 def snapshot_listing(df: DataFrame, *more: Column) -> DataFrame:
     """The rows of a snapshot table: id (with how many alike follow, where a column `more` tells), time, host, label, tags, paths, files, dirs
     and size; question marks where there is no summary."""
-    short = F.substring("id", 1, 8)
+    short = short_id("id")
     name = F.when(F.col("more") > 0, F.concat(short, F.lit(" (+"), F.col("more"), F.lit(")"))).otherwise(short) if "more" in df.columns else short
     return df.select(name.alias("id"), F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), "hostname", "label", F.array_join("tags", "\n").alias("tags"), F.array_join("paths", "\n").alias("paths"),
                      or_unknown(F.col("summary.total_files_processed")).alias("files"), or_unknown(F.col("summary.total_dirs_processed")).alias("dirs"), or_unknown(human_size("summary.total_bytes_processed")).alias("size"), *more)
@@ -60,7 +60,7 @@ def virtual_path(template: str, time_format: str = "yyyy-MM-dd_HH-mm-ss") -> Col
     """A path from a template with {id} {id_long} {time} {username} {hostname} {label} {tags} {backup_start} {backup_end}; [...] around a name
     is dropped; parts that are empty vanish.  An unknown name raises."""
     time = lambda c: F.date_format(c, time_format)
-    values = {"id": lambda: F.substring("id", 1, 8), "id_long": lambda: F.col("id"), "time": lambda: time("time"), "username": lambda: F.col("username"), "hostname": lambda: F.col("hostname"), "label": lambda: F.col("label"),
+    values = {"id": lambda: short_id("id"), "id_long": lambda: F.col("id"), "time": lambda: time("time"), "username": lambda: F.col("username"), "hostname": lambda: F.col("hostname"), "label": lambda: F.col("label"),
               "tags": lambda: F.array_join("tags", ","), "backup_start": lambda: time("summary.backup_start"), "backup_end": lambda: time("summary.backup_end")}
     out: Column = F.lit("")
     for part in re.split(r"(\[?\{\w+\}\]?)", template):

@@ -795,3 +795,45 @@ def time_display(spark, sf):
     zone = F.element_at(F.array(*map(F.lit, ("+00:00", "+02:00", "+04:00"))), (F.col("event_id") % 3 + 1).cast("int"))
     instant = F.to_timestamp_ltz(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX"))
     return table(spark, sf, "events").select("event_id", X.format_time(instant, zone, "+00:00").alias("time"), X.format_time(instant, zone, "+00:00", show_offset=True).alias("with_offset"))
+
+
+@query(f"with {NODES} select path, case node_type when 'symlink' then 'symlink' when 'dir' then 'directory' else 'regular' end as kind from v2")
+def archive_kinds(spark, sf):
+    return nodes_v2(spark, sf).select("path", X.file_kind("node_type").alias("kind"))
+
+
+@query("select p_partkey, array_to_string(list_filter(list_transform(string_split(p_name || ', ,' || p_brand, ','), lambda x: trim(x)), lambda x: x <> ''), chr(10)) as lines from part")
+def string_lists(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.array_join(X.string_list(F.concat("p_name", F.lit(", ,"), "p_brand")), "\n").alias("lines"))
+
+
+@query("select c_custkey, rtrim(replace(replace(to_base64(encode(c_name || '?>')), '+', '-'), '/', '_'), '=') as code from customer")
+def url_codes(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", X.url_base64(F.concat("c_name", F.lit("?>"))).alias("code"))
+
+
+@query("select event_id, printf('%02d:%02d:%02d', event_id // 3600, (event_id // 60) % 60, event_id % 60) as elapsed, lpad(strftime(ts, '%-d'), 2, ' ') || strftime(ts, ' %b %Y %H:%M') as listed from events")
+def clock_times(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.clock("event_id").alias("elapsed"), X.listing_time("ts").alias("listed"))
+
+
+@query("select cast(greatest(8, max(length(r_name))) as integer) as name_wide, cast(greatest(3, max(length(cast(r_regionkey as varchar)))) as integer) as key_wide from region")
+def column_widths(spark, sf):
+    return V.widths(table(spark, sf, "region").select(F.col("r_name").alias("the_name"), F.col("r_regionkey").alias("key"))).select(F.col("the_name").cast("int").alias("name_wide"), F.col("key").cast("int").alias("key_wide"))
+
+
+@query(f"with {NODES} select count(*) as files, cast(sum(size) as bigint) as size from node")
+def scan_size(spark, sf):
+    return readers.scan_size(nodes(spark, sf))
+
+
+@query(f"with {NODES} select path from node where doc_id % 3 = 1")
+def one_file_system(spark, sf):
+    roots = spark.createDataFrame([("/", 1)], "root string, device long")
+    return S.on_one_file_system(nodes(spark, sf).withColumn("device", F.col("doc_id") % 3).withColumn("root", F.lit("/")), roots).select("path")
+
+
+@query(f"with {BLOBS}, {INDEX}, p as (select pack_id, cast(sum(len) as bigint) as size from idx group by 1) select pack_id, size, size >= 0.3 * 8000 and size <= 2.0 * 8000 as tolerated from p")
+def pack_tolerance(spark, sf):
+    packs = index(spark, sf).groupBy("pack_id").agg(F.sum("len").alias("size"))
+    return packs.withColumn("tolerated", B.well_sized(F.col("size"), 8000, most=2.0))

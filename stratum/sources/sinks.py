@@ -10,7 +10,7 @@ import stat
 import tarfile
 import time
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import BinaryIO, Protocol, TextIO
 
@@ -72,6 +72,25 @@ def status_line(position: int, length: int | None, seconds: float) -> str:
     return json.dumps({"message_type": "status", "seconds_elapsed": int(seconds), "bytes_done": position} | ({"percent_done": share, "total_bytes": length} if share is not None else {}))
 
 
+class Progress(Protocol):
+    """What is told of long writes: bytes done so far, and of how many, where that is known."""
+
+    def __call__(self, done: int, length: int | None) -> None: ...
+
+
+def json_progress(out: TextIO, every: float = 10.0) -> Progress:
+    """Progress as status lines, at most one in `every` seconds."""
+    begun = last = time.monotonic()
+
+    def tell(done: int, length: int | None) -> None:
+        nonlocal last
+        if (now := time.monotonic()) - last >= every:
+            last = now
+            out.write(status_line(done, length, now - begun) + "\n")
+
+    return tell
+
+
 def ndjson(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -88,9 +107,19 @@ def _mode(row: dict) -> int:
     return row["mode"] & 0o7777 if row.get("mode") is not None else (0o755 if row["node_type"] == "dir" else 0o644)
 
 
-def dump(nodes: DataFrame, out: BinaryIO, kind: str = "content") -> int:
+def told(rows: Iterator, progress: Progress | None) -> Iterator:
+    """The rows, with the bytes of their contents told as they go by."""
+    done = 0
+    for r in rows:
+        yield r
+        done += len(r["content"] or b"")
+        if progress:
+            progress(done, None)
+
+
+def dump(nodes: DataFrame, out: BinaryIO, kind: str = "content", progress: Progress | None = None) -> int:
     """Writes nodes (path, node_type, content binary, and mode, mtime, uid, gid, user, group, link_target where known) in path order."""
-    rows = nodes.orderBy("path").toLocalIterator()
+    rows = told(nodes.orderBy("path").toLocalIterator(), progress)
     n = 0
     if kind == "content":
         for r in rows:

@@ -94,6 +94,16 @@ def test_archives_keep_metadata(spark):
     assert z.getinfo("d/f").external_attr >> 16 == 0o100600 and z.getinfo("d/f").date_time[:3] == (2001, 9, 9) and z.read("d/l") == b"f" and z.getinfo("d/l").external_attr >> 28 == 0o12 and z.getinfo("d/").external_attr >> 16 == 0o40750
 
 
+def test_progress_and_lines(spark, tmp_path):
+    nodes = spark.createDataFrame([("/a", "file", bytearray(b"one")), ("/b", "file", bytearray(b"three"))], "path string, node_type string, content binary")
+    lines, seen = io.StringIO(), []
+    sinks.dump(nodes, io.BytesIO(), progress=sinks.json_progress(lines, every=0.0))
+    sinks.dump(nodes, io.BytesIO(), progress=lambda done, length: seen.append(done))
+    assert [json.loads(x)["bytes_done"] for x in lines.getvalue().splitlines()] == seen == [3, 8]
+    sinks.ndjson(nodes.select("path"), str(tmp_path / "out"))
+    assert sorted(r["path"] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["/a", "/b"]
+
+
 def test_versions_config_and_keys(spark, tmp_path):
     repo = readers.Repository(spark, str(tmp_path / "r"), hot_uri=None, cache=True)
     repo.init({"chunker": "rabin", "version": "2"}, keys=spark.createDataFrame([("k1", "u"), ("k2", "v")], "id string, username string"))
