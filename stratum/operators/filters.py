@@ -95,6 +95,30 @@ class SnapshotFilter:
         return df if self.last is None else last_n(df, self.last, group)
 
 
+def row_predicate(fn: Callable[[dict], bool], *columns: str) -> Callable[[DataFrame], Column]:
+    """A predicate from a Python function of one row (a dict of these columns), in Arrow batches.  A row that it fails on is dropped, as is
+    one that it says nothing clear about; the failure is logged where it happens."""
+    def build(df: DataFrame) -> Column:
+        import pandas as pd
+
+        def judge(rows):
+            import logging
+
+            def one(row: dict) -> bool:
+                try:
+                    return fn(row) is True
+                except Exception as e:  # the row is at fault, not the query
+                    logging.getLogger("stratum").warning("a filter function failed: %s", e)
+                    return False
+
+            return pd.Series([one(r) for r in rows.to_dict("records")], dtype=bool)
+
+        judge.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
+        return F.pandas_udf(judge, "boolean")(F.struct(*columns))
+
+    return build
+
+
 def glob_matches(path, globs: Sequence[str] = (), iglobs: Sequence[str] = ()) -> Column:
     """Some glob matches the whole path or the file name."""
     path = as_column(path)

@@ -91,6 +91,12 @@ def test_ignore_files(spark):
     assert sorted(r["path"] for r in S.without_ignored(nodes, S.ignore_rules(files)).collect()) == ["/p/keep.o", "/p/sub/out", "/p/sub/top", "/q/a.o"]
 
 
+def test_row_predicate(spark):
+    df = snaps(spark, [("a", "2024-01-01", "7"), ("b", "2024-01-02", "x"), ("c", "2024-01-03", "2")])
+    assert ids(S.SnapshotFilter(predicate=S.row_predicate(lambda r: int(r["tree"]) > 5, "tree")).apply(df)) == ["a"]  # what fails is dropped
+    assert ids(S.SnapshotFilter(predicate=S.row_predicate(lambda r: "yes", "tree")).apply(df)) == []
+
+
 def test_named_sources(spark):
     sources = spark.createDataFrame([("home", "/home"), ("etc", "/etc")], "name string, path string")
     assert [r["path"] for r in S.named_sources(sources, ["etc"]).collect()] == ["/etc"] and S.named_sources(sources, []).count() == 2
