@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, forget, materialize, table
+from stratum.llm.common import arrow_map, materialize, table
 
 _CODES = {"\\": "\\\\", "<": "\\l", "[": "\\b", "|": "\\p"}
 _escape = str.maketrans(_CODES)

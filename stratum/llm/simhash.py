@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, components, forget, keyed, materialize, named, row_key, table, unkeyed
+from stratum.llm.common import arrow_map, components, keyed, materialize, named, row_key, table, unkeyed
 
 RADIUS, SHINGLE, CHUNK = 4, 4, 1024
 #: For similarity 0.8 or more of five-word shingles, as the pipeline takes it: three fingerprints, since one misses too many.
 STAGE_RADIUS, STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_PRINTS = 7, 5, 0.8, 3
+SKETCH = 128
 _FULL, _BATCH_WORDS = np.uint64(0xFFFFFFFFFFFFFFFF), 8192
 
 
@@ -160,26 +161,26 @@ def side_by_side(values: np.ndarray, first: np.ndarray, size: np.ndarray, radius
     return np.concatenate(out)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of links that join what all of them join."""
-    label, keep = np.arange(n), []
-    while len(a):
-        la, lb = label[a], label[b]
+def forest_of(n: int, pairs: np.ndarray) -> np.ndarray:
+    """Numbers of those pairs (of n things) that join what all of them join."""
+    label, keep, left = np.arange(n), [], np.arange(len(pairs))
+    while len(left):
+        la, lb = label[pairs[left, 0]], label[pairs[left, 1]]
         on = np.flatnonzero(la != lb)
         if not len(on):
             break
-        a, b, la, lb = a[on], b[on], la[on], lb[on]
+        left, la, lb = left[on], la[on], lb[on]
         lo, hi = np.minimum(la, lb), np.maximum(la, lb)
         order = np.lexsort((lo, hi))  # each label goes to the least it is linked with, by one link
         one = order[np.unique(hi[order], return_index=True)[1]]
-        keep.append(np.stack([a[one], b[one]], 1))
+        keep.append(left[one])
         label[hi[one]] = lo[one]
         root = np.arange(n)
         root[hi[one]] = lo[one]
         while (root[root] != root).any():
             root = root[root]
         label = root[label]
-    return np.concatenate([np.zeros((0, 2), np.int64), *keep])
+    return np.concatenate([np.zeros(0, np.int64), *keep])
 
 
 def cluster(fps: np.ndarray, radius: int) -> np.ndarray:
@@ -197,25 +198,28 @@ def cluster(fps: np.ndarray, radius: int) -> np.ndarray:
             break
         left = rest
     if len(left) > 1:
-        a, b = within(planes_of(left), len(left), left, radius)
-        a, b = a[a < b], b[a < b]
-        links.append(left[forest(len(left), a, b)])
+        pairs = np.stack(within(planes_of(left), len(left), left, radius), 1)
+        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        links.append(left[pairs[forest_of(len(left), pairs)]])
     return np.concatenate(links)
 
 
-def unlike(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int) -> np.ndarray:
-    """All pairs of one large bucket within the radius, but those where both fingerprints have one and the same label (lo = hi)."""
-    if lo.min() == hi.max():
-        return np.zeros((0, 2), np.uint64)
-    a, b = within(planes_of(fps), len(fps), fps, radius)
-    on = (a < b) & (np.minimum(lo[a], lo[b]) != np.maximum(hi[a], hi[b]))
-    return np.stack([fps[a[on]], fps[b[on]]], 1)
+def may_agree(sketch: np.ndarray, size: np.ndarray, pairs: np.ndarray, similarity: float) -> np.ndarray:
+    """The pairs whose sets can agree to `similarity`: counts of members by bins bound what two sets share from above, so none is lost."""
+    out = [pairs[:0]]
+    for i in range(0, len(pairs), 1 << 15):
+        a, b = pairs[i:i + (1 << 15)].T
+        one, two = sketch[a], sketch[b]
+        shared = np.minimum(one, two).sum(1, dtype=np.int64)
+        full = ((one == 255) | (two == 255)).any(1)  # counts that may be larger bound nothing
+        out.append(pairs[i:i + (1 << 15)][full | (shared >= similarity * (size[a] + size[b] - shared) - 1e-9)])
+    return np.concatenate(out)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK, similarity: float = 0.0) -> DataFrame:
     """fps(fp), distinct -> (a, b): a set of links with the same components as all links within the radius.
-    fps(fp, lo, hi), with the smallest and largest label of what has the fingerprint -> (a, b): all links within
-    the radius, but those where both ends have one and the same label.
+    fps(fp, t, part, n, sketch) of texts t -> (a, b): all pairs of texts of different parts within the radius whose sets of shingles may agree
+    to `similarity` by their sizes n and sketches.
 
     More blocks make more, finer tables: 6 blocks (15 tables of 21 bits at radius 4) up to 2^24
     fingerprints, 7 (35 tables of 27 bits) up to 2^28, else 8 (70 tables of 32 bits); all are exact."""
@@ -224,8 +228,8 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
     if blocks is None:
         n = fps.count()
         blocks = radius + 2 + (n > 1 << 24) + (n > 1 << 28)
-    labelled = "lo" in fps.columns
-    item = F.struct("fp", "lo", "hi") if labelled else F.col("fp")
+    told = "sketch" in fps.columns
+    item = F.struct("fp", "t", "part", "n", "sketch") if told else F.col("fp")
     edges = np.linspace(0, 64, blocks + 1).round().astype(int).tolist()
     keys = []
     for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
@@ -234,29 +238,50 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
             width = edges[c + 1] - edges[c]
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", edges[c]).bitwiseAND((1 << width) - 1))
         keys.append(key)
-    rows = fps.select("fp", item.alias("item"), F.explode(F.array(*keys)).alias("key"))
+    rows = fps.select("fp", item.alias("item"), F.posexplode(F.array(*keys)).alias("t", "key"))
     sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
+    own = F.pmod(F.xxhash64(F.col("item.t") if told else F.col("item")), F.col("g")).cast("int")
     dealt = rows.join(sizes, "key").withColumn("g", parts).withColumn("own", own).select(
-        "key", "item", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(F.col("own"), o) * F.col("g") + F.greatest(F.col("own"), o))).alias("part"))
-    groups = dealt.groupBy("key", "part").agg(F.collect_list("item").alias("fps")).where(F.size("fps") > 1).select("fps")
+        "key", "t", "item", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(F.col("own"), o) * F.col("g") + F.greatest(F.col("own"), o))).alias("part"))
+    groups = dealt.groupBy("key", "part").agg(F.first("t").alias("t"), F.collect_list("item").alias("fps")).where(F.size("fps") > 1).select("t", "fps")
+    masks = [sum(((1 << (edges[c + 1] - edges[c])) - 1) << edges[c] for c in range(b)) for b in range(blocks + 1)]
+    spans = np.array([masks[c + 1] ^ masks[c] for c in range(blocks)], np.uint64)
+    chosen = np.array([[c in own for c in range(blocks)] for own in combinations(range(blocks), blocks - radius)])
+
+    def first_met(fp: np.ndarray, pairs: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The pairs for which table t is the first in which they share a bucket: every pair counts in one table only."""
+        apart = fp[pairs[:, 0]] ^ fp[pairs[:, 1]]
+        equal = (apart[:, None] & spans) == 0
+        equal &= np.cumsum(equal, 1) <= blocks - radius
+        return pairs[(equal == chosen[t]).all(1)]
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             column = batch.column("fps")
             values, at = column.flatten(), column.offsets.to_numpy()
-            fp, lo, hi = (values.field(i).to_numpy() for i in range(3)) if labelled else [values.to_numpy()] * 3
-            fp, first, size = fp.view(np.uint64), at[:-1].astype(np.int64) - at[0], np.diff(at).astype(np.int64)
-            few = np.flatnonzero(size <= 64)
+            fp = (values.field("fp") if told else values).to_numpy().view(np.uint64)
+            first, size = at[:-1].astype(np.int64) - at[0], np.diff(at).astype(np.int64)
+            table = np.repeat(batch.column("t").to_numpy(), size)
+            few, many = np.flatnonzero(size <= 64), np.flatnonzero(size > 64).tolist()
             pairs = side_by_side(fp, first[few], size[few], radius)
-            if labelled:
-                pairs = pairs[np.minimum(lo[pairs[:, 0]], lo[pairs[:, 1]]) != np.maximum(hi[pairs[:, 0]], hi[pairs[:, 1]])]
-            out = [fp[pairs]]
-            for i in np.flatnonzero(size > 64):
-                own = slice(first[i], first[i] + size[i])
-                out.append(unlike(fp[own], lo[own], hi[own], radius) if labelled else cluster(fp[own], radius))
-            pairs = np.concatenate(out).view(np.int64)
+            if not told:
+                pairs = first_met(fp, pairs, table[pairs[:, 0]])
+                out = [fp[pairs[forest_of(len(fp), pairs)]], *[cluster(fp[first[i]:first[i] + size[i]], radius) for i in many]]
+            else:
+                part, n, name = (values.field(c).to_numpy() for c in ("part", "n", "t"))
+                sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), np.uint8).reshape(len(fp), -1)
+                out = []
+                for own, begin in [(pairs, 0), *[(None, i) for i in many]]:
+                    if own is None:
+                        i, begin = begin, first[begin]
+                        some = fp[begin:begin + size[i]]
+                        own = np.stack(within(planes_of(some), len(some), some, radius), 1) + begin
+                        own = own[own[:, 0] < own[:, 1]]
+                    own = own[part[own[:, 0]] != part[own[:, 1]]]
+                    own = first_met(fp, own, table[own[:, 0]])
+                    out.append(name[may_agree(sketch, n, own, similarity)])
+            pairs = np.concatenate(out).reshape(-1, 2).view(np.int64)
             return pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])}) if len(pairs) else None
         return apply
 
@@ -268,6 +293,24 @@ def shingles_of(text: str | None, shingle: int) -> set[bytes]:
     return {b" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
 
 
+def with_sketch(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts(t, text) -> (t, n, sketch): how many different shingles, and how many in each of SKETCH bins (255: or more)."""
+    def make():
+        from xxhash import xxh64_intdigest as xxh
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sizes, sketches = [], []
+            for text in batch.column("text").to_pylist():
+                own = shingles_of(text, shingle)
+                bins = np.bincount(np.fromiter((xxh(x, 7) % SKETCH for x in own), np.int64, len(own)), minlength=SKETCH)
+                sizes.append(len(own))
+                sketches.append(np.minimum(bins, 255).astype(np.uint8).tobytes())
+            return pa.record_batch({"t": batch.column("t"), "n": pa.array(sizes, pa.int64()), "sketch": pa.array(sketches, pa.binary())})
+        return apply
+
+    return arrow_map(texts.select("t", "text"), make, "t long, n long, sketch binary")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of texts whose shingle sets agree to at least `similarity` (Jaccard); texts(t, text)."""
     both = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
@@ -295,7 +338,7 @@ def alike_links(nodes: DataFrame, rows: DataFrame, prints: list[str], radius: in
 
     First a spanning forest of the texts within the radius is checked.  A tree of which every link holds is one group,
     and any pair within the radius lies inside one tree; so only in trees with a link that failed there can be more,
-    and of these all pairs within the radius that are not in one group yet are checked."""
+    and of these all pairs within the radius are checked that are not in one group yet, and whose sketches let them be alike."""
     parts = []
     for fp in prints:
         hubs = materialize(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("t").alias("hub")))
@@ -314,14 +357,9 @@ def alike_links(nodes: DataFrame, rows: DataFrame, prints: list[str], radius: in
     trees, groups = (components(ends, x).select(F.col("id").alias("t"), F.col("component").alias(c)) for x, c in ((tried, "tree"), (held, "part")))
     at = materialize(nodes.select(*prints, "t").join(trees, "t").join(groups, "t"))
     split = at.groupBy("tree").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-    open_ = materialize(at.join(split, "tree", "left_semi").select(*prints, "t", "part"), at)
-    parts = []
-    for fp in prints:
-        marks = materialize(open_.groupBy(F.col(fp).alias("fp")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")))
-        near = _ordered(links(marks, radius)).unionByName(marks.where("lo < hi").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-        for c in ("a", "b"):
-            near = near.join(open_.select(F.col(fp).alias(c), F.col("t").alias(f"t{c}"), F.col("part").alias(f"p{c}")), c)
-        parts.append(materialize(near.where("pa <> pb").select(F.col("ta").alias("a"), F.col("tb").alias("b")), marks))
+    open_ = at.join(split, "tree", "left_semi").select(*prints, "t", "part")
+    open_ = materialize(open_.join(with_sketch(texts.join(open_.select("t"), "t", "left_semi"), shingle), "t"), at)
+    parts = [materialize(links(open_.select(F.col(fp).alias("fp"), "t", "part", "n", "sketch"), radius, similarity=similarity)) for fp in prints]
     more = _ordered(functools.reduce(DataFrame.unionByName, parts)).join(tried, ["a", "b"], "left_anti")
     return materialize(held.unionByName(alike(more, texts, shingle, similarity)), held, tried, texts, open_, *parts)
 

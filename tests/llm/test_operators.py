@@ -133,9 +133,9 @@ def test_bit_sliced_distances():
             want = {(q, i) for q in range(min(9, n)) for i in range(n) if (int(fps[i]) ^ int(fps[q])).bit_count() <= radius}
             q, i = simhash.within(simhash.planes_of(fps), n, fps[:9], radius)
             assert set(zip(q.tolist(), i.tolist(), strict=True)) == want
-            a, b = (x[q < i] for x in (q, i)) if n <= 9 else (np.zeros(0, int), np.zeros(0, int))
-            kept = simhash.forest(n, a, b).tolist()
-            assert H.groups(range(n), kept) == H.groups(range(n), zip(a.tolist(), b.tolist(), strict=True)) and len(kept) < n
+            pairs = np.stack([q[q < i], i[q < i]], 1)
+            kept = pairs[simhash.forest_of(n, pairs)].tolist()
+            assert H.groups(range(n), kept) == H.groups(range(n), pairs.tolist()) and len(kept) < n
         got = simhash.cluster(np.unique(fps), 4).tolist()
         ids = sorted({int(f) for f in fps})
         assert H.groups(ids, got) == H.groups(ids, [(a, b) for x, a in enumerate(ids) for b in ids[x + 1:] if (a ^ b).bit_count() <= 4])
@@ -152,6 +152,37 @@ def test_small_buckets_side_by_side():
             assert {tuple(x) for x in simhash.side_by_side(fps, first, size, radius).tolist()} == want
 
 
+def test_every_pair_counts_in_one_table(spark):
+    """All pairs of texts of different parts, each once, none lost to sketches that may agree."""
+    rng = np.random.default_rng(16)
+    fps = np.concatenate([flipped(rng, rng.integers(0, 1 << 63, 2, dtype=np.uint64), 150, 4), flipped(rng, rng.integers(0, 1 << 63, 40, dtype=np.uint64), 120, 3)])
+    part = rng.integers(0, 5, len(fps))
+    bins = [np.bincount(rng.integers(0, simhash.SKETCH, 60), minlength=simhash.SKETCH).astype(np.uint8) for _ in range(3)]
+    kind = rng.integers(0, 3, len(fps))
+    rows = [(int(np.int64(np.uint64(f))) if f < 1 << 63 else int(f) - (1 << 64), i, int(part[i]), 60, bytearray(bins[kind[i]].tobytes())) for i, f in enumerate(fps.tolist())]
+    df = spark.createDataFrame(rows, "fp long, t long, part long, n long, sketch binary")
+    want = sorted((i, j) for j in range(len(fps)) for i in range(j) if part[i] != part[j] and (int(fps[i]) ^ int(fps[j])).bit_count() <= 7 and (kind[i] == kind[j] or np.minimum(bins[kind[i]], bins[kind[j]]).sum() >= 0.8 * (120 - np.minimum(bins[kind[i]], bins[kind[j]]).sum())))
+    for chunk in (1024, 50):
+        got = [tuple(sorted((r["a"], r["b"]))) for r in simhash.links(df, 7, chunk=chunk, similarity=0.8).collect()]
+        assert sorted(set(got)) == want and (chunk == 50 or len(got) == len(want)) and len(want) > 500
+
+
+def test_sketches_lose_no_pair(spark):
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(5, 400))]
+        texts += [" ".join(w if rng.random() > 0.02 else "x" for w in base) for _ in range(4)]
+    texts += ["a b c d e " * 9000, "a b c d e " * 8000, " ".join(f"u{i}" for i in range(50_000))]
+    got = simhash.with_sketch(spark.createDataFrame(list(enumerate(texts)), "t long, text string"), 5).orderBy("t").collect()
+    sketch, n = np.vstack([np.frombuffer(r["sketch"], np.uint8) for r in got]), np.array([r["n"] for r in got])
+    pairs = np.array([(i, j) for j in range(len(texts)) for i in range(j)])
+    kept = {tuple(p) for p in simhash.may_agree(sketch, n, pairs, 0.8).tolist()}
+    close = {(i, j) for i, j in pairs.tolist() if H.jaccard(texts[i], texts[j]) >= 0.8}
+    assert close <= kept and len(kept) < len(pairs) / 2 and len(close) > 10
+
+
 def test_simhash_links_come_from_the_planes(spark, monkeypatch):
     fps = spark.createDataFrame([(1,), (3,), (7,)], "fp long")
     assert simhash.links(fps).count() > 0
@@ -278,7 +309,7 @@ def test_code_products_are_exact():
     rng = np.random.default_rng(9)
     for d in (1, 64, embeddings._EXACT, 3 * embeddings._EXACT + 5):
         a, b = (rng.integers(-127, 128, (7, d)).astype(np.int8) for _ in range(2))
-        assert (embeddings.code_products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+        assert (embeddings.code_products(a.astype(np.float32), b.T.astype(np.float32)) == a.astype(np.int64) @ b.astype(np.int64).T).all()
 
 
 def test_embeddings_empty(spark):
