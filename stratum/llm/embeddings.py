@@ -44,12 +44,13 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products of int8 codes, exact: float32 holds the sums of _EXACT dimensions at a time (and has the faster product)."""
-    out = a[:, :_EXACT].astype(np.float32) @ b[:, :_EXACT].astype(np.float32).T
+    """Products of rows of a with columns of b, int8 codes held as float32, exact: float32 holds the sums of _EXACT dimensions at a time (and
+    has the faster product)."""
+    out = a[:, :_EXACT] @ b[:_EXACT]
     if a.shape[1] > _EXACT:
         out = out.astype(np.float64)
         for d in range(_EXACT, a.shape[1], _EXACT):
-            out += a[:, d:d + _EXACT].astype(np.float32) @ b[:, d:d + _EXACT].astype(np.float32).T
+            out += a[:, d:d + _EXACT] @ b[d:d + _EXACT]
     return out
 
 
@@ -61,18 +62,19 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, na: np.ndarray, nb: np.ndarr
     wb, off = (na, 0) if one else (nb, len(a))
     qa, sa, ea = quantise(xa)
     qb, sb, eb = (qa, sa, ea) if one else quantise(xb)
-    # bound = product * sa * sb + ea + eb * (1 + ea); in float32, so a slack over its rounding is added
-    least, scale, more = (threshold - ea - 1e-5).astype(np.float32), sb.astype(np.float32), (eb * (1 + ea.max())).astype(np.float32)
+    # bound = product * sa * sb + ea + eb * (1 + ea); first with the largest eb, in float32 with a slack over its rounding, then by itself
+    left, right, scale = qa.astype(np.float32), np.ascontiguousarray(qb.astype(np.float32).T), sb.astype(np.float32)
+    least = ((threshold - 1e-5 - ea - eb.max() * (1 + ea)) / sa).astype(np.float32)
     counts, labels = np.zeros(len(a) + (0 if one else len(b)), np.int64), np.arange(len(a) + (0 if one else len(b)))
     for s in range(0, len(a), _STRIP):
         begin = s if one else 0
-        bound = code_products(qa[s:s + _STRIP], qb[begin:])
+        bound = code_products(left[s:s + _STRIP], right[:, begin:])
         bound *= scale[begin:]
-        bound *= sa[s:s + _STRIP, None].astype(np.float32)
-        bound += more[begin:]
         i, j = np.nonzero(bound >= least[s:s + _STRIP, None])
         if one:
             i, j = i[j > i], j[j > i]
+        near = bound[i, j].astype(np.float64) * sa[s + i] + ea[s + i] + eb[begin + j] * (1 + ea[s + i]) >= threshold - 1e-5
+        i, j = i[near], j[near]
         if not len(i):
             continue
         sure = np.zeros(bound.shape, bool)
