@@ -167,8 +167,9 @@ def arrow_map(df: DataFrame, make: Callable, schema: str, calm: bool = False) ->
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (id, component), component = the smallest id reachable, for every row of
-    `nodes(id)`; `edges(a, b)` are undirected.  Rounds of minimum propagation with pointer jumping,
-    O(log diameter) of them on chains of stars; each round's labels are written to the shared folder.
+    `nodes(id)`; `edges(a, b)` are undirected.  In each round every end of an edge goes to its smallest neighbour below it, chains of
+    these are followed to their ends by pointer jumping, and the edges are contracted to what still joins different ends; so a star is
+    gone after one round, and rounds are O(log n).  Each round is written to the shared folder.
 
     A hub's edges are aggregated partially before the shuffle, and the joins read both sides from
     written tables, so adaptive execution can split a hub's partition.
@@ -177,26 +178,24 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if links.isEmpty():
         forget(links)
         return nodes.select("id", F.col("id").alias("component"))
-    labels = materialize(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-                         .unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")))
-                         .groupBy("id").agg(F.min("component").alias("component")))
-    while True:
-        # Every edge offers each end's label to the other end *and to the other end's label*.
-        at = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("la")), "a") \
-                  .join(labels.select(F.col("id").alias("b"), F.col("component").alias("lb")), "b")
-        offers = at.where("la <> lb").select(F.explode(F.array(
-            F.struct(F.col("a").alias("id"), F.least("la", "lb").alias("c")),
-            F.struct(F.col("b").alias("id"), F.least("la", "lb").alias("c")),
-            F.struct(F.greatest("la", "lb").alias("id"), F.least("la", "lb").alias("c")))).alias("o")).select("o.*")
-        offers = materialize(offers.groupBy("id").agg(F.min("c").alias("c")))
-        if offers.isEmpty():
-            forget(offers)
-            break
-        lowered = materialize(labels.join(offers, "id", "left")
-                              .select("id", F.least("component", F.coalesce("c", "component")).alias("component")),
-                              labels, offers)
-        up = lowered.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        labels = materialize(lowered.join(up, "component", "left")
-                             .select("id", F.coalesce("root", "component").alias("component")), lowered)
+    labels = None
+    while not links.isEmpty():
+        parent = materialize(links.groupBy("a").agg(F.min("b").alias("to")))  # always downwards, so there is no cycle
+        while True:
+            up = parent.select(F.col("a").alias("to"), F.col("to").alias("further"))
+            jumped = materialize(parent.join(up, "to", "left").select("a", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+            going = not jumped.where("moved").isEmpty()
+            parent = materialize(jumped.drop("moved"), jumped, parent) if going else parent
+            if not going:
+                forget(jumped)
+                break
+        here = links.join(parent.select("a", F.col("to").alias("ra")), "a").join(parent.select(F.col("a").alias("b"), F.col("to").alias("rb")), "b", "left").select("ra", F.coalesce("rb", "b").alias("rb"))
+        links = materialize(here.where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), links)
+        found = parent.select(F.col("a").alias("id"), F.col("to").alias("component"))
+        if labels is None:
+            labels = parent = materialize(found, parent)
+        else:  # what was known moves on with its label; what has a label now for the first time is added
+            moved = labels.join(parent.select(F.col("a").alias("component"), F.col("to").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+            labels = materialize(moved.unionByName(found.join(labels.select("id"), "id", "left_anti")), labels, parent)
     forget(links)
     return nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

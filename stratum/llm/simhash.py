@@ -183,24 +183,25 @@ def forest_of(n: int, pairs: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *keep])
 
 
-def cluster(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Links (pairs of fingerprints) that join what is connected within one large bucket."""
-    left, links = fps, [np.zeros((0, 2), np.uint64)]
+def cluster(fps: np.ndarray, radius: int, keep=lambda pairs: pairs) -> np.ndarray:
+    """Pairs (numbers of fps) that join what is connected within one large bucket, by the pairs that `keep` lets count."""
+    left, links = np.arange(len(fps)), [np.zeros((0, 2), np.int64)]
     while len(left) > 1:
         todo, rest, found = left[:1], left[1:], 1
         while len(todo) and len(rest):
-            q, x = within(planes_of(rest), len(rest), todo, radius)
-            x, one = np.unique(x, return_index=True)
-            links.append(np.stack([todo[q[one]], rest[x]], 1))
-            found += len(x)
-            todo, rest = rest[x], np.delete(rest, x)
+            q, x = within(planes_of(fps[rest]), len(rest), fps[todo], radius)
+            pairs = keep(np.stack([todo[q], rest[x]], 1))
+            new, one = np.unique(pairs[:, 1], return_index=True)
+            links.append(pairs[one])
+            found += len(new)
+            todo, rest = new, np.setdiff1d(rest, new, assume_unique=True)
         if found * 8 < len(left):  # no dense cluster here: what is left, and this one, is compared all at once
             break
         left = rest
     if len(left) > 1:
-        pairs = np.stack(within(planes_of(left), len(left), left, radius), 1)
-        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-        links.append(left[pairs[forest_of(len(left), pairs)]])
+        pairs = np.stack(within(planes_of(fps[left]), len(left), fps[left], radius), 1)
+        pairs = keep(left[pairs[pairs[:, 0] < pairs[:, 1]]])
+        links.append(pairs[forest_of(len(fps), pairs)])
     return np.concatenate(links)
 
 
@@ -233,11 +234,11 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
     edges = np.linspace(0, 64, blocks + 1).round().astype(int).tolist()
     keys = []
     for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        key = F.lit(t).cast("long")
+        key = F.lit(0).cast("long")
         for c in chosen:
             width = edges[c + 1] - edges[c]
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", edges[c]).bitwiseAND((1 << width) - 1))
-        keys.append(key)
+        keys.append(key.bitwiseOR(F.lit(t << 40).cast("long")))  # blocks differ in width: the table stands above all of them
     rows = fps.select("fp", item.alias("item"), F.posexplode(F.array(*keys)).alias("t", "key"))
     sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / chunk).cast("int")
@@ -251,10 +252,13 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
 
     def first_met(fp: np.ndarray, pairs: np.ndarray, t: np.ndarray) -> np.ndarray:
         """The pairs for which table t is the first in which they share a bucket: every pair counts in one table only."""
-        apart = fp[pairs[:, 0]] ^ fp[pairs[:, 1]]
-        equal = (apart[:, None] & spans) == 0
-        equal &= np.cumsum(equal, 1) <= blocks - radius
-        return pairs[(equal == chosen[t]).all(1)]
+        out = [pairs[:0]]
+        for i in range(0, len(pairs), 1 << 16):
+            some = pairs[i:i + (1 << 16)]
+            equal = ((fp[some[:, 0]] ^ fp[some[:, 1]])[:, None] & spans) == 0
+            equal &= np.cumsum(equal, 1, dtype=np.int8) <= blocks - radius
+            out.append(some[(equal == chosen[t[some[:, 0]]]).all(1)])
+        return np.concatenate(out)
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -266,8 +270,12 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
             few, many = np.flatnonzero(size <= 64), np.flatnonzero(size > 64).tolist()
             pairs = side_by_side(fp, first[few], size[few], radius)
             if not told:
-                pairs = first_met(fp, pairs, table[pairs[:, 0]])
-                out = [fp[pairs[forest_of(len(fp), pairs)]], *[cluster(fp[first[i]:first[i] + size[i]], radius) for i in many]]
+                pairs = first_met(fp, pairs, table)
+                out = [fp[pairs[forest_of(len(fp), pairs)]]]
+                for i in many:
+                    some = fp[first[i]:first[i] + size[i]]
+                    one = np.full(len(some), table[first[i]])
+                    out.append(some[cluster(some, radius, lambda own, some=some, one=one: first_met(some, own, one))])
             else:
                 part, n, name = (values.field(c).to_numpy() for c in ("part", "n", "t"))
                 sketch = np.frombuffer(b"".join(values.field("sketch").to_pylist()), np.uint8).reshape(len(fp), -1)
@@ -279,7 +287,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
                         own = np.stack(within(planes_of(some), len(some), some, radius), 1) + begin
                         own = own[own[:, 0] < own[:, 1]]
                     own = own[part[own[:, 0]] != part[own[:, 1]]]
-                    own = first_met(fp, own, table[own[:, 0]])
+                    own = first_met(fp, own, table)
                     out.append(name[may_agree(sketch, n, own, similarity)])
             pairs = np.concatenate(out).reshape(-1, 2).view(np.int64)
             return pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])}) if len(pairs) else None

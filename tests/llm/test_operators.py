@@ -118,6 +118,24 @@ def test_simhash_buckets(spark, chunk, radius):
     assert all((a ^ b).bit_count() <= radius for a, b in got) and H.groups(ids, got) == H.groups(ids, near)
 
 
+@pytest.mark.parametrize("radius", [4, 7])
+def test_simhash_links_of_many(spark, radius):
+    """So many that buckets of all tables are in use: whatever is within the radius is connected."""
+    rng = np.random.default_rng(18)
+    base = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    fps = [base]
+    for _ in range(4):
+        own = base.copy()
+        for _ in range(radius):
+            own ^= np.uint64(1) << rng.integers(0, 64, len(own)).astype(np.uint64)
+        fps.append(own)
+    fps = np.unique(np.concatenate(fps))
+    at = {int(f): i for i, f in enumerate(fps)}
+    near = [(int(i), int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1:]) <= radius) + i + 1]
+    got = [(at[r["a"] & (1 << 64) - 1], at[r["b"] & (1 << 64) - 1]) for r in simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), radius).collect()]
+    assert len(near) > 2000 and H.groups(range(len(fps)), got) == H.groups(range(len(fps)), near)
+
+
 def flipped(rng, base, n, most):
     out = base[rng.integers(0, len(base), n)]
     for _ in range(int(rng.integers(1, most))):
@@ -136,9 +154,10 @@ def test_bit_sliced_distances():
             pairs = np.stack([q[q < i], i[q < i]], 1)
             kept = pairs[simhash.forest_of(n, pairs)].tolist()
             assert H.groups(range(n), kept) == H.groups(range(n), pairs.tolist()) and len(kept) < n
-        got = simhash.cluster(np.unique(fps), 4).tolist()
-        ids = sorted({int(f) for f in fps})
-        assert H.groups(ids, got) == H.groups(ids, [(a, b) for x, a in enumerate(ids) for b in ids[x + 1:] if (a ^ b).bit_count() <= 4])
+        for keep in (lambda pairs: pairs, lambda pairs: pairs[(pairs.sum(1) % 3) > 0]):
+            near = [(a, b) for b in range(n) for a in range(b) if (int(fps[a]) ^ int(fps[b])).bit_count() <= 4]
+            got = simhash.cluster(fps, 4, keep).tolist()
+            assert H.groups(range(n), got) == H.groups(range(n), keep(np.array(near, np.int64).reshape(-1, 2)).tolist()) and len(got) < n
 
 
 def test_small_buckets_side_by_side():
