@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.shared import join_null_safe, previous, running_total
+from stratum.shared import busy, join_null_safe, previous, ranged
 
 
 def newest_first(*group: str):
@@ -64,12 +64,25 @@ def by_group_and_time(df: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def collapse_runs(df: DataFrame, value: Column, group: Sequence[str], order: Sequence[str] = ("time", "id")) -> DataFrame:
-    """Consecutive rows of a group with an equal value become the first of them and `more`, how many follow."""
-    marked = previous(df.withColumn("_v", value), group, order, F.col("_v"), "_last")
-    marked = marked.withColumn("_new", (F.col("_last").isNull() | ~F.col("_last.value").eqNullSafe(F.col("_v"))).cast("int"))
-    run = running_total(marked, [F.col(c) for c in (*group, *order)], "_new", "_run")
-    return run.groupBy(*group, "_run").agg(F.min(F.struct(*order)).alias("first"), F.first("_v").alias("value"), (F.count("*") - 1).alias("more")) \
-        .select(*group, *[F.col(f"first.{o}").alias(o) for o in order], "value", "more")
+    """Consecutive rows of a group with an equal value become the first of them and `more`, how many follow.  Where a group is too
+    large for one task, rows are written once, in ranges of group and order; runs are numbered within each range and shifted by the runs of the
+    ranges before."""
+    if not busy(df, group):
+        w = Window.partitionBy(*group).orderBy(*order)
+        marked = df.withColumn("_v", value).withColumn("_last", F.lag(F.struct("_v")).over(w))
+        run = marked.withColumn("_run", F.sum((F.col("_last").isNull() | ~F.col("_last._v").eqNullSafe(F.col("_v"))).cast("int")).over(w))
+        return run.groupBy(*group, "_run").agg(F.min(F.struct(*order)).alias("first"), F.first("_v").alias("value"), (F.count("*") - 1).alias("more")) \
+            .select(*group, *[F.col(f"first.{o}").alias(o) for o in order], "value", "more")
+    by = [F.col(c) for c in (*group, *order)]
+    cut = ranged(df.select(*group, *order, F.struct(F.struct(*group) if group else F.lit(0).alias("g"), value.alias("value")).alias("_own")), by)
+    last = cut.groupBy("_part").agg(F.max_by("_own", F.struct(*by)).alias("_last"))
+    border = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_border"))  # one row a partition
+    w = Window.partitionBy("_part").orderBy(*by)
+    marked = cut.join(F.broadcast(border), "_part").withColumn("_new", (~F.coalesce(F.lag("_own").over(w), F.col("_border")).eqNullSafe(F.col("_own"))).cast("int"))
+    parts = marked.withColumn("_run", F.sum("_new").over(w)).groupBy("_part", "_run").agg(F.min(F.struct(*by)).alias("first"), F.first("_own").alias("_own"), F.count("*").alias("n"))
+    shift = parts.groupBy("_part").agg(F.max("_run").alias("runs")).select("_part", F.coalesce(F.sum("runs").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    whole = parts.join(F.broadcast(shift), "_part").groupBy((F.col("_run") + F.col("before")).alias("run")).agg(F.min("first").alias("first"), F.first("_own").alias("_own"), F.sum("n").alias("n"))
+    return whole.select(*[F.col(f"first.{c}").alias(c) for c in (*group, *order)], F.col("_own.value").alias("value"), (F.col("n") - 1).alias("more"))
 
 
 def with_parent(df: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -70,9 +70,20 @@ def running_total(df: DataFrame, order: list, value: str, name: str) -> DataFram
     return own.join(F.broadcast(shift), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
+#: Rows of one group that one task may hold for a window; beyond that the same is done over ranges.
+LARGE = 1_000_000
+
+
+def busy(df: DataFrame, group: Sequence[str]) -> bool:
+    """Whether some group has more rows than one task shall hold."""
+    return (df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > LARGE
+
+
 def previous(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """df with `name`: struct(value) of the row before in the same group, null at a group's first row.  One busy group is no single
-    task: rows are range-partitioned by group and order, and each range's first row takes the last of the ranges before."""
+    """df with `name`: struct(value) of the row before in the same group, null at a group's first row.  A busy group is no single
+    task: rows are range-partitioned by group and order then, and each range's first row takes the last of the ranges before."""
+    if not busy(df, group):
+        return df.withColumn(name, F.lag(F.struct(value.alias("value"))).over(Window.partitionBy(*group).orderBy(*order)))
     by = [F.col(c) for c in (*group, *order)]
     cut = ranged(df.withColumn("_value", F.struct(value.alias("value"))).withColumn("_group", F.struct(*group) if group else F.struct(F.lit(0))), by)
     w = Window.partitionBy("_part").orderBy(*by)

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from stratum import shared
 from stratum.functions import scalars as X
 from stratum.operators import blobs as B
 from stratum.operators import details as V
@@ -35,7 +36,23 @@ def test_missing_group_keys_are_a_group(spark):
     assert {r["id"]: r["reasons"] for r in K.reasons(df, K.KeepPolicy(within="2 days"), ()).collect()} == {"c": ["within"]}
 
 
-def test_previous_across_ranges(spark):
+@pytest.mark.parametrize("large", [0, 1_000_000])
+def test_runs_in_one_task_or_in_ranges(spark, monkeypatch, large):
+    monkeypatch.setattr(shared, "LARGE", large)
+    rows = [(g, i, "AABAAA"[i % 6] if i % 7 else None) for g in ("a", "b", None) for i in range(150)]
+    want, last = {}, None
+    for g, i, v in rows:
+        if (g, v) != last:
+            want[g, i] = [v, -1]
+            at_, last = (g, i), (g, v)
+        want[at_][1] += 1
+    out = L.collapse_runs(spark.createDataFrame(rows, "g string, i int, v string").repartition(5), F.col("v"), ["g"], ["i"]).collect()
+    assert {(r["g"], r["i"]): [r["value"], r["more"]] for r in out} == want and len(out) == len(want)
+
+
+@pytest.mark.parametrize("large", [0, 1_000_000])
+def test_previous_across_ranges(spark, monkeypatch, large):
+    monkeypatch.setattr(shared, "LARGE", large)
     rows = [(g, i, f"{g}{i}") for g in "abc" for i in range(200)] + [(None, 1, "n1"), (None, 2, None), (None, 3, "n3")]
     out = {(r["g"], r["i"]): r["p"] for r in previous(spark.createDataFrame(rows, "g string, i int, v string").repartition(7), ["g"], ["i"], F.col("v"), "p").collect()}
     by = {}
