@@ -228,7 +228,7 @@ def bootstrap(rows: DataFrame, base: DataFrame, min_support: int = MIN_SUPPORT,
         total = total.unionByName(t)
     total = materialize(some.select("pattern", F.col("n").alias("met")).join(total.groupBy("pattern").agg(F.sum("n").alias("n")), "pattern", "left")
                         .select("pattern", F.greatest("n", "met").alias("total")), some)
-    known = kinds.where("kind is not null")
+    known, borne_before = kinds.where("kind is not null"), -1
     for _ in range(rounds):
         met = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("different"))
         met = met.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("different").alias("different"), F.max_by("kind", F.struct("n", "kind")).alias("kind")).where(F.col("different") >= min_support)
@@ -240,6 +240,9 @@ def bootstrap(rows: DataFrame, base: DataFrame, min_support: int = MIN_SUPPORT,
         sure = materialize(sure.where(F.col("score") >= confident), met)
         found = edges.join(sure, "pattern").groupBy("instance").agg(F.max_by(sure["kind"], F.struct("score", "pattern")).alias("new"))
         known = materialize(kinds.join(found, "instance", "left").select("instance", F.coalesce(F.when(F.col("kind") != SECRET, F.col("kind")), "new", "kind").alias("kind"), F.col("new").isNotNull().alias("borne")).where("kind is not null"))
+        if (now := known.where("borne").count()) == borne_before:
+            break  # nothing was added, so nothing more can be
+        borne_before = now
     borne = known.where("borne").select("instance", F.col("kind").alias("as"))
     out = seen.where("kind is null or kind = 'secret'").select("rk", "a", "b", "instance", F.explode_outer("patterns").alias("pattern")).join(borne, "instance")
     out = out.join(sure.select("pattern", F.lit(True).alias("on")), "pattern", "left").where("on or (length(instance) >= 12 and instance rlike '[a-z]' and instance rlike '[0-9]')")
