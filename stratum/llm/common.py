@@ -10,9 +10,13 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: So many edges at most are joined in one task.
+FEW_EDGES = 1 << 18
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Setting, its defaults, and our bound.
 _BATCH = (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB"), "4194304b"))
@@ -165,37 +169,81 @@ def arrow_map(df: DataFrame, make: Callable, schema: str, calm: bool = False) ->
     return df.mapInArrow(run, schema)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """For a side of a join that grows with the input: joined by shuffles however small its files are, so it is never held by the driver."""
+    return df.hint("merge")
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges -> every end that is not the smallest of its component, and that smallest one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = at[:len(a)], at[len(a):]
+    label = np.arange(len(ids))
+    while True:
+        la, lb = label[one], label[two]
+        on = np.flatnonzero(la != lb)
+        if not len(on):
+            break
+        one, two = la[on], lb[on]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while (label[label] != label).any():
+            label = label[label]
+    low = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[low], ids[label[low]]
+
+
+def _few_roots(links: DataFrame) -> DataFrame:
+    """links(a, b) of long ids, FEW_EDGES at most -> (a, to), found in one task."""
+    ship(links.sparkSession)
+
+    def run(batches):
+        held = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+        if held:
+            a, to = roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.record_batch({"a": pa.array(a), "to": pa.array(to)})
+
+    return links.coalesce(1).mapInArrow(run, "a long, to long")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (id, component), component = the smallest id reachable, for every row of
     `nodes(id)`; `edges(a, b)` are undirected.  In each round every end of an edge goes to its smallest neighbour below it, chains of
     these are followed to their ends by pointer jumping, and the edges are contracted to what still joins different ends; so a star is
-    gone after one round, and rounds are O(log n).  Each round is written to the shared folder.
+    gone after one round, and rounds are O(log n).  Each round is written to the shared folder.  Once FEW_EDGES or fewer are left (of long ids),
+    one task joins them all, so the driver plans a few steps, not dozens.
 
     A hub's edges are aggregated partially before the shuffle, and the joins read both sides from
     written tables, so adaptive execution can split a hub's partition.
     """
     links = materialize(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
-    if links.isEmpty():
+    left, wide = links.count(), links.schema["a"].dataType.simpleString() == links.schema["b"].dataType.simpleString() == "bigint"
+    if not left:
         forget(links)
         return nodes.select("id", F.col("id").alias("component"))
     labels = None
-    while not links.isEmpty():
-        parent = materialize(links.groupBy("a").agg(F.min("b").alias("to")))  # always downwards, so there is no cycle
-        while True:
+    while left:
+        few = wide and left <= FEW_EDGES
+        parent = materialize(_few_roots(links) if few else links.groupBy("a").agg(F.min("b").alias("to")))  # always downwards, so there is no cycle
+        while not few:
             up = parent.select(F.col("a").alias("to"), F.col("to").alias("further"))
-            jumped = materialize(parent.join(up, "to", "left").select("a", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+            jumped = materialize(parent.join(shuffled(up), "to", "left").select("a", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
             going = not jumped.where("moved").isEmpty()
             parent = materialize(jumped.drop("moved"), jumped, parent) if going else parent
             if not going:
                 forget(jumped)
                 break
-        here = links.join(parent.select("a", F.col("to").alias("ra")), "a").join(parent.select(F.col("a").alias("b"), F.col("to").alias("rb")), "b", "left").select("ra", F.coalesce("rb", "b").alias("rb"))
-        links = materialize(here.where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), links)
+        if few:
+            forget(links)
+            left = 0
+        else:
+            here = links.join(shuffled(parent.select("a", F.col("to").alias("ra"))), "a").join(shuffled(parent.select(F.col("a").alias("b"), F.col("to").alias("rb"))), "b", "left").select("ra", F.coalesce("rb", "b").alias("rb"))
+            links = materialize(here.where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), links)
+            left = links.count()
         found = parent.select(F.col("a").alias("id"), F.col("to").alias("component"))
         if labels is None:
             labels = parent = materialize(found, parent)
         else:  # what was known moves on with its label; what has a label now for the first time is added
-            moved = labels.join(parent.select(F.col("a").alias("component"), F.col("to").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-            labels = materialize(moved.unionByName(found.join(labels.select("id"), "id", "left_anti")), labels, parent)
+            moved = labels.join(shuffled(parent.select(F.col("a").alias("component"), F.col("to").alias("root"))), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+            labels = materialize(moved.unionByName(found.join(shuffled(labels.select("id")), "id", "left_anti")), labels, parent)
     forget(links)
-    return nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return nodes.join(shuffled(labels), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, components, keyed, materialize, named, row_key, table, unkeyed
+from stratum.llm.common import arrow_map, components, keyed, materialize, named, row_key, shuffled, table, unkeyed
 
 RADIUS, SHINGLE, CHUNK = 4, 4, 1024
 #: For similarity 0.8 or more of five-word shingles, as the pipeline takes it: three fingerprints, since one misses too many.
@@ -243,7 +243,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk
     sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64(F.col("item.t") if told else F.col("item")), F.col("g")).cast("int")
-    dealt = rows.join(sizes, "key").withColumn("g", parts).withColumn("own", own).select(
+    dealt = rows.join(shuffled(sizes), "key").withColumn("g", parts).withColumn("own", own).select(
         "key", "t", "item", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(F.col("own"), o) * F.col("g") + F.greatest(F.col("own"), o))).alias("part"))
     groups = dealt.groupBy("key", "part").agg(F.first("t").alias("t"), F.collect_list("item").alias("fps")).where(F.size("fps") > 1).select("t", "fps")
     masks = [sum(((1 << (edges[c + 1] - edges[c])) - 1) << edges[c] for c in range(b)) for b in range(blocks + 1)]
@@ -321,7 +321,7 @@ def with_sketch(texts: DataFrame, shingle: int) -> DataFrame:
 
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of texts whose shingle sets agree to at least `similarity` (Jaccard); texts(t, text)."""
-    both = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(shuffled(texts.select(F.col("t").alias("a"), F.col("text").alias("ta"))), "a").join(shuffled(texts.select(F.col("t").alias("b"), F.col("text").alias("tb"))), "b")
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -350,25 +350,25 @@ def alike_links(nodes: DataFrame, rows: DataFrame, prints: list[str], radius: in
     parts = []
     for fp in prints:
         hubs = materialize(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("t").alias("hub")))
-        stars = nodes.join(hubs, F.col(fp) == F.col("fp")).where("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b"))
+        stars = nodes.join(shuffled(hubs), F.col(fp) == F.col("fp")).where("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b"))
         far = _ordered(links(hubs.select("fp"), radius))
         for c in ("a", "b"):
-            far = far.join(hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"t{c}")), c)
+            far = far.join(shuffled(hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"t{c}"))), c)
         parts.append(materialize(stars.unionByName(far.select(F.col("ta").alias("a"), F.col("tb").alias("b"))), hubs))
     tried = materialize(_ordered(functools.reduce(DataFrame.unionByName, parts)), *parts)
-    wanted = nodes.join(tried.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "t", "left_semi").select("rk", "t")
-    texts = materialize(rows.select("rk", "text").join(wanted, "rk").dropDuplicates(["t"]).select("t", "text"))
+    wanted = nodes.join(shuffled(tried.select(F.explode(F.array("a", "b")).alias("t")).distinct()), "t", "left_semi").select("rk", "t")
+    texts = materialize(rows.select("rk", "text").join(shuffled(wanted), "rk").dropDuplicates(["t"]).select("t", "text"))
     held = materialize(alike(tried, texts, shingle, similarity))
     if held.count() == tried.count():
         return held
     ends = texts.select(F.col("t").alias("id"))
     trees, groups = (components(ends, x).select(F.col("id").alias("t"), F.col("component").alias(c)) for x, c in ((tried, "tree"), (held, "part")))
-    at = materialize(nodes.select(*prints, "t").join(trees, "t").join(groups, "t"))
+    at = materialize(nodes.select(*prints, "t").join(shuffled(trees), "t").join(shuffled(groups), "t"))
     split = at.groupBy("tree").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-    open_ = at.join(split, "tree", "left_semi").select(*prints, "t", "part")
-    open_ = materialize(open_.join(with_sketch(texts.join(open_.select("t"), "t", "left_semi"), shingle), "t"), at)
+    open_ = at.join(shuffled(split), "tree", "left_semi").select(*prints, "t", "part")
+    open_ = materialize(open_.join(shuffled(with_sketch(texts.join(shuffled(open_.select("t")), "t", "left_semi"), shingle)), "t"), at)
     parts = [materialize(links(open_.select(F.col(fp).alias("fp"), "t", "part", "n", "sketch"), radius, similarity=similarity)) for fp in prints]
-    more = _ordered(functools.reduce(DataFrame.unionByName, parts)).join(tried, ["a", "b"], "left_anti")
+    more = _ordered(functools.reduce(DataFrame.unionByName, parts)).join(shuffled(tried), ["a", "b"], "left_anti")
     return materialize(held.unionByName(alike(more, texts, shingle, similarity)), held, tried, texts, open_, *parts)
 
 
@@ -383,10 +383,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     folded = materialize(marked.groupBy(*dict.fromkeys([*names, node])).agg(F.min("id").alias("least"), F.min("rk").alias("rk")))
     near = links(folded.select("fp"), radius) if similarity is None else alike_links(folded, rows, names, radius, shingle, similarity)
     groups = components(folded.select(F.col(node).alias("id")), near)
-    own = materialize(folded.join(groups, folded[node] == groups.id).select(node, "least", F.col("component").alias("group")))
+    own = materialize(folded.join(shuffled(groups), folded[node] == groups.id).select(node, "least", F.col("component").alias("group")))
     names_ = materialize(own.groupBy("group").agg(F.min("least").alias("component")))
-    known = materialize(own.join(names_, "group").select(node, "component"), own, folded)
-    return marked.join(known, node).select("id", "rk", *names, "component")
+    known = materialize(own.join(shuffled(names_), "group").select(node, "component"), own, folded)
+    return marked.join(shuffled(known), node).select("id", "rk", *names, "component")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,4 +400,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The radius is wider than in op3's contract, and links are checked on the texts: five-word shingles agree to 0.8 or more."""
     first = near_duplicates(docs, radius=STAGE_RADIUS, shingle=STAGE_SHINGLE, similarity=STAGE_SIMILARITY, prints=STAGE_PRINTS).where("id = component or component is null").select("rk").distinct()
-    return unkeyed(keyed(docs, "doc_id", "text").join(first, "rk", "left_semi").dropDuplicates(["rk"]), docs.columns)
+    return unkeyed(keyed(docs, "doc_id", "text").join(shuffled(first), "rk", "left_semi").dropDuplicates(["rk"]), docs.columns)

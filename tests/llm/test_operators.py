@@ -36,6 +36,23 @@ def odd(spark):
     return df.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def test_few_links_take_few_steps(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 4000, (3000, 2))] + [(i, i + 1) for i in range(5000, 5040)] + [(6000, i) for i in range(6001, 6500)] + [(-5, 7000), (7000, 7001)]
+    nodes, links = spark.range(-10, 7100), spark.createDataFrame(edges, "a long, b long").repartition(5)
+    written = []
+    monkeypatch.setattr(common, "materialize", lambda df, *old, f=common.materialize: written.append(f(df, *old)) or written[-1])
+    few = {r["id"]: r["component"] for r in components(nodes, links).collect()}
+    assert len(written) <= 3  # a chain, or a random graph, took dozens of tables
+    monkeypatch.setattr(common, "FEW_EDGES", 1500)  # the rounds, and then one task for what they leave
+    assert {r["id"]: r["component"] for r in components(nodes, links).collect()} == few and len(few) == 7110 and few[5040] == 5000 and few[7001] == -5
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        assert "Broadcast" not in components(nodes, links)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] + [(600, i) for i in range(601, 700)]
