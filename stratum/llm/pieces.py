@@ -13,6 +13,8 @@ of its own mass truncated at the node's.  The k best complete segmentations come
 different; the (k+1)-th value kappa gives inclusion scores 1 - exp(-exp(logprob - kappa)).  What is excluded in a unit is
 held as a trie over its lattice, so the mass that is left is a sum of positive terms and every draw is exact, however little is left.
 
+Every segmentation, plain or sampled, is decoded from its ids alone, and what comes out is compared with the text.
+
 A batch's texts are cut into units and searched side by side on arrays; units are known by a 64-bit hash, and where the plain
 encoding of their units does not read back as the text, the block is done again under another hash.  Random numbers are a hash of the row's key, the round and the place, so a
 row's samples never depend on its partition.
@@ -431,9 +433,12 @@ class Pieces:
         return self.sp.encode(text)
 
     def decode(self, ids) -> str:
-        raw = self.raw
-        out = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-        return out[1:] if out.startswith(" ") else out
+        return self.decoded(ids).decode("utf-8", "replace")
+
+    def decoded(self, ids) -> bytes:
+        """What the ids say, as UTF-8, without the blank that begins every text."""
+        out = b"".join(map(self.raw.__getitem__, ids))
+        return out[1:] if out.startswith(b" ") else out
 
     def bytes_from(self, ids: np.ndarray) -> bytes:
         """What the pieces say, with the blank that begins every text."""
@@ -536,6 +541,11 @@ class Pieces:
     def run(self, texts: list[str], seeds: np.ndarray, k: int) -> list[tuple[int, int, float, float | None, np.ndarray, bool]]:
         """(number of the text, rank, log probability, inclusion, ids, whether they read back) of each text's plain encoding, rank 0,
         and its k sampled segmentations."""
+        said = [t.replace(BLANK, " ").encode("utf-8", "surrogatepass") for t in texts]
+        return [(*row, self.decoded(row[4].tolist()) == said[row[0]]) for row in self.segmentations(texts, seeds, k)]
+
+    def segmentations(self, texts: list[str], seeds: np.ndarray, k: int) -> list[tuple[int, int, float, float | None, np.ndarray]]:
+        """The rows of `run`, not decoded yet."""
         for _ in range(3):
             numbers, begin, target = self.read(texts)
             ids = self.ids[_spread(self.start[numbers], self.size[numbers])]
@@ -547,17 +557,15 @@ class Pieces:
             raise ValueError("the vocabulary does not read back a text")
         upto = np.append(0, np.cumsum(self.size[numbers]))
         logs = self.best[numbers]
-        out = [(d, 0, float(logs[a:b].sum()), None, ids[upto[a]:upto[b]], True) for d, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))]
+        out = [(d, 0, float(logs[a:b].sum()), None, ids[upto[a]:upto[b]]) for d, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))]
         samples, ways = self.sample(numbers, begin, seeds, k)
-        same = ways.read_as(np.concatenate([numbers[begin[d] + where] for d, own in enumerate(samples) for _, _, where, _ in own]), np.concatenate([way for own in samples for *_, way in own]))
-        start, size, pool, done = self.start[numbers], self.size[numbers], np.concatenate([self.ids, *ways.ids]), 0
+        start, size, pool = self.start[numbers], self.size[numbers], np.concatenate([self.ids, *ways.ids])
         for d, own in enumerate(samples):
             a, b = begin[d], begin[d + 1]
             for rank, (logp, inclusion, where, way) in enumerate(own, 1):
                 s, c = start[a:b].copy(), size[a:b].copy()
                 s[where], c[where] = len(self.ids) + ways.start[way], ways.size[way]
-                out.append((d, rank, logp, inclusion, pool[_spread(s, c)], bool(same[done:done + len(way)].all())))
-                done += len(way)
+                out.append((d, rank, logp, inclusion, pool[_spread(s, c)]))
         return out
 
 
@@ -598,21 +606,6 @@ class Ways:
         ids, logp = self.model.lattice(unit).draw([self.ids_of(unit, w) for w in {*excluded, -1}], stream)
         return int(self.add(np.array([logp]), np.array([len(ids)]), np.array(ids, np.int32))[0])
 
-    def read_as(self, units: np.ndarray, ways: np.ndarray) -> np.ndarray:
-        """Whether each way reads as its unit does."""
-        model, ids = self.model, np.concatenate([np.zeros(0, np.int32), *self.ids])
-        mine, plain = ids[_spread(self.start[ways], self.size[ways])], model.ids[_spread(model.start[units], model.size[units])]
-
-        def sizes(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
-            return np.diff(np.append(0, np.cumsum(model.raw_size[ids]))[np.append(0, np.cumsum(count))])
-
-        one, two = sizes(mine, self.size[ways]), sizes(plain, model.size[units])
-        same = one == two
-        if same.all():
-            apart = np.frombuffer(model.bytes_from(mine), np.uint8) != np.frombuffer(model.bytes_from(plain), np.uint8)
-            same &= np.diff(np.append(0, np.cumsum(apart))[np.append(0, np.cumsum(one))]) == 0
-        return same
-
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str, alpha: float = ALPHA, plain: float = PLAIN) -> Pieces:
@@ -629,9 +622,10 @@ def row_seeds(keys) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=8).digest(), "little") for key in keys], np.uint64)
 
 
-def sample_encodings(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SAMPLES, alpha: float = ALPHA, plain: float = PLAIN, path: str | None = None, ids: bool = False) -> DataFrame:
+def sample_encodings(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SAMPLES, alpha: float = ALPHA, plain: float = PLAIN, path: str | None = None, ids: bool = False, decoded: bool = False) -> DataFrame:
     """Rows of each row of docs: id, rank (0: the plain encoding, then the sampled segmentations, 1 is first), n_pieces, logprob,
-    inclusion (null for rank 0), ids_sha256 (of the ids as little-endian 32-bit numbers), exact (decoding gives the text back), and ids if asked for."""
+    inclusion (null for rank 0), ids_sha256 (of the ids as little-endian 32-bit numbers), exact (decoding gives the text back, U+2581 as a blank); if asked for, the ids, and
+    the text decoded from them."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -641,32 +635,40 @@ def sample_encodings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             names, texts = batch.column("id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             where, out, found = [], {c: [] for c in ("rank", "n_pieces", "logprob", "inclusion", "ids_sha256", "exact")}, []
+            read: list[bytes] = []
             for s, some in blocks_of(texts, BLOCK_CHARS):
-                for d, rank, logp, inclusion, listed, exact in own.run(some, row_seeds(names[s:s + len(some)]), k):
+                said = [t.replace(BLANK, " ").encode() for t in some]
+                for d, rank, logp, inclusion, listed in own.segmentations(some, row_seeds(names[s:s + len(some)]), k):
+                    back = own.decoded(listed.tolist())
                     where.append(s + d)
                     out["rank"].append(rank)
                     out["n_pieces"].append(len(listed))
                     out["logprob"].append(logp)
                     out["inclusion"].append(inclusion)
                     out["ids_sha256"].append(hashlib.sha256(listed.astype("<i4", copy=False).tobytes()).hexdigest())
-                    out["exact"].append(exact)
+                    out["exact"].append(back == said[d])
                     if ids:
                         found.append(listed)
+                    if decoded:
+                        read.append(said[d] if out["exact"][-1] else back)  # equal ones are held once
             kinds = {"rank": pa.int32(), "n_pieces": pa.int64(), "logprob": pa.float64(), "inclusion": pa.float64(), "ids_sha256": pa.string(), "exact": pa.bool_()}
             cols = {"id": batch.column("id").take(pa.array(where, pa.int64()))} | {c: pa.array(out[c], t) for c, t in kinds.items()}
             if ids:
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
+            if decoded:
+                cols["decoded"] = pa.array([x if e else x.decode("utf-8", "replace").encode() for x, e in zip(read, out["exact"], strict=True)], pa.binary()).cast(pa.string())
             return pa.record_batch(cols)
 
         apply.close = own.clear
         return apply
 
-    return arrow_map(rows, make, f"id {id_type}, rank int, n_pieces long, logprob double, inclusion double, ids_sha256 string, exact boolean" + ", ids array<int>" * ids, calm=True)
+    return arrow_map(rows, make, f"id {id_type}, rank int, n_pieces long, logprob double, inclusion double, ids_sha256 string, exact boolean" + ", ids array<int>" * ids + ", decoded string" * decoded, calm=True)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_encodings(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """Every document's plain encoding and sampled segmentations, with their ids and the text decoded from these."""
+    return sample_encodings(table(spark, sf_dir, "documents"), ids=True, decoded=True).withColumnRenamed("id", "doc_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The ten operators against plain forms of their contracts, on tables and on odd rows."""
 
+import hashlib
 import math
 import random
 
@@ -825,3 +826,32 @@ def test_machine_local_folders_are_for_local_sessions_only():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://somewhere:7077"))
     with pytest.raises(ValueError):
         common.shared_dir(session)
+
+
+def test_sentencepiece_query_encodes_and_decodes(spark):
+    own = pieces.vocabulary(pieces.default_path())
+    texts = {r["doc_id"]: r["text"] or "" for r in docs_of(spark).collect()}
+    rows = pieces.op5_sentencepiece(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    for r in rows:
+        assert r["decoded"] == own.sp.decode(r["ids"]) == texts[r["doc_id"]].replace(pieces.BLANK, " ") and r["exact"] and len(r["ids"]) == r["n_pieces"]
+        assert r["ids_sha256"] == hashlib.sha256(np.array(r["ids"], "<i4").tobytes()).hexdigest() and (r["rank"] or r["ids"] == own.sp.encode(texts[r["doc_id"]]))
+
+
+def test_sentencepiece_tells_every_wrong_segmentation(monkeypatch):
+    own = pieces.Pieces(pieces.default_path())
+    texts = ["the house of the seven gables", "a very long walk home"]
+    size = [len(x) for x in own.raw]
+
+    def wrong(units, counters, f=own._others):  # one piece becomes another of its length, and the last one a longer one
+        logp, count, ids = f(units, counters)
+        ids = ids.copy()
+        ids[:-1] = [next(j for j in range(300, len(size)) if size[j] == size[i] and j != i and own.raw[j] != own.raw[i]) for i in ids[:-1]]
+        ids[-1] = size.index(size[ids[-1]] + 1, 300)
+        return logp, count, ids
+
+    monkeypatch.setattr(own, "_others", wrong)
+    rows = own.run(texts * 20, pieces.row_seeds(range(40)), 1)
+    for d, rank, _, _, ids, exact in rows:
+        assert exact == (own.decode(ids.tolist()) == texts[d % 2])
+    assert len({d for d, *_, exact in rows if not exact}) > 5
