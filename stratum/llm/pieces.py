@@ -31,6 +31,7 @@ import hashlib
 import heapq
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ ALPHA, COST, PLAIN, SAMPLES = 0.3, 16, 2.0, 2
 CACHE_UNITS, VECTOR_CHARS, BLOCK_CHARS, SLOTS = 400_000, 40, 1 << 20, 21
 BLANK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
-_SURE, _TOGETHER = 0.999, 128
+_SURE, _TOGETHER, _AT_ONCE = 0.999, 128, 5000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -188,8 +189,7 @@ class Pieces:
         for i in range(n):
             if self.sp.is_control(i):
                 raw[i] = b""
-        self.raw, self.raw_size = raw, np.array([len(x) for x in raw], np.int64)
-        self.raw_start, self.raw_bytes = np.cumsum(self.raw_size) - self.raw_size, np.frombuffer(b"".join(raw), np.uint8)
+        self.raw, self.raw_list = raw, pa.array(raw, pa.large_binary())
         self.longest = max(map(len, self.known))
         cut = "".join(c for c in "\n\r\t" if not any(c in p and len(p) > 1 for p in self.known))
         if any(BLANK in p.lstrip(BLANK) for p in self.known):
@@ -281,76 +281,88 @@ class Pieces:
     def plain_of(self, unit: int) -> tuple[int, ...]:
         return tuple(self.ids[self.start[unit]:self.start[unit] + self.size[unit]].tolist())
 
-    def _forward(self, flat: np.ndarray, size: np.ndarray, masks: np.ndarray, counters: np.ndarray | None = None):
+    def _edges(self, flat: np.ndarray, size: np.ndarray, masks: np.ndarray):
+        """The pieces in many units (their characters, one unit after another), by the places they begin at: the places, the nodes
+        of both ends, the pieces' numbers, their weights, and whether they are pieces of the plain encoding.  A unit has a node before each character and one at its end."""
+        unit, ends = np.repeat(np.arange(len(size)), size), np.repeat(np.cumsum(size), size)
+        places = _spread(np.zeros(len(size), np.int64), size)
+        codes = (flat.astype(np.uint64) + np.uint64(1)) * _P
+        rows, h, starts, found = np.arange(len(flat)), np.zeros(len(flat), np.uint64), [], []
+        for n in range(self.longest):  # only where the characters so far still begin a piece
+            h = h * self.seed + codes[rows + n]
+            at = self._lookup(h)
+            kind = self.kind[at]
+            hit = np.flatnonzero(kind & 1)
+            starts.append(rows[hit])
+            found.append(at[hit])
+            more = np.flatnonzero((kind & 2 != 0) & (rows + n + 1 < ends[rows]))
+            if not len(more):
+                break
+            rows, h = rows[more], h[more]
+        length = np.repeat(np.arange(1, len(starts) + 1), [len(x) for x in starts])
+        rows, at = np.concatenate(starts), np.concatenate(found)
+        order = np.argsort(places[rows].astype(np.uint8), kind="stable")
+        rows, at, length = rows[order], at[order], length[order]
+        place, own = places[rows], unit[rows]
+        same = masks[own] >> place & ((2 << length) - 1) == 1 | 1 << length
+        weight = self.weights[at]
+        weight[same] *= math.exp(self.plain_bonus)
+        return place, rows + own, rows + own + length, at, weight, same
+
+    def _forward(self, flat: np.ndarray, size: np.ndarray, masks: np.ndarray, which: np.ndarray | None = None, counters: np.ndarray | None = None):
         """Sums over the lattices of many units (their characters, one unit after another) at once, on weights themselves; every character is a piece.  Without counters: the log
-        probabilities of the plain segmentation and of all others.  With them: one segmentation of each other than the plain
-        one, as (log probability, number of pieces, all ids): every place keeps one way back to it, drawn by its share
-        of the sum so far, once among all ways and once among those that leave the plain segmentation."""
-        order, many, n = np.argsort(-size, kind="stable"), len(size), int(size.max())
-        place = np.empty(many, np.int64)
-        place[order] = np.arange(many)
-        chars = np.zeros((n, many), np.uint64)
-        chars[_spread(np.zeros(many, np.int64), size), np.repeat(place, size)] = (flat.astype(np.uint64) + np.uint64(1)) * _P
-        size, masks = size[order], masks[order]
-        live = many - np.searchsorted(size[::-1], np.arange(n + 1), "right")  # units longer than i
-        every, plain, leaving = (np.zeros((n + 1, many)) for _ in range(3))
-        every[0], plain[0] = 1.0, 1.0
-        if counters is not None:
-            counters = counters[order]
-            back, left_back = np.zeros((n + 1, many), np.int16), np.zeros((n + 1, many), np.int16)
-            piece, left_piece = np.zeros((n + 1, many), np.int32), np.zeros((n + 1, many), np.int32)
-            on, weight = np.zeros((n + 1, many), bool), np.zeros((n + 1, many))
-            left_weight = np.zeros((n + 1, many))
-        bonus = math.exp(self.plain_bonus)
-        for i in range(n):
-            rows = np.arange(live[i])
-            h, here, there = np.zeros(len(rows), np.uint64), every[i], leaving[i]
-            for j in range(i + 1, min(n, i + self.longest) + 1):  # only where the characters since i still begin a piece
-                h = h * self.seed + chars[j - 1][rows]
-                at = self._lookup(h)
-                kind = self.kind[at]
-                hit = np.flatnonzero(kind & 1)
-                if len(hit):
-                    own, found = rows[hit], at[hit]
-                    w = self.weights[found]
-                    same = masks[own] >> i & ((2 << (j - i)) - 1) == 1 | 1 << (j - i)
-                    w[same] *= bonus
-                    add = w * here[own]
-                    add_left = np.where(same, w * there[own], add)
-                    every[j, own] += add
-                    leaving[j, own] += add_left
-                    kept = own[same]
-                    plain[j, kept] = w[same] * plain[i, kept]
-                    if counters is not None:
-                        u = _uniform(counters[own] + np.uint64((i * 64 + j) * int(_P) & 0xFFFFFFFFFFFFFFFF))  # a place is passed in one of both ways only
-                        new = u * every[j, own] < add
-                        cols = own[new]
-                        back[j, cols], piece[j, cols], weight[j, cols] = i, self.piece_ids[found[new]], w[new]
-                        new = u * leaving[j, own] < add_left
-                        cols = own[new]
-                        left_back[j, cols], left_piece[j, cols], left_weight[j, cols], on[j, cols] = i, self.piece_ids[found[new]], w[new], same[new]
-                more = kind & 2 != 0
-                if j < n:
-                    more &= rows < live[j]
-                more = np.flatnonzero(more)
-                if not len(more):
-                    break
-                rows, h = rows[more], h[more]
-        cols = np.arange(many)
-        total = every[size, cols]
+        probabilities of the plain segmentation and of all others.  With them: for each counter a segmentation other than the plain
+        one of the unit that `which` numbers, as (log probability, number of pieces, all ids): every place keeps one way back to it, drawn by its share
+        of the sum so far, once among all ways and once among those that leave the plain segmentation.  The ways are drawn for the places that a segmentation comes by."""
+        place, begin, end, at, weight, same = self._edges(flat, size, masks)
+        last = np.cumsum(size + 1) - 1
+        every, plain, leaving = (np.zeros(last[-1] + 1) for _ in range(3))
+        every[last - size], plain[last - size] = 1.0, 1.0
+        if counters is not None:  # by the nodes where they end: the edges, their shares and the sums so far, of all ways and of those that leave
+            count = np.bincount(end, minlength=len(every))
+            first = np.cumsum(count) - count
+            free, into = first.copy(), np.empty(len(at), np.int64)
+            share, so_far = np.empty((len(at), 2)), np.empty((len(at), 2))
+        upto = np.searchsorted(place, np.arange(int(size.max()) + 1))
+        for a, b in itertools.pairwise(upto.tolist()):  # no node ends two edges that begin at one place
+            here, there, w, on = begin[a:b], end[a:b], weight[a:b], same[a:b]
+            add = w * every[here]
+            add_left = np.where(on, w * leaving[here], add)
+            total, total_left = every[there] + add, leaving[there] + add_left
+            every[there], leaving[there] = total, total_left
+            if counters is None:
+                kept = np.flatnonzero(on)
+                plain[there[kept]] = w[kept] * plain[here[kept]]
+            else:
+                own = free[there]
+                free[there] = own + 1
+                into[own] = np.arange(a, b)
+                share[own, 1], share[own, 0], so_far[own, 1], so_far[own, 0] = add, add_left, total, total_left
         if counters is None:
             with np.errstate(divide="ignore"):
-                return np.minimum(np.log(plain[size, cols] / total), 0.0)[place], np.log(leaving[size, cols] / total)[place]
-        at, off, logp, columns = size.copy(), np.zeros(many, bool), -np.log(total), []
-        while (go := at > 0).any():  # all units at once from their ends; -2 where one has come to its beginning
-            columns.append(np.where(go, np.where(off, piece[at, cols], left_piece[at, cols]), -2))
-            logp += np.where(go, np.log(np.where(go, np.where(off, weight[at, cols], left_weight[at, cols]), 1.0)), 0.0)
-            step = np.where(off, back[at, cols], left_back[at, cols])
-            off |= ~on[at, cols]
-            at = np.where(go, step, 0)
-        ids = np.array(columns[::-1]).T[place]
-        real = ids != -2
-        return logp[place], real.sum(1), ids[real].astype(np.int32)
+                return np.minimum(np.log(plain[last] / every[last]), 0.0), np.log(leaving[last] / every[last])
+        name = ((place * 64 + place + end - begin).astype(np.uint64) * _P)[into]
+        piece, weight, place, begin, leaves = self.piece_ids[at][into], np.log(weight)[into], place[into], begin[into], ~same[into]
+        node, logp, go, off = last[which], -np.log(every[last])[which], np.arange(len(which)), np.zeros(len(which), np.int64)
+        steps = []
+        while len(go):  # all from their ends
+            many = count[node]
+            upto = np.cumsum(many)
+            edge, way = _spread(first[node], many), np.repeat(off, many)
+            u = _uniform(np.repeat(counters[go], many) + name[edge])
+            new = np.where(u * so_far[edge, way] < share[edge, way], np.arange(len(edge)), -1)
+            edge = edge[np.maximum.reduceat(new, upto - many)]
+            steps.append((go, piece[edge]))
+            logp[go] += weight[edge]
+            on = np.flatnonzero(place[edge] > 0)
+            edge, go = edge[on], go[on]
+            node, off = begin[edge], off[on] | leaves[edge]
+        went = np.concatenate([own for own, _ in steps])
+        pieces = np.bincount(went, minlength=len(which))
+        upto, ids = np.cumsum(pieces), np.empty(len(went), np.int32)
+        for n, (own, found) in enumerate(steps):
+            ids[upto[own] - 1 - n] = found
+        return logp, pieces, ids
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes]:
         """Numbers of all units of the texts, where each text's begin, and what decoding shall give; new units are learned."""
@@ -414,8 +426,8 @@ class Pieces:
         mask[~easy] = 0
         best, other = np.zeros(len(size)), np.zeros(len(size))
         some = np.flatnonzero(easy)
-        for i in range(0, len(some), 20_000):
-            at = some[i:i + 20_000]
+        for i in range(0, len(some), _AT_ONCE):
+            at = some[i:i + _AT_ONCE]
             best[at], other[at] = self._forward(own[_spread(first[at], size[at])], size[at], mask[at])
         for i in np.flatnonzero(~easy).tolist():
             plain = tuple(ids[a[i]:b[i]].tolist())
@@ -433,16 +445,19 @@ class Pieces:
         return self.sp.encode(text)
 
     def decode(self, ids) -> str:
-        return self.decoded(ids).decode("utf-8", "replace")
+        return next(self.decoded([np.asarray(ids, np.int32)])).decode("utf-8", "replace")
 
-    def decoded(self, ids) -> bytes:
-        """What the ids say, as UTF-8, without the blank that begins every text."""
-        out = b"".join(map(self.raw.__getitem__, ids))
-        return out[1:] if out.startswith(b" ") else out
+    def decoded(self, lists: list[np.ndarray]) -> Iterator[bytes]:
+        """What each list of ids says, as UTF-8, without the blank that begins every text."""
+        for _, some in blocks_of(lists, BLOCK_CHARS):
+            said, upto = self._said(np.concatenate(some))
+            for a, b in itertools.pairwise(upto[np.cumsum([0, *map(len, some)])].tolist()):
+                yield said[a + (said[a:min(a + 1, b)] == b" "):b]
 
-    def bytes_from(self, ids: np.ndarray) -> bytes:
-        """What the pieces say, with the blank that begins every text."""
-        return self.raw_bytes[_spread(self.raw_start[ids], self.raw_size[ids])].tobytes()
+    def _said(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """What the pieces say, one after another, and where each begins and the last ends."""
+        _, upto, said = self.raw_list.take(pa.array(ids)).buffers()
+        return said.to_pybytes() if said else b"", np.frombuffer(upto, np.int64, len(ids) + 1)
 
     # --- sampling
     def _others(self, units: np.ndarray, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -450,10 +465,11 @@ class Pieces:
         logp, size, parts = np.zeros(len(units)), np.zeros(len(units), np.int64), []
         hard = self.mask[units] == 0
         some = np.flatnonzero(~hard)
-        for s in range(0, len(some), 20_000):
-            at = some[s:s + 20_000]
-            own = units[at]
-            logp[at], size[at], ids = self._forward(self.chars[_spread(self.char_start[own], self.char_size[own])], self.char_size[own], self.mask[own], counters[at])
+        some = some[np.argsort(units[some], kind="stable")]  # draws of one unit share its lattice
+        for s in range(0, len(some), _AT_ONCE):
+            at = some[s:s + _AT_ONCE]
+            own, which = np.unique(units[at], return_inverse=True)
+            logp[at], size[at], ids = self._forward(self.chars[_spread(self.char_start[own], self.char_size[own])], self.char_size[own], self.mask[own], which, counters[at])
             parts.append(ids)
         rest = np.flatnonzero(hard)
         for i in rest.tolist():
@@ -461,12 +477,10 @@ class Pieces:
             size[i] = len(ids)
             parts.append(np.array(ids, np.int32))
         flat = np.concatenate([np.zeros(0, np.int32), *parts])
-        if len(rest):  # in the order of the units again
-            order = np.concatenate([some, rest])
-            start = np.empty(len(units), np.int64)
-            start[order] = np.cumsum(size[order]) - size[order]
-            flat = flat[_spread(start, size)]
-        return logp, size, flat
+        order = np.concatenate([some, rest])
+        start = np.empty(len(units), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return logp, size, flat[_spread(start, size)]  # in the order of the units again
 
     def sample(self, numbers: np.ndarray, begin: np.ndarray, seeds: np.ndarray, k: int) -> tuple[list[list[tuple]], Ways]:
         """For each text, of k different segmentations, best perturbed value first: log probability, inclusion score, and the units
@@ -542,14 +556,15 @@ class Pieces:
         """(number of the text, rank, log probability, inclusion, ids, whether they read back) of each text's plain encoding, rank 0,
         and its k sampled segmentations."""
         said = [t.replace(BLANK, " ").encode("utf-8", "surrogatepass") for t in texts]
-        return [(*row, self.decoded(row[4].tolist()) == said[row[0]]) for row in self.segmentations(texts, seeds, k)]
+        rows = self.segmentations(texts, seeds, k)
+        return [(*row, back == said[row[0]]) for row, back in zip(rows, self.decoded([row[4] for row in rows]), strict=True)]
 
     def segmentations(self, texts: list[str], seeds: np.ndarray, k: int) -> list[tuple[int, int, float, float | None, np.ndarray]]:
         """The rows of `run`, not decoded yet."""
         for _ in range(3):
             numbers, begin, target = self.read(texts)
             ids = self.ids[_spread(self.start[numbers], self.size[numbers])]
-            if self.bytes_from(ids) == target:
+            if self._said(ids)[0] == target:
                 break
             self.base += 2  # two units share a hash
             self.clear()
@@ -638,8 +653,8 @@ def sample_encodings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
             read: list[bytes] = []
             for s, some in blocks_of(texts, BLOCK_CHARS):
                 said = [t.replace(BLANK, " ").encode() for t in some]
-                for d, rank, logp, inclusion, listed in own.segmentations(some, row_seeds(names[s:s + len(some)]), k):
-                    back = own.decoded(listed.tolist())
+                rows = own.segmentations(some, row_seeds(names[s:s + len(some)]), k)
+                for (d, rank, logp, inclusion, listed), back in zip(rows, own.decoded([x[4] for x in rows]), strict=True):
                     where.append(s + d)
                     out["rank"].append(rank)
                     out["n_pieces"].append(len(listed))

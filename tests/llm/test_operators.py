@@ -855,3 +855,42 @@ def test_sentencepiece_tells_every_wrong_segmentation(monkeypatch):
     for d, rank, _, _, ids, exact in rows:
         assert exact == (own.decode(ids.tolist()) == texts[d % 2])
     assert len({d for d, *_, exact in rows if not exact}) > 5
+
+
+def test_draws_of_one_unit_share_its_lattice(monkeypatch):
+    own = pieces.Pieces(pieces.default_path())
+    own.read(["thereabouts unbelievable ñandú the a\U0001f71ab " + "the" * 20])
+    units, looked = np.arange(len(own.hash)), []
+    assert (own.mask == 0).any() and (own.mask > 0).sum() > 3
+    easy = int(np.flatnonzero(own.mask)[own.size[own.mask > 0].argmax()])
+    monkeypatch.setattr(own, "_lookup", lambda h, f=own._lookup: looked.append(len(h)) or f(h))
+    own._others(np.array([easy]), pieces.row_seeds([0]))
+    one = sum(looked)
+    own._others(np.full(300, easy), pieces.row_seeds(range(300)))
+    assert sum(looked) == 2 * one > 0
+    many = np.random.default_rng(5).permutation(np.repeat(units[own.other > -np.inf], 20))
+    counters = pieces.row_seeds(range(len(many)))
+    alone = [own._others(many[i:i + 1], counters[i:i + 1]) for i in range(len(many))]
+    for at_once in (pieces._AT_ONCE, 7):
+        monkeypatch.setattr(pieces, "_AT_ONCE", at_once)
+        logp, size, ids = own._others(many, counters)
+        assert logp.tolist() == [x[0][0] for x in alone] and size.tolist() == [x[1][0] for x in alone] and ids.tolist() == [i for x in alone for i in x[2].tolist()]
+
+
+def test_segmentations_are_decoded_together(monkeypatch):
+    own = pieces.Pieces(pieces.default_path())
+    texts = ["", "the hat", "  a\n", "▁ñ 日", "a🜚 x", ""]
+    want = [t.replace(pieces.BLANK, " ").encode("utf-8", "surrogatepass") for t in texts]
+
+    class Each(list):
+        def __getitem__(self, i):
+            raise AssertionError("pieces are decoded one by one")
+
+    rows = own.segmentations(texts, pieces.row_seeds(range(6)), 2)
+    slow = [b"".join([own.raw[i] for i in ids.tolist()]) for *_, ids in rows]
+    own.raw = Each(own.raw)
+    for size in (pieces.BLOCK_CHARS, 3):
+        monkeypatch.setattr(pieces, "BLOCK_CHARS", size)
+        back = list(own.decoded([ids for *_, ids in rows]))
+        assert back == [x.removeprefix(b" ") for x in slow] == [want[d] for d, *_ in rows]
+        assert all(exact for *_, exact in own.run(texts, pieces.row_seeds(range(6)), 2))
