@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import os
 import tempfile
@@ -142,10 +144,26 @@ def blocks_of(texts: list[str], size: int) -> Iterator[tuple[int, list[str]]]:
         yield start, texts[start:]
 
 
+@functools.cache
+def _trim() -> Callable:
+    """glibc's malloc_trim; where the C library has none, nothing is done."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Returns to the system what the allocators hold but nothing uses, which else stays with an idle worker through all later stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def arrow_map(df: DataFrame, make: Callable, schema: str, calm: bool = False) -> DataFrame:
     """mapInArrow over batches bounded by rows and bytes (by the session's own settings, where it has any): `make()` is called once
     a task and returns a function from a RecordBatch to a RecordBatch (or None).  calm: the task keeps large caches of small objects without cycles, which the
-    collector need not scan all the time; workers are used again, so at the end `close` drops them and its settings are put back."""
+    collector need not scan all the time; workers are used again, so at the end `close` drops them and its settings are put back, and
+    every task gives back the memory that it no longer uses, a calm one after every batch."""
     spark = df.sparkSession
     ship(spark)
     for name, usual, bound in _BATCH:
@@ -153,18 +171,23 @@ def arrow_map(df: DataFrame, make: Callable, schema: str, calm: bool = False) ->
             spark.conf.set(name, bound)
 
     def run(batches):
-        apply, limits = make(), gc.get_threshold()
+        apply, limits, batch, out = make(), gc.get_threshold(), None, None
         if calm:
             gc.set_threshold(100_000, 20, 50)
         try:
             for batch in batches:
                 if batch.num_rows and (out := apply(batch)) is not None:
                     yield out
+                if calm:  # while a batch is awaited, only the caches are held
+                    batch = out = None
+                    give_back()
         finally:
             if calm:
                 getattr(apply, "close", lambda: None)()  # idle workers shall not hold caches
                 gc.set_threshold(*limits)
                 gc.collect()
+            apply = batch = out = None
+            give_back()
 
     return df.mapInArrow(run, schema)
 

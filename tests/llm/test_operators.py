@@ -3,8 +3,11 @@
 import hashlib
 import math
 import random
+import resource
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -894,3 +897,32 @@ def test_segmentations_are_decoded_together(monkeypatch):
         back = list(own.decoded([ids for *_, ids in rows]))
         assert back == [x.removeprefix(b" ") for x in slow] == [want[d] for d, *_ in rows]
         assert all(exact for *_, exact in own.run(texts, pieces.row_seeds(range(6)), 2))
+
+
+@pytest.mark.parametrize("calm", [False, True])
+def test_tasks_give_memory_back(spark, calm):
+    """Workers are used again, so what a task has freed must not stay with them; a calm task holds its caches only while it awaits a batch."""
+    class Rows:
+        sparkSession, mapInArrow = spark, staticmethod(lambda run, schema: run)
+
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize() / 1e6
+
+    held, seen = [], []
+
+    def make():
+        def apply(batch):
+            rows = [bytes(3000) for _ in range(60_000)]
+            held.extend(rows[::500])  # what stays lies among what goes
+            return batch
+        return apply
+
+    def batches():
+        for _ in range(2):
+            seen.append(resident())
+            yield pa.record_batch({"x": [1]})
+
+    start = resident()
+    assert len(list(common.arrow_map(Rows(), make, "x long", calm)(batches()))) == 2
+    assert resident() < start + 60
+    assert not calm or seen[1] < start + 60
